@@ -93,6 +93,8 @@ def mix(
     keyed = docs.select(
         F.col("doc_id").alias("doc_id"), F.col("source").alias("source"), word_count("text").alias("size"),
         F.xxhash64(F.lit(seed), "doc_id", "text").alias("__key"),
+        # never null, so windows and joins share one partitioning
+        F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("__source"),
         *[F.col(c).alias(f"__carry_{i}") for i, c in enumerate(carry)],
     )
     sized = materialize(keyed, "mixing")
@@ -107,20 +109,17 @@ def mix(
         targets.withColumn("__sum_a", F.sum(F.col("target") * F.col("__a")).over(every))
         .withColumn("__sum_b", F.sum(F.col("target") * F.col("__b")).over(every))
     )
-    earlier = Window.partitionBy("source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("__source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        sized.groupBy("source", "__bucket").agg(F.sum("size").alias("__in_bucket"))
+        sized.groupBy("__source", "__bucket").agg(F.sum("size").alias("__in_bucket"))
         .withColumn("__before", F.coalesce(F.sum("__in_bucket").over(earlier), F.lit(0)))
     )
-    offsets = offsets.alias("o").join(targets.alias("t"), F.col("o.source").eqNullSafe(F.col("t.source"))).select(
-        F.col("o.source").alias("__source"), F.col("__bucket").alias("__b_id"), "__before",
-        "source_size", "target", "__a", "__b", "__sum_a", "__sum_b",
-    )
-    inside = Window.partitionBy("source", "__bucket").orderBy("__order", "doc_id", "size")
+    targets = targets.withColumn("__source", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).drop("source", "weight")
+    offsets = offsets.join(targets, "__source")
+    inside = Window.partitionBy("__source", "__bucket").orderBy("__order", "doc_id", "size")
     running = F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
-    placed = sized.withColumn("__inside", running).join(
-        offsets, F.col("source").eqNullSafe(F.col("__source")) & (F.col("__bucket") == F.col("__b_id"))
-    ).withColumn("__prefix", F.col("__before") + F.col("__inside"))
+    placed = sized.withColumn("__inside", running).join(offsets, ["__source", "__bucket"]).withColumn(
+        "__prefix", F.col("__before") + F.col("__inside"))
 
     goal = F.round("target").cast("long")
     copies = F.sequence(F.lit(0), F.lit(MAX_EPOCHS - 1))
@@ -146,3 +145,9 @@ def training_order(mixed: DataFrame) -> DataFrame:
     """One row per occurrence, range-sorted by training position."""
     rows = mixed.select("*", F.explode("occurrences").alias("__o")).drop("occurrences")
     return rows.select("*", "__o.copy", "__o.words", "__o.time", "__o.position").drop("__o").orderBy("position", "doc_id", "copy")
+
+
+def whole_documents(mixed: DataFrame) -> DataFrame:
+    """``training_order`` of whole documents: an occurrence cut by its source's target
+    stays if half of the document or more is within it."""
+    return training_order(mixed.withColumn("occurrences", F.filter("occurrences", lambda o: 2 * o["words"] >= F.col("size"))))
