@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm import line_dedup, mixing, packing, secret_scan, sharding, toxicity, warc
+from quillmark.llm import (
+    embedding_dedup,
+    line_dedup,
+    mixing,
+    ngram_join,
+    packing,
+    secret_scan,
+    sharding,
+    topk,
+    toxicity,
+    warc,
+)
 from quillmark.llm.shared import scratch_path
 
 
@@ -21,10 +32,23 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = topk.quantized(_table(spark, sf_dir, "embeddings"))
+    return topk.top_k(codes, codes.where("vec_id % 50 = 0"), k=5)
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(_table(spark, sf_dir, "documents"))
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_join(_table(spark, sf_dir, "documents"))
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, sf_dir, "documents"))
     return mixed.select(
@@ -62,13 +86,22 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op3_secret_scan, op5_source_mix, op6_best_fit_packing, op7_warc_revisits, op8_byte_shards, op9_line_dedup, op10_toxicity,
+        op1_embedding_dedup, op2_exact_topk, op3_secret_scan, op4_ngram_jaccard_join, op5_source_mix,
+        op6_best_fit_packing, op7_warc_revisits, op8_byte_shards, op9_line_dedup, op10_toxicity,
     )}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL expresses over whole tables."""
     return {
+        "op2_exact_topk": """
+            WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS code
+                       FROM embeddings
+                       WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+            s AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(list_dot_product(q.code, v.code) AS BIGINT) AS score
+                  FROM v AS q JOIN v ON v.vec_id <> q.vec_id AND len(v.code) = len(q.code) WHERE q.vec_id % 50 = 0),
+            r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+            SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5""",
         "op7_warc_revisits": """
             WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
             d AS (SELECT page_id, octet_length(encode(body)) AS payload_bytes, sha256(body) AS payload_digest FROM p),
