@@ -1 +1 @@
-
+"""Relational and document operators."""

@@ -1 +1 @@
-
+"""Configurations, composed plans and registered queries."""

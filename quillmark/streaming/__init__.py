@@ -1 +1 @@
-
+"""Streaming form of the outcome log."""
