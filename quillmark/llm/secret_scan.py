@@ -78,7 +78,7 @@ class MarkovPair:
 
     ALPHABET = string.ascii_letters + string.digits + "+/_-=."
 
-    def __init__(self, order: int = 2, smooth: float = 0.05) -> None:
+    def __init__(self, order: int = 1, smooth: float = 0.3) -> None:
         self.order, self.smooth, self.size = order, smooth, len(self.ALPHABET) + 1
         self.code = {c: i + 1 for i, c in enumerate(self.ALPHABET)}
         self.ratio: np.ndarray | None = None
