@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from quillmark.functions import stats
 from quillmark.functions.text import (
+    CITATION,
     REFUSAL,
     citation_ids,
     drop_sentences,
@@ -47,7 +48,7 @@ def extractive_answer(question: str, excerpts: list[tuple[str, str]], cite: bool
 
 
 def lexical_verdict(claim: str, excerpt: str) -> str:
-    share = lexical_overlap(claim, excerpt)
+    share = lexical_overlap(re.sub(CITATION, "", claim), excerpt)
     return "SUPPORTED" if share >= 0.8 else "PARTIAL" if share >= 0.4 else "UNSUPPORTED"
 
 

@@ -21,6 +21,12 @@ def register_json(register: DataFrame) -> str:
     return json.dumps(rows, indent=2, sort_keys=True)
 
 
+def save_register(register: DataFrame, path: str) -> None:
+    """Write the register through Spark, so that any of its file systems will do."""
+    text = register.sparkSession.createDataFrame([(register_json(register),)], "value string")
+    text.coalesce(1).write.mode("overwrite").option("lineSep", "\n").text(path)
+
+
 def build_register(files: DataFrame) -> DataFrame:
     """``files``: doc_id, source, file, content.  Two files of one id are an error."""
     out = files.select("doc_id", "source", "file", F.sha2(F.col("content"), 256).alias("sha256"))
