@@ -94,6 +94,31 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL expresses over whole tables."""
     return {
+        "op1_embedding_dedup": """
+            WITH RECURSIVE v AS (
+                SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+                WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+            u AS (SELECT vec_id, label, x, sqrt(list_dot_product(x, x)) AS n FROM v WHERE len(x) > 0 AND list_dot_product(x, x) > 0),
+            l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u AS a JOIN u AS b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+                  WHERE list_dot_product(a.x, b.x) / (a.n * b.n) >= 0.93),
+            r(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+            c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a),
+            k AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY a)
+            SELECT c.vec_id, coalesce(n_links, 0) AS n_links, component_id, c.vec_id = component_id AS kept FROM c LEFT JOIN k ON c.vec_id = k.vec_id""",
+        "op4_ngram_jaccard_join": r"""
+            WITH RECURSIVE w AS (
+                SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+            s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+                         ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END)) AS g FROM w),
+            c AS (SELECT doc_id, g, min(doc_id) OVER (PARTITION BY g) AS class_id, count(*) OVER (PARTITION BY g) AS n_copies FROM s),
+            e AS (SELECT doc_id, len(g) AS n, n_copies, unnest(g) AS x FROM c WHERE doc_id = class_id),
+            p AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(b.n_copies) AS copies, count(*) AS k, any_value(a.n) AS na, any_value(b.n) AS nb
+                  FROM e AS a JOIN e AS b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+            l AS (SELECT a, b, copies FROM p WHERE k >= 0.8E0 * (na + nb - k) - 1e-9),
+            r(a, b) AS (SELECT class_id, class_id FROM c UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+            q AS (SELECT a, min(b) AS group_id FROM r GROUP BY a), m AS (SELECT a, sum(copies) AS links FROM l GROUP BY a)
+            SELECT c.doc_id, c.class_id, c.n_copies, CAST(coalesce(m.links, 0) + c.n_copies - 1 AS BIGINT) AS n_links, q.group_id, c.doc_id = q.group_id AS kept
+            FROM c JOIN q ON q.a = c.class_id LEFT JOIN m ON m.a = c.class_id""",
         "op2_exact_topk": """
             WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS code
                        FROM embeddings
