@@ -16,6 +16,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -144,9 +145,14 @@ def near_duplicates(
     n = classes.count()
     share = min(1.0, sample_rows / max(1, n))
     low_hash = F.pmod(F.xxhash64(F.lit("k-means"), "node"), F.lit(1 << 30)) < int(share * (1 << 30))
-    sample = classes.where(low_hash | F.lit(share >= 1)).select("vector", "dims").toPandas() if n else pd.DataFrame({"vector": [], "dims": []})
-    dims = int(sample["dims"].mode().iloc[0]) if len(sample) else 0
-    train = _unit(sample.loc[sample["dims"] == dims, "vector"]) if len(sample) else np.zeros((0, 0))
+    sample = classes.where(low_hash | F.lit(share >= 1)).select("vector", "dims").toArrow()
+    dims, train = 0, np.zeros((0, 0))
+    if sample.num_rows:
+        lengths, rows_of = np.unique(sample.column("dims").to_numpy(), return_counts=True)
+        dims = int(lengths[rows_of.argmax()])
+        own = sample.filter(pc.equal(sample.column("dims"), dims)).column("vector").combine_chunks()
+        train = own.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+        train = train / np.linalg.norm(train, axis=1, keepdims=True)
     k = max(1, min(math.ceil(n / cell_rows), len(train) // 16))
     centroids = spark.sparkContext.broadcast(spherical_kmeans(train, k) if len(train) else np.zeros((1, 1)))
 
