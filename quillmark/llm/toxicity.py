@@ -11,16 +11,16 @@ suspicious words, since a short insult in a long text is still one.  A logistic
 map, fitted on labelled rows by cross-fitting, turns these into a score.
 
 Counting, continuation counts and smoothing are DataFrame operations over all
-labelled rows outside the held-out third.  What is sent to the tasks has a fixed
-size: ratios per n-gram and per history, hashed into ``SLOTS`` cells each; n-grams
-that meet in a cell are averaged by count.
+labelled rows outside the held-out third.  Every n-gram and every history keeps its
+own ratio.  Up to ``MAX_GRAMS`` n-grams the table is sent to the tasks, keyed by the
+strings themselves; beyond that the distinct words of the texts are joined to it and
+the texts to the words, with the same ratios.
 """
 
 from __future__ import annotations
 
 import math
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +33,8 @@ from quillmark.llm.shared import materialize
 
 ORDER = 5
 DISCOUNT = 0.75
-SLOTS = 1 << 20
+#: Distinct n-grams up to which the ratios are sent to the tasks, about 60 bytes each; more are joined.
+MAX_GRAMS = 1_000_000
 WINDOW = 20
 NOISE = 2.0
 FEATURES = 7
@@ -144,7 +145,7 @@ def shared_backoff(grams: DataFrame, order: int = ORDER, discount: float = DISCO
 
 
 def ratio_table(grams: DataFrame, discount: float = DISCOUNT) -> DataFrame:
-    """``gram, weight, history`` and per fit the log-ratio of the n-gram and that of its
+    """``gram, history`` and per fit the log-ratio of the n-gram and that of its
     history's backoff weights, toxic over ordinary."""
     by_history = Window.partitionBy("history")
     rows = grams.withColumn("history", F.expr("substring(gram, 1, length(gram) - 1)"))
@@ -158,7 +159,7 @@ def ratio_table(grams: DataFrame, discount: float = DISCOUNT) -> DataFrame:
             rows = rows.withColumn(f"t_{fit}{y}", F.sum(c).over(by_history)).withColumn(
                 f"n_{fit}{y}", F.sum((c > 0).cast("long")).over(by_history))
     rows = rows.join(shared_backoff(grams), F.expr("substring(gram, 2)") == F.col("suffix"))
-    out = [F.col("gram"), F.col("history"), (F.col("c_all0") + F.col("c_all1")).alias("weight")]
+    out = [F.col("gram"), F.col("history")]
     for fit in _FITS:
         p, alpha = [], []
         for y in (0, 1):
@@ -169,62 +170,133 @@ def ratio_table(grams: DataFrame, discount: float = DISCOUNT) -> DataFrame:
     return rows.select(*out)
 
 
-def _cell(text: str) -> int:
-    return zlib.crc32(text.encode()) & (SLOTS - 1)
+def features_of(x: np.ndarray, chars: int) -> list[float]:
+    """Ratios by length, from the ratios of a text's words in order and their ``chars``: per
+    character of the whole text; of the words' evidence, what is above ``NOISE``, per word of
+    the best ``WINDOW`` words and of the text; and the mean of the 1, 2, 3 and 5 most
+    suspicious words."""
+    if not len(x):
+        return [0.0] * FEATURES
+    evidence = np.clip(x - NOISE, 0.0, None)
+    size = min(WINDOW, len(x))
+    window = np.convolve(evidence, np.ones(size), "valid").max() / size
+    top = np.zeros(5)
+    best = np.sort(evidence)[::-1][:5]
+    top[: len(best)] = best
+    return [float(x.sum() / (chars + len(x))), float(window), float(evidence.mean()), *(float(top[:k].mean()) for k in (1, 2, 3, 5))]
+
+
+class Keyed:
+    """Values by string of at most ``width`` characters, in sorted arrays; missing strings have none."""
+
+    def __init__(self, keys: list[str] | np.ndarray, values: np.ndarray, width: int) -> None:
+        keys = np.array(keys, f"U{width}")
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], values[order]
+
+    def get(self, strings: np.ndarray, column: int) -> np.ndarray:
+        """Values of one column, NaN for strings that have none."""
+        if not len(self.keys):
+            return np.full(len(strings), np.nan)
+        strings = strings.astype(self.keys.dtype)
+        at = np.minimum(np.searchsorted(self.keys, strings), len(self.keys) - 1)
+        return np.where(self.keys[at] == strings, self.values[at, column], np.nan)
 
 
 class Ratios:
-    """Log-likelihood ratio of words under one fit, from hashed cells."""
+    """Log-likelihood ratio of words under one fit, from the ratios of n-grams and histories."""
 
-    def __init__(self, gram: np.ndarray, history: np.ndarray) -> None:
-        self.gram, self.history, self.cache = gram, history, {}
+    def __init__(self, gram: Keyed, history: Keyed, fit: str) -> None:
+        self.gram, self.history, self.column, self.cache = gram, history, _FITS.index(fit), {}
 
     def __getstate__(self):
         return self.__dict__ | {"cache": {}}
 
-    def _word(self, word: str) -> float:
-        total = 0.0
-        for gram in grams_of(word):
-            r = self.gram[_cell(gram)]
-            # an n-gram never seen: only the backoff weights of its history differ
-            total += float(r if r == r else self.history[_cell(gram[:-1])])
-        return total
+    def _words(self, words: list[str]) -> np.ndarray:
+        grams = [grams_of(w) for w in words]
+        starts = np.cumsum([0, *map(len, grams[:-1])])
+        flat = [g for of in grams for g in of]
+        r = self.gram.get(np.array(flat, f"U{ORDER}"), self.column)
+        # an n-gram never seen: only the backoff weights of its history differ
+        unseen = np.flatnonzero(np.isnan(r))
+        if unseen.size:
+            r[unseen] = np.nan_to_num(self.history.get(np.array([flat[i][:-1] for i in unseen], f"U{ORDER - 1}"), self.column))
+        return np.add.reduceat(r, starts)
 
     def of(self, words: list[str]) -> np.ndarray:
         cache = self.cache
         if len(cache) > _CACHE:
             cache.clear()
-        for word in set(words).difference(cache):
-            cache[word] = self._word(word)
+        if new := list(set(words).difference(cache)):
+            cache.update(zip(new, self._words(new).tolist(), strict=True))
         return np.fromiter(map(cache.__getitem__, words), np.float64, len(words))
 
     def features(self, text: str) -> list[float]:
-        """Ratios by length: per character of the whole text; of the words' evidence, what is
-        above ``NOISE``, per word of the best ``WINDOW`` words and of the text; and the mean of
-        the 1, 2, 3 and 5 most suspicious words."""
         words = words_of(text)
-        if not words:
-            return [0.0] * FEATURES
-        x = self.of(words)
-        evidence = np.clip(x - NOISE, 0.0, None)
-        size = min(WINDOW, len(words))
-        window = np.convolve(evidence, np.ones(size), "valid").max() / size
-        top = np.zeros(5)
-        best = np.sort(evidence)[::-1][:5]
-        top[: len(best)] = best
-        return [float(x.sum() / (sum(map(len, words)) + len(words))), float(window),
-                float(evidence.mean()), *(float(top[:k].mean()) for k in (1, 2, 3, 5))]
-
-
-def _by_cell(table: DataFrame, key: str, values: list[str]) -> dict[str, np.ndarray]:
-    """Averages of ``values`` in SLOTS cells, NaN where nothing falls; at most SLOTS rows are fetched."""
-    cell = F.crc32(F.col(key).cast("binary")).bitwiseAND(F.lit(SLOTS - 1)).cast("int").alias("cell")
-    rows = table.groupBy(cell).agg(*[
-        (F.sum(F.col(v) * F.col("weight")) / F.sum("weight")).cast("float").alias(v) for v in values]).toArrow()
-    out = {v: np.full(SLOTS, np.nan, np.float32) for v in values}
-    for v in values:
-        out[v][rows.column("cell").to_numpy()] = rows.column(v).to_numpy()
-    return out
+        return features_of(self.of(words), sum(map(len, words)))
+
+
+def _histories(table: DataFrame) -> DataFrame:
+    return table.groupBy("history").agg(*[F.first(f"h_{f}").alias(f"h_{f}") for f in _FITS])
+
+
+def _fetched(rows: DataFrame, width: int) -> Keyed:
+    """A table whose first column is the key, on the driver."""
+    found = rows.toArrow()
+    keys = [np.array(c.to_pylist(), f"U{width}") for c in found.column(0).chunks]
+    values = np.stack([c.to_numpy() for c in found.columns[1:]], axis=1)
+    return Keyed(np.concatenate(keys) if keys else [], values, width)
+
+
+def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema({"__row": pa.int64(), "__fold": pa.int32(), "word": pa.string(), "at": pa.list_(pa.int32())})
+    for batch in batches:
+        out: list[tuple] = []
+        for row, fold, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            places: dict[str, list[int]] = {}
+            for i, word in enumerate(words_of(text.as_py() or "")):
+                places.setdefault(word, []).append(i)
+            out += [(row, fold, word, at) for word, at in places.items()]
+            if len(out) >= 50_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema, strict=True)], schema=schema)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema, strict=True)], schema=schema)
+
+
+def _grams_of_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        pairs = [(w, g) for w in batch.column(0).to_pylist() for g in grams_of(w)]
+        yield pa.RecordBatch.from_pydict({"word": [w for w, _ in pairs], "gram": [g for _, g in pairs]})
+
+
+def word_ratios(words: DataFrame, table: DataFrame) -> DataFrame:
+    """``word`` and per fit its log-likelihood ratio ``x_``, by joins with the whole ratio table."""
+    pairs = materialize(words.mapInArrow(_grams_of_words, "word string, gram string"), "kn-word-grams")
+    history = F.expr("substring(gram, 1, length(gram) - 1)")
+    seen = pairs.select("gram").distinct().join(table.drop("history", *[f"h_{f}" for f in _FITS]), "gram", "left")
+    values = seen.withColumn("history", history).join(_histories(table), "history", "left").select(
+        "gram", *[F.coalesce(f"r_{f}", f"h_{f}", F.lit(0.0)).alias(f"x_{f}") for f in _FITS])
+    return pairs.join(materialize(values, "kn-values"), "gram").groupBy("word").agg(*[F.sum(f"x_{f}").alias(f"x_{f}") for f in _FITS])
+
+
+def joined_features(texts: DataFrame, table: DataFrame, value) -> DataFrame:
+    """``__row, __x``: what ``Ratios.features`` gives, of texts (__row, __fold, text) that have a word.
+
+    The ratio of a word is ``value``, of its ratios ``x_`` and of ``__fold``.
+    """
+    found = texts.select("__row", "__fold", "text").mapInArrow(_occurrences, "__row long, __fold int, word string, at array<int>")
+    found = materialize(found, "kn-occurrences")
+    words = materialize(word_ratios(found.select("word").distinct(), table), "kn-word-ratios")
+    placed = found.join(words, "word").withColumn("__value", value).groupBy("__row").agg(
+        F.flatten(F.collect_list(F.expr("transform(at, i -> struct(i, __value as x))"))).alias("xs"),
+        F.sum(F.length("word") * F.size("at")).alias("chars"))
+
+    @F.pandas_udf("array<double>")
+    def features(xs: pd.Series, chars: pd.Series) -> pd.Series:
+        return pd.Series([features_of(np.asarray(x, np.float64), int(n)) for x, n in zip(xs, chars, strict=True)])
+
+    return placed.select("__row", features(F.transform(F.array_sort("xs"), lambda s: s["x"]), "chars").alias("__x"))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, toxic_weight: float, l2: float = 0.1, rounds: int = 50) -> np.ndarray:
@@ -242,18 +314,27 @@ def _logistic(x: np.ndarray, y: np.ndarray, toxic_weight: float, l2: float = 0.1
 
 
 class ToxicityModel:
-    def __init__(self, ratios: Ratios | None, scale: np.ndarray, weights: np.ndarray, prior: float) -> None:
-        self.ratios, self.scale, self.weights, self.prior = ratios, scale, weights, prior
+    """Has ``ratios``, or a ``table`` of ratios to be joined, or neither: then the score is the prior."""
+
+    def __init__(
+        self, ratios: Ratios | None, scale: np.ndarray, weights: np.ndarray, prior: float, table: DataFrame | None = None
+    ) -> None:
+        self.ratios, self.scale, self.weights, self.prior, self.table = ratios, scale, weights, prior, table
+
+    def __getstate__(self):
+        return self.__dict__ | {"table": None}
 
     def score(self, text: str | None) -> float:
-        if self.ratios is None:
-            return self.prior
-        z = np.array(self.ratios.features(text or "")) / self.scale
+        return self.prior if self.ratios is None else self.score_of(self.ratios.features(text or ""))
+
+    def score_of(self, features) -> float:
+        z = np.asarray(features) / self.scale
         return float(1 / (1 + np.exp(-np.clip(z @ self.weights[:-1] + self.weights[-1], -30, 30))))
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, toxic_weight: float = 2.5, max_broadcast_rows: int = 2_000_000
+    docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, toxic_weight: float = 2.5, max_broadcast_rows: int = 2_000_000,
+    max_grams: int = MAX_GRAMS,
 ) -> ToxicityModel:
     """Fit on all rows of ``docs`` that ``labels`` marks, outside the held-out third.
 
@@ -262,6 +343,7 @@ def train(
     ``toxic_weight`` ordinary ones.  Null labels are ignored;
     of repeated labels for an id the largest counts.  Labels are broadcast only up
     to ``max_broadcast_rows`` rows; beyond that both sides are shuffled by id.
+    Beyond ``max_grams`` distinct n-grams the ratios stay a table that words are joined to.
     With labels of one class or none the model gives their share as every score.
     """
     marks = labels.where("toxic is not null and doc_id is not null").where(~held_out()).groupBy("doc_id").agg(
@@ -274,28 +356,45 @@ def train(
         "fold", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(2)).cast("int"))
     words = materialize(word_counts(labelled), "kn-words")
     table = materialize(ratio_table(materialize(gram_counts(words), "kn-grams")), "kn-ratios")
-    r = _by_cell(table, "gram", [f"r_{f}" for f in _FITS])
-    h = _by_cell(table, "history", [f"h_{f}" for f in _FITS])
-    fits = {f: Ratios(r[f"r_{f}"], np.nan_to_num(h[f"h_{f}"])) for f in _FITS}
-    sc = docs.sparkSession.sparkContext
-    folds = sc.broadcast((fits["f1"], fits["f0"]))  # a fold is scored by the model of the other
-
-    @F.pandas_udf("array<double>")
-    def features(texts: pd.Series, fold: pd.Series) -> pd.Series:
-        return pd.Series([list(folds.value[f].features(t or "")) for t, f in zip(texts, fold, strict=True)])
-
     share = min(1.0, fit_rows / n["n"])
     bound = int(-(2**63) + share * (2**64 - 1)) if share < 1 else 2**63 - 1
-    sample = labelled.where(F.xxhash64(F.lit("fit"), "doc_id") <= F.lit(bound)).select(
-        features("text", "fold").alias("x"), "toxic").toArrow()
+    sample = labelled.where(F.xxhash64(F.lit("fit"), "doc_id") <= F.lit(bound))
+    ratios = None
+    # a fold is scored by the model of the other
+    if table.count() <= max_grams:
+        gram, history = _fetched(table.select("gram", *[f"r_{f}" for f in _FITS]), ORDER), _fetched(_histories(table), ORDER - 1)
+        ratios = Ratios(gram, history, "all")
+        folds = docs.sparkSession.sparkContext.broadcast((Ratios(gram, history, "f1"), Ratios(gram, history, "f0")))
+
+        @F.pandas_udf("array<double>")
+        def features(texts: pd.Series, fold: pd.Series) -> pd.Series:
+            return pd.Series([list(folds.value[f].features(t or "")) for t, f in zip(texts, fold, strict=True)])
+
+        sample = sample.select(features("text", "fold").alias("x"), "toxic").toArrow()
+    else:
+        rows = materialize(sample.select(
+            F.monotonically_increasing_id().alias("__row"), F.col("fold").alias("__fold"), "text", "toxic"), "kn-fit")
+        other = F.when(F.col("__fold") == 0, F.col("x_f1")).otherwise(F.col("x_f0"))
+        sample = rows.join(joined_features(rows, table, other), "__row", "left").select(
+            F.coalesce("__x", F.array(*[F.lit(0.0)] * FEATURES)).alias("x"), "toxic").toArrow()
     x = np.array(sample.column("x").to_pylist(), np.float64).reshape(-1, FEATURES)
     y = np.array(sample.column("toxic").to_pylist(), np.float64)
     scale = np.maximum(x.std(axis=0), 1e-9) if len(x) else np.ones(FEATURES)
-    return ToxicityModel(fits["all"], scale, _logistic(x / scale, y, toxic_weight), float(n["t"]) / n["n"])
+    weights = _logistic(x / scale, y, toxic_weight)
+    return ToxicityModel(ratios, scale, weights, float(n["t"]) / n["n"], table if ratios is None else None)
 
 
 def add_score(docs: DataFrame, model: ToxicityModel, column: str = "__toxicity") -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    if model.table is not None:
+        rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "kn-docs")
+        x = joined_features(rows.select("__row", F.lit(0).alias("__fold"), "text"), model.table, F.col("x_all"))
+
+        @F.pandas_udf("double")
+        def score_of(xs: pd.Series) -> pd.Series:
+            return pd.Series([shared.value.score_of([0.0] * FEATURES if f is None else f) for f in xs], dtype="float64")
+
+        return rows.join(x, "__row", "left").withColumn(column, score_of("__x")).drop("__row", "__x")
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:

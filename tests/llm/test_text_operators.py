@@ -310,3 +310,61 @@ def test_held_out_labels_are_not_read(spark):
     flipped = [(i, 1 - y if zlib.crc32(str(i).encode()) % 3 == 1 else y) for i, y in labels]
     a, b = (by_rows(toxicity.score_toxicity(df, spark.createDataFrame(x, "doc_id long, toxic int")), "doc_id", "score") for x in (labels, flipped))
     assert [x[0] for x in a] == [x[0] for x in b] and np.allclose([x[1] for x in a], [x[1] for x in b])
+
+
+def brute_ratios(labelled, words):
+    """Kneser-Ney log-ratios of words, toxic over ordinary, in plain Python; ``labelled`` has (text, toxic)."""
+    top, total, kinds = Counter(), Counter(), Counter()
+    for text, y in labelled:
+        for word in toxicity.words_of(text):
+            top.update((y, g) for g in toxicity.grams_of(word))
+    for (y, g), n in top.items():
+        total[y, g[:-1]] += n
+        kinds[y, g[:-1]] += 1
+    before = defaultdict(set)  # characters before a string; strings at a word's start have none before them
+    level = {g for _, g in top if len(g) == 5}
+    for length in (4, 3, 2, 1):
+        for g in level:
+            before[g[1:]].add(g[0])
+        level = {g[1:] for g in level} | {g for _, g in top if len(g) == length}
+    follow, varied = Counter(), Counter()
+    for g, found in before.items():
+        follow[g[:-1], len(g)] += len(found)
+        varied[g[:-1], len(g)] += 1
+
+    def shared(g):
+        t = follow[g[:-1], len(g)]
+        if len(g) == 1:
+            return len(before[g]) / t
+        return (max(len(before[g]) - 0.75, 0) + 0.75 * varied[g[:-1], len(g)] * shared(g[1:])) / t
+
+    def gram(g):
+        p = shared(g[1:]) if (0, g) in top or (1, g) in top else 1.0  # never seen: cancels
+        of = [(max(top[y, g] - 0.75, 0) + 0.75 * kinds[y, g[:-1]] * p) / total[y, g[:-1]] if total[y, g[:-1]] else p for y in (0, 1)]
+        return np.log(of[1] / of[0])
+
+    return [sum(gram(g) for g in toxicity.grams_of(w)) for w in words]
+
+
+def test_every_gram_keeps_its_ratio(spark):
+    """Over 50,000 n-grams, so that any two that share a cell of 2^20 would show."""
+    rng = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyzäöé"
+    word = lambda: "".join(rng.choices(letters, k=rng.randint(4, 9)))
+    rows = [(i, " ".join(word() for _ in range(40))) for i in range(450)]
+    labels = [(i, int(i % 4 == 0)) for i, _ in rows]
+    learned = [(t, y) for (i, t), (_, y) in zip(rows, labels, strict=True) if zlib.crc32(str(i).encode()) % 3 != 1]
+    model = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    words = sorted({w for t, _ in learned for w in t.split()})[::40] + [word() for _ in range(300)]
+    assert np.allclose(model.ratios.of(words), brute_ratios(learned, words), rtol=0, atol=1e-6)
+
+
+def test_joined_ratios_like_sent_ones(spark):
+    rows, labels = toxic_rows(400)
+    rows += [(5000, None), (5001, ""), (5002, "frunk " * 3000), (5003, "ba Unseen ke lo"), (5003, "ba Unseen ke lo"), (None, "lo")]
+    df = frame(spark, rows, "doc_id long, text string")
+    marks = spark.createDataFrame(labels, "doc_id long, toxic int")
+    sent, joined = toxicity.train(df, marks), toxicity.train(df, marks, max_grams=0)
+    assert joined.ratios is None and np.allclose(sent.weights, joined.weights)
+    a, b = (by_rows(toxicity.add_score(df, m), "doc_id", "__toxicity") for m in (sent, joined))
+    assert [x[0] for x in a] == [x[0] for x in b] and np.allclose([x[1] for x in a], [x[1] for x in b], rtol=0, atol=1e-6)
