@@ -1,18 +1,20 @@
 """Secret scans: fixed patterns plus a likelihood-ratio test of character models.
 
 Two character Markov models of the same order, one trained on random strings and
-one on ordinary identifiers, score every long token that no pattern covers.  The
-token is a secret if its log-likelihood ratio per character (random over
-ordinary) reaches a threshold.  Training samples are labelled rows ``(text,
-label)``; ``labelled_samples`` makes them: random strings over the usual key
-alphabets from a seeded generator, and ordinary identifiers joined from words of
-a word list in the usual styles.  ``samples_from`` adds words of a corpus.
+one on ordinary identifiers, score what the patterns leave of every long token.
+Log-likelihood ratios (random over ordinary) less a threshold are cumulated along
+it, and the runs that gain most are secrets, so that a key is found inside a path
+or an identifier too; so is a segment or token whose mean ratio reaches the
+threshold.  Training samples are labelled rows ``(text, label)``;
+``labelled_samples`` makes them: random strings over the usual key alphabets from a
+seeded generator, and ordinary identifiers joined from words of a word list in the
+usual styles.  ``plain_samples`` adds numbers, dates and rules to the ordinary
+ones, ``samples_from`` words of a corpus.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 import random
 import re
 import string
@@ -33,6 +35,12 @@ KINDS = ("assign", "access", "hex", "random")
 #: An assignment has one of these, in some case.
 _WORDS = ("passw", "secret", "token", "apikey", "api_key")
 _TOKEN = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
+#: Characters of the shortest token, and of the shortest run in one.
+SHORTEST = 20
+#: A run's ends move over so many characters to the ends of its segment.
+_SNAP = 3
+_JOINS = "/_-+="
+_SEGMENT = re.compile(r"[A-Za-z0-9]{20,}={0,2}")
 
 #: Roots of ordinary identifiers.
 ROOTS = (
@@ -73,6 +81,22 @@ def labelled_samples(n: int = 6_000, seed: int = 11) -> list[tuple[str, int]]:
     return rows
 
 
+def plain_samples(n: int = 450, seed: int = 12) -> list[tuple[str, int]]:
+    """Numbers, dates and times, and rules of one or two characters, as label-0 samples."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        if i % 3 == 0:
+            text = "".join(rng.choices(string.digits, k=rng.randint(4, 24)))
+        elif i % 3 == 1:
+            parts = [rng.randint(1900, 2099), *(rng.randint(0, 59) for _ in range(rng.randint(2, 5)))]
+            text = rng.choice("-/_").join(f"{x:02d}" for x in parts)
+        else:
+            text = "".join(rng.choices(string.ascii_letters + string.digits + "+/_-----____", k=rng.randint(1, 2))) * rng.randint(4, 24)
+        rows.append((text, 0))
+    return rows
+
+
 class MarkovPair:
     """Add-k smoothed character models of one order for both labels."""
 
@@ -108,6 +132,10 @@ class MarkovPair:
         self.ratio = logs[1] - logs[0]
         return self
 
+    def ratios(self, text: str) -> np.ndarray:
+        """Log-likelihood ratio of each character."""
+        return self.ratio[self._grams(text)]
+
     def score(self, text: str) -> float:
         """Mean log-likelihood ratio per character; 0 for the empty text."""
         return float(self.ratio[self._grams(text)].mean()) if text else 0.0
@@ -145,25 +173,71 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(spans)
 
 
-def _entropy(token: str) -> float:
-    n = len(token)
-    return -sum(c / n * math.log2(c / n) for c in (token.count(x) for x in set(token)))
+def random_runs(text: str, model: MarkovPair, threshold: float) -> list[tuple[int, int]]:
+    """(start, end) of the runs of ``SHORTEST`` characters or more that the models call random.
 
+    A run starts where the cumulated ratio less ``threshold`` a character leaves zero, ends
+    at the peak, and is over when the sum has lost twice what it takes to be a run.
+    """
+    if len(text) < SHORTEST:
+        return []
+    least = SHORTEST * threshold
+    gains = model.ratios(text) - threshold
+    if gains[gains > 0].sum() < least:
+        return []
+    runs, steps = [], gains.tolist()
+    at = start = end = 0
+    total = peak = 0.0
+
+    def close():
+        lo, hi = start, end
+        while lo > 0 and start - lo <= _SNAP and text[lo - 1] not in _JOINS:
+            lo -= 1
+        while hi < len(text) and hi - end <= _SNAP and text[hi] not in _JOINS:
+            hi += 1
+        lo, hi = (start if start - lo > _SNAP else lo), (end if hi - end > _SNAP else hi)
+        while hi < len(text) and text[hi] == "=":
+            hi += 1
+        if hi - lo >= SHORTEST and peak >= least:
+            runs.append((lo, hi))
+
+    while at < len(steps):
+        total += steps[at]
+        at += 1
+        if total > peak:
+            peak, end = total, at
+        elif total <= 0 or total <= peak - 2 * least:
+            close()
+            # what followed the peak may start a run of its own
+            at = start = end = end if peak > 0 else at
+            total = peak = 0.0
+    close()
+    return runs
+
+
+def random_parts(text: str, model: MarkovPair, threshold: float) -> list[tuple[int, int]]:
+    """The random runs of ``text``; of the segments and the text that hold none of these, those of a mean ratio of ``threshold``."""
+    if len(text) < SHORTEST:
+        return []
+    found = random_runs(text, model, threshold)
+    for m in (*_SEGMENT.finditer(text), *re.finditer(".+", text)):
+        if m.end() - m.start() >= SHORTEST and not any(s < m.end() and m.start() < e for s, e in found):
+            if model.score(m.group()) >= threshold:
+                found.append(m.span())
+    return found
 
-def model_spans(text: str, covered: list[tuple[int, int, int]], model: MarkovPair, threshold: float) -> list[tuple[int, int, int]]:
-    """Tokens outside the base spans that the models call random.
 
-    A token needs digits and letters; words in any language then never qualify.
-    """
+def model_spans(text: str, covered: list[tuple[int, int, int]], model: MarkovPair, threshold: float) -> list[tuple[int, int, int]]:
+    """Runs in tokens, outside the base spans, that the models call random."""
     spans = []
     for m in _TOKEN.finditer(text):
-        token = m.group()
-        if any(s < m.end() and m.start() < e for s, e, _ in covered):
-            continue
-        if not (any(c.isdigit() for c in token) and any(c.isalpha() for c in token)):
-            continue
-        if model.score(token) >= threshold and _entropy(token) >= 3.0:
-            spans.append((m.start(), m.end(), 3))
+        at, pieces = m.start(), []
+        for s, e, _ in covered:
+            if s < m.end() and at < e:
+                pieces.append((at, s))
+                at = e
+        for lo, hi in [*pieces, (at, m.end())]:
+            spans += [(lo + s, lo + e, 3) for s, e in random_parts(text[lo:hi], model, threshold)]
     return spans
 
 
@@ -171,6 +245,10 @@ def _written(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, e, k in sorted(spans))
 
 
+def default_model() -> MarkovPair:
+    return MarkovPair().fit(labelled_samples() + plain_samples())
+
+
 _SCHEMA = (
     "doc_id long, n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string"
 )
@@ -184,7 +262,7 @@ def scan_secrets(docs: DataFrame, model: MarkovPair | None = None, threshold: fl
     empty text neither.  Repeated rows give repeated results.  Extra columns are
     ignored.  Memory is bounded by the longest text.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model or MarkovPair().fit(labelled_samples()))
+    shared = docs.sparkSession.sparkContext.broadcast(model or default_model())
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = shared.value

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import string
 import zlib
 from collections import Counter, defaultdict
 
@@ -163,6 +164,32 @@ def test_markov_models_on_held_out_samples():
     assert right / len(held) > 0.97
 
 
+def test_keys_in_paths_and_identifiers():
+    """Random keys are found through ``model_spans`` whatever is joined to them, ordinary text is not."""
+    model, rng = secret_scan.default_model(), random.Random(21)
+    alnum = string.ascii_letters + string.digits
+
+    def spans(text):
+        return secret_scan.model_spans(text, secret_scan.base_spans(text), model, 0.5)
+
+    for form in ("{k}", "{a}/{b}/{c}/{d}/{k}", "{a}_{b}_{c}_{k}_{d}", "{a}-{b}-{k}", "{a}{b}{c}{d}{k}", "{a}/" + "0123456789abcdef" * 2 + "/{k}"):
+        for alphabet in (alnum, string.ascii_lowercase + string.digits, string.ascii_letters):
+            found = 0
+            for _ in range(200):
+                key = "".join(rng.choices(alphabet, k=24))
+                text = form.format(k=key, **dict(zip("abcd", rng.choices(secret_scan.ROOTS, k=4), strict=True)))
+                at = text.index(key)
+                # four fifths of the key or more are covered
+                found += any(min(e, at + 24) - max(s, at) >= 20 for s, e, _ in spans(text))
+            assert found >= 0.9 * 200, (form, alphabet, found)
+    two = ["".join(rng.choices(alnum, k=32)) for _ in range(2)]
+    assert len(spans(f"config/{two[0]}/service/account/document/history/template/{two[1]}")) == 2
+    for style in ("_", "-", "/", ""):
+        assert sum(bool(spans(style.join(rng.choices(secret_scan.ROOTS, k=rng.randint(4, 8))))) for _ in range(500)) <= 5
+    for text in ("-" * 40, "_" * 30, "+-" * 15, "2024-01-05-12-30-45-00-11", "12345678901234567890123", "Donaudampfschifffahrtsgesellschaftskapitaen"):
+        assert not spans(text), text
+
+
 # ---- mixing ----
 
 def brute_targets(sizes, share=1.5):
