@@ -19,7 +19,7 @@ from quillmark.llm import (
     toxicity,
     warc,
 )
-from quillmark.llm.shared import scratch_path
+from quillmark.llm.shared import materialize, scratch_path
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -50,10 +50,13 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(_table(spark, sf_dir, "documents"))
-    return mixed.select(
+    mixed = materialize(
+        mixing.mix(_table(spark, sf_dir, "documents")).withColumn("row", F.monotonically_increasing_id()), "mixed")
+    ordered = materialize(mixing.training_order(mixed.select("row", "doc_id", "occurrences")), "training-order")
+    read = ordered.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("copy", "position"))).alias("reads"))
+    return mixed.join(read, "row", "left").select(
         "doc_id", "size", "source_size", "target", "taken", "source",
-        F.transform("occurrences", lambda o: o["position"]).alias("positions"),
+        F.coalesce(F.transform("reads", lambda o: o["position"]), F.array().cast("array<double>")).alias("positions"),
     )
 
 

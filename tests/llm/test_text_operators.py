@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillmark.llm import line_dedup, mixing, packing, secret_scan, sharding, toxicity
+from quillmark.llm import line_dedup, mixing, packing, queries, secret_scan, sharding, toxicity
 from quillmark.llm.queries import tokenizer_path
 
 #: Names that the operators use themselves.
@@ -237,6 +237,19 @@ def test_curriculum_inverts_the_demand(spark, texts):
             done += r["words"]
 
 
+def test_mix_query_sorts_the_occurrences(spark, texts, tmp_path, monkeypatch):
+    """The query's positions come out of the range sort and are those of ``mix``."""
+    frame(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    sorts, sort = [], mixing.training_order
+    monkeypatch.setattr(mixing, "training_order", lambda mixed: sorts.append(sort(mixed)) or sorts[-1])
+    out = queries.op5_source_mix(spark, str(tmp_path))
+    mixed = mixing.mix(spark.read.parquet(str(tmp_path / "documents.parquet"))).withColumn("positions", F.expr("transform(occurrences, o -> o.position)"))
+    names = ("doc_id", "size", "source_size", "target", "taken", "source", "positions")
+    assert out.columns == list(names) and by_rows(out, *names) == by_rows(mixed, *names)
+    [rows] = [s.collect() for s in sorts]
+    assert [r["position"] for r in rows] == sorted(p for r in out.collect() for p in r["positions"])
+
+
 def test_mix_of_nothing(spark):
     assert mixing.mix(frame(spark, [])).count() == 0
     assert [r["taken"] for r in mixing.mix(frame(spark, [(1, None, None), (2, "", "a")])).collect()] == [0, 0]
