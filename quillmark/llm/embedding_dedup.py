@@ -75,9 +75,10 @@ def _cell_links(threshold: float, step: int = 1024):
             homes, which = np.unique(home, return_inverse=True)
             position = {int(h): i for i, h in enumerate(homes)}
             sees = np.zeros((len(part), len(homes)), bool)  # row is also looked up in that home cell
-            for r, cells in enumerate(part["cells"]):
+            looked = [{int(c) for c in cells} for cells in part["cells"]]
+            for r, cells in enumerate(looked):
                 for c in cells:
-                    if (p := position.get(int(c))) is not None:
+                    if (p := position.get(c)) is not None:
                         sees[r, p] = True
             weight = part["copies"].to_numpy(np.int64)
             count = np.zeros(len(part), np.int64)
@@ -90,11 +91,15 @@ def _cell_links(threshold: float, step: int = 1024):
                     ok &= block[i] != block[j]
                 i, j = i[ok], j[ok]
                 # Pairs with both homes here belong here; a pair of two homes belongs to the
-                # smaller one, if both rows are there; pairs of two guests belong elsewhere.
+                # smaller one, if both rows are there.  Two guests belong here only if neither
+                # is in the other's home and no smaller cell holds both.
                 here = is_home[i] & is_home[j]
                 one = is_home[i] ^ is_home[j]
                 own, guest = np.where(is_home[i], i, j), np.where(is_home[i], j, i)
-                ok = here | (one & ((cell < home[guest]) | ~sees[own, which[guest]]))
+                guests = ~is_home[i] & ~is_home[j] & ~sees[i, which[j]] & ~sees[j, which[i]]
+                for q in np.flatnonzero(guests):
+                    guests[q] = cell == min(looked[i[q]] & looked[j[q]])
+                ok = here | guests | (one & ((cell < home[guest]) | ~sees[own, which[guest]]))
                 i, j = i[ok], j[ok]
                 np.add.at(count, i, weight[j])
                 np.add.at(count, j, weight[i])

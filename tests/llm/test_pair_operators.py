@@ -7,6 +7,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -210,3 +211,27 @@ def test_plain_and_gzip_members():
         assert [b for _, b in warc.parse_warc(data)] == [b"ab\r\n"] * 3
     with pytest.raises(ValueError):
         list(warc.parse_warc(record[:-8]))
+
+
+def test_guests_of_a_cell_are_linked_once():
+    """Two rows that only meet outside their homes are counted in the smallest cell they share."""
+    rows = [("a", "x", 2, 1, [1.0, 0.0], 1, [1, 3, 5], 0), ("b", "x", 2, 1, [1.0, 0.01], 2, [2, 3, 5], 0), ("c", "x", 2, 1, [1.0, 0.02], 3, [1, 3], 0)]
+    names = ["node", "label", "dims", "copies", "vector", "home", "cells", "block"]
+    links = Counter()
+    for cell in (1, 2, 3, 5):
+        part = pd.DataFrame([r for r in rows if cell in r[6]], columns=names)
+        for r in embedding_dedup._cell_links(0.93)((cell, 0, 0), part).itertuples():
+            links[r.node] += r.links
+    assert links == {"a": 2, "b": 2, "c": 2}
+
+
+def test_recall_with_several_cells_at_64_dimensions(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1200, 64))
+    x = np.vstack([x, x[:400] + rng.normal(size=(400, 64)) * rng.uniform(0.05, 0.38, size=(400, 1))])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = int((unit @ unit.T >= 0.93).sum()) - len(x)
+    df = spark.createDataFrame([(i, v.tolist(), "x") for i, v in enumerate(x)], "vec_id long, embedding array<double>, label string")
+    got = sum(r["n_links"] for r in embedding_dedup.near_duplicates(df, cell_rows=100).collect())
+    print("recall", got / want, want)
+    assert want > 300 and 0.99 * want <= got <= want
