@@ -16,11 +16,9 @@ joins ready-made id bytes; texts with other white space are tokenised whole.
 
 from __future__ import annotations
 
-import bisect
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -28,11 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmark.llm.shared import materialize, shuffle_partitions
+from quillmark.llm.shared import materialize, parts_for
 
 CAPACITY = 1024
 END_ID = 2
 _CACHE = 400_000
+#: Rows that four buckets hold on average; pieces of a length are ranked bucket by bucket.
+_BUCKET_ROWS = 1_000_000
 
 
 #: Punctuation that always starts a token of its own after a letter or digit.
@@ -120,8 +120,9 @@ class WordTokenizer:
         missing: set[str] = set()
         for text in texts:
             words = None
-            # Single spaces and line breaks between words, nothing else that is white space.
-            if text and "\x00" not in text and len(text.split()) == text.count(" ") + text.count("\n") + 1:
+            # Single spaces and line breaks between words, nothing else that is white space,
+            # so that no word is empty.
+            if "\x00" not in text and text.replace("\n", " ").split(" ") == text.split():
                 words = text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00")
                 missing.update(set(words).difference(self.cache))
             cut.append(words)
@@ -219,23 +220,28 @@ def _best_pair(left: np.ndarray, over: int, room: int) -> tuple[int, int] | None
 class Layout:
     """Where the r-th piece of a length goes, by the plan."""
 
+    #: Length and rank make one sortable number; there are fewer pieces of a length than this.
+    _SPAN = 1 << 48
+
     def __init__(self, plan: list[tuple[list[int], int]]) -> None:
-        runs: dict[int, list[tuple[int, int, int]]] = {}
-        first = 0
+        runs, first = [], 0
+        taken: dict[int, int] = {}
         for pattern, times in plan:
             offset = 0
             for length in pattern:
-                runs.setdefault(length, []).append((times, first, offset))
+                rank = taken.get(length, 0)
+                runs.append((length * self._SPAN + rank, first, offset))
+                taken[length] = rank + times
                 offset += length
             first += times
         self.sequences = first
-        self.ends = {n: list(accumulate(t for t, _, _ in r)) for n, r in runs.items()}
-        self.runs = runs
+        runs.sort()
+        self.starts, self.firsts, self.offsets = (np.array(x, np.int64) for x in zip(*runs, strict=True)) if runs else (np.empty(0, np.int64),) * 3
 
-    def place(self, length: int, rank: int) -> tuple[int, int]:
-        i = bisect.bisect_right(self.ends[length], rank)
-        times, first, offset = self.runs[length][i]
-        return first + rank - (self.ends[length][i] - times), offset
+    def place(self, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = length * self._SPAN + rank
+        run = np.searchsorted(self.starts, at, "right") - 1
+        return self.firsts[run] + at - self.starts[run], self.offsets[run]
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -250,7 +256,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     spark = pieces.sparkSession
     sizes = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     layout = spark.sparkContext.broadcast(Layout(best_two_fit(sizes, capacity)))
-    buckets = 4 * shuffle_partitions(spark)
+    buckets = 4 * parts_for(sum(sizes.values()), _BUCKET_ROWS, spark)
     bucketed = pieces.withColumn("__bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
     earlier = Window.partitionBy("length").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     before = bucketed.groupBy("length", "__bucket").agg(F.count(F.lit(1)).alias("__n")).select(
@@ -262,8 +268,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     @F.pandas_udf("sequence_id long, offset long")
     def placed(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
-        at = [layout.value.place(n, r) for n, r in zip(length.tolist(), rank.tolist(), strict=True)]
-        return pd.DataFrame(at, columns=["sequence_id", "offset"], dtype="int64")
+        sequence, offset = layout.value.place(length.to_numpy(np.int64), rank.to_numpy(np.int64))
+        return pd.DataFrame({"sequence_id": sequence, "offset": offset})
 
     columns = [F.col(c) for c in pieces.columns]
     return ranked.select(*columns, placed("length", F.col("__before") + F.col("__inside")).alias("__at")).select(

@@ -284,6 +284,26 @@ def test_packing_like_whole_text_ids(spark, texts):
     assert len(bins) <= -(-sum(r["length"] for r in out) // 1024) + 2
 
 
+def test_words_like_whole_texts():
+    """Any white space anywhere: the cached words give the ids of the whole text."""
+    rng = random.Random(5)
+    spaces = [chr(c) for c in range(0x3001) if chr(c).isspace()] + ["\x00", "\u200b", "\ufeff"]
+    words = ["foo", "bar's", "Ähre", "x1y2", "!!", "'s", "a.b", "一二", "½", "http://a/b", "1,000", "ﬀ", "--", "ça,", "\u0301", "🙂", "٣"]
+    texts = ["foo\tbar\n", "x\u2003y\nz\n", "", " ", "\n", "a\n", "\na", "a  b"]
+    for _ in range(10_000):
+        text = "".join(rng.choice(words) + rng.choice(["", " ", "\n", " ", rng.choice(spaces)]) for _ in range(rng.randint(1, 6)))
+        texts.append(rng.choice(["", "", rng.choice(spaces)]) + text + rng.choice(["", "", rng.choice(spaces)]))
+    tokenizer = packing.word_tokenizer(tokenizer_path())
+    for at in range(0, len(texts), 256):
+        part = texts[at : at + 256]
+        assert tokenizer.encode(part) == [tokenizer.whole(t) for t in part]
+
+
+def test_packing_tabs_before_a_last_line_break(spark):
+    out = packing.pack_documents(frame(spark, [(1, "foo\tbar\n", "s"), (2, "x\u2003y\nz\n", "s")]), tokenizer_path()).collect()
+    assert sorted(r["doc_id"] for r in out) == [1, 2]
+
+
 def test_best_two_fit_replaces_the_smallest():
     # 60 + 30 leaves 10; 25 and 15 fill the gap of 40 exactly
     assert packing.best_two_fit({60: 1, 30: 1, 25: 1, 15: 1}, 100)[0] == ([60, 25, 15], 1)
