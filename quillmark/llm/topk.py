@@ -3,16 +3,19 @@
 Vectors are cut into 1, 4 and 16 segments.  A segment's mean and deviation bound
 what it can add to an inner product: with n components, means m and deviations s,
 ``n * (m1*m2 + s1*s2)`` at most, by Cauchy-Schwarz on the centred parts; equally,
-they bound the squared distance from below.  Each task reads its rows in batches,
-keeps every query's best k so far, and drops rows whose bound cannot reach the
-query's k-th score, coarse bounds first.  Exact integer products are computed for
-the survivors only.  The queries go to the tasks in blocks of a fixed number.
+they bound the squared distance from below.  A task holds one block of queries and
+streams one part of the rows past it.  It keeps every query's best k so far, drops
+the pairs whose bound cannot reach the query's k-th score, coarse bounds first, and
+computes exact integer products for the survivors only.
+
+Blocks and parts form a grid of tasks.  Queries and rows reach their tasks through
+one shuffle, queries first; nothing passes through the driver or a broadcast.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +25,10 @@ from pyspark.sql import functions as F
 from quillmark.llm.shared import materialize
 
 LEVELS = (1, 4, 16)
+#: Below this, sums of products are exact in double precision.
+_EXACT = 1 << 53
+#: Pairs looked at in one step, and the share of survivors up to which they are looked at one by one.
+_PAIRS, _SPARSE = 1 << 21, 0.05
 
 
 def quantized(vectors: DataFrame, scale: int = 256) -> DataFrame:
@@ -44,97 +51,173 @@ def segment_statistics(x: np.ndarray, segments: int) -> np.ndarray:
 
 
 class QueryBlock:
-    """Queries of one length and their statistics."""
-
-    def __init__(self, ids: np.ndarray, codes: np.ndarray) -> None:
-        self.ids, self.codes = ids, codes
-        self.levels = [segment_statistics(codes, s) for s in LEVELS]
-
-    def search(self, k: int):
-        """Empty result: ids and scores of the best k, worst possible."""
-        return np.full((len(self.ids), k), np.iinfo(np.int64).max), np.full((len(self.ids), k), -np.inf)
-
-    def update(self, best_ids: np.ndarray, best: np.ndarray, ids: np.ndarray, codes: np.ndarray) -> None:
-        """Merge a batch of rows into every query's best k."""
-        levels = [segment_statistics(codes, s) for s in LEVELS]
-        slack = 1e-6 * (1 + np.abs(levels[0]).sum(axis=1))  # rounding of the bounds
-        for q in range(len(self.ids)):
-            alive = np.flatnonzero(ids != self.ids[q])
-            floor = best[q, -1]
-            for mine, theirs in zip(self.levels, levels, strict=True):
-                if floor == -np.inf or not alive.size:
-                    break
-                norm = 1 + np.abs(mine[q]).sum()
-                alive = alive[theirs[alive] @ mine[q] + slack[alive] * norm >= floor]
-            if not alive.size:
-                continue
-            scores = codes[alive] @ self.codes[q]
-            both_ids = np.concatenate([best_ids[q], ids[alive]])
-            both = np.concatenate([best[q], scores])
-            order = np.lexsort((both_ids, -both))[: best.shape[1]]
-            best_ids[q], best[q] = both_ids[order], both[order]
+    """Queries of one length, their statistics, and the best k rows of each so far."""
+
+    def __init__(self, ids: np.ndarray, codes: np.ndarray, k: int) -> None:
+        self.ids, self.codes, self.k = ids, codes, k
+        self.levels = [segment_statistics(codes.astype(np.float64), s) for s in LEVELS] if codes.shape[1] else []
+        self.largest = float(np.abs(codes.astype(np.float64)).max(initial=0))
+        self.best = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64))  # query, score, id
+        self.floor = np.full(len(ids), -np.inf)
+        self.last = np.full(len(ids), np.iinfo(np.int64).max)  # id at the floor
+        self.seen = self.pairs = self.scored = 0
+
+    def update(self, ids: np.ndarray, codes: np.ndarray) -> None:
+        """Merge rows into every query's best k, few at first so that bounds soon have a floor to reach."""
+        at = 0
+        while at < len(ids):
+            n = max(1, min(max(64, self.seen), 2048, _PAIRS // len(self.ids)))
+            self._merge(ids[at : at + n], codes[at : at + n])
+            self.seen += n
+            at += n
+
+    def _survivors(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Row and query of the pairs that all bounds let through."""
+        rows, queries = None, None
+        shape = (len(codes), len(self.ids))
+        if self.levels and (self.floor > -np.inf).any():
+            wide = codes.astype(np.float64)
+            first = segment_statistics(wide, LEVELS[0])
+            slack = 1e-6 * (1 + np.abs(first).sum(axis=1))  # rounding of the bounds
+            norm = 1 + np.abs(self.levels[0]).sum(axis=1)
+            alive = np.ones(shape, bool)
+            for level, mine in zip(LEVELS, self.levels, strict=True):
+                theirs = first if level == LEVELS[0] else segment_statistics(wide, level)
+                if rows is None:
+                    alive &= theirs @ mine.T + np.outer(slack, norm) >= self.floor
+                    if alive.mean() < _SPARSE:
+                        rows, queries = np.nonzero(alive)
+                else:
+                    bound = np.einsum("ij,ij->i", theirs[rows], mine[queries]) + slack[rows] * norm[queries]
+                    ok = bound >= self.floor[queries]
+                    rows, queries = rows[ok], queries[ok]
+            if rows is None:
+                rows, queries = np.nonzero(alive)
+            return rows, queries
+        return np.divmod(np.arange(shape[0] * shape[1]), shape[1])
+
+    def _products(self, codes: np.ndarray, rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
+        """Exact products of the pairs; what leaves the range of a long counts as its end."""
+        largest = float(np.abs(codes.astype(np.float64)).max(initial=0)) * self.largest * max(1, codes.shape[1])
+        if largest < _EXACT:
+            if len(rows) > _SPARSE * len(codes) * len(self.ids):
+                return (codes.astype(np.float64) @ self.codes.T.astype(np.float64))[rows, queries].astype(np.int64)
+            return np.einsum("ij,ij->i", codes[rows], self.codes[queries])
+        out = np.empty(len(rows), np.int64)
+        whole = np.iinfo(np.int64)
+        for i, (r, q) in enumerate(zip(rows.tolist(), queries.tolist(), strict=True)):
+            exact = sum(x * y for x, y in zip(codes[r].tolist(), self.codes[q].tolist(), strict=True))
+            out[i] = min(max(exact, whole.min), whole.max)
+        return out
+
+    def _merge(self, ids: np.ndarray, codes: np.ndarray) -> None:
+        rows, queries = self._survivors(codes)
+        self.pairs += len(ids) * len(self.ids)
+        self.scored += len(rows)
+        other = ids[rows] != self.ids[queries]
+        rows, queries = rows[other], queries[other]
+        scores = self._products(codes, rows, queries)
+        known = ids[rows]
+        wins = (scores > self.floor[queries]) | ((scores == self.floor[queries]) & (known < self.last[queries]))
+        if not wins.any():
+            return
+        query, score, found = (np.concatenate([a, b]) for a, b in zip(self.best, (queries[wins], scores[wins], known[wins]), strict=True))
+        order = np.lexsort((found, ~score, query))
+        query, score, found = query[order], score[order], found[order]
+        starts = np.searchsorted(query, np.arange(len(self.ids)))
+        place = np.arange(len(query)) - starts[query]
+        keep = place < self.k
+        self.best = (query[keep], score[keep], found[keep])
+        full = np.flatnonzero(place == self.k - 1)
+        self.floor[query[full]], self.last[query[full]] = score[full], found[full]
+
+    def result(self) -> pa.RecordBatch:
+        query, score, found = self.best
+        return pa.RecordBatch.from_arrays(
+            [pa.array(self.ids[query]), pa.array(found), pa.array(score)], names=["query_id", "vec_id", "score"])
 
 
 _SCHEMA = "query_id long, vec_id long, score long"
 
 
-def _scan(shared, k: int, rows_at_once: int = 2048):
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks: dict[int, QueryBlock] = shared.value
-        state = {d: b.search(k) for d, b in blocks.items()}
+def _matrices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and codes of a batch's rows, one pair for each length of vector."""
+    ids, codes = batch.column("vec_id").to_numpy(), batch.column("code")
+    lengths = np.diff(codes.offsets.to_numpy())
+    flat = codes.flatten().to_numpy()
+    starts = np.cumsum(lengths) - lengths
+    for d in np.unique(lengths).tolist():
+        own = np.flatnonzero(lengths == d)
+        yield ids[own], flat[starts[own][:, None] + np.arange(d)]
+
+
+def _search(k: int):
+    """Cells of the grid come one after the other, each with its queries before its rows."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, waiting, blocks = None, [], {}
+
+        def ready() -> None:
+            gathered: dict[int, list] = {}
+            for ids, codes in waiting:
+                gathered.setdefault(codes.shape[1], []).append((ids, codes))
+            waiting.clear()
+            for d, parts in gathered.items():
+                ids, codes = (np.concatenate(x) for x in zip(*parts, strict=True))
+                blocks[d] = QueryBlock(ids, codes, k)
+
         for batch in batches:
-            for at in range(0, batch.num_rows, rows_at_once):
-                part = batch.slice(at, rows_at_once)
-                ids = part.column(0).to_numpy()
-                lengths = np.diff(part.column(1).offsets.to_numpy())
-                flat = part.column(1).flatten().to_numpy().astype(np.float64)
-                starts = np.concatenate([[0], np.cumsum(lengths)])
-                for d, block in blocks.items():
-                    own = np.flatnonzero(lengths == d)
-                    if own.size:
-                        codes = flat[starts[own][:, None] + np.arange(d)]
-                        block.update(*state[d], ids[own], codes)
-        for d, block in blocks.items():
-            ids, scores = state[d]
-            q, r = np.nonzero(np.isfinite(scores))
-            if q.size:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(block.ids[q]), pa.array(ids[q, r]), pa.array(scores[q, r].astype(np.int64))],
-                    names=["query_id", "vec_id", "score"])
-
-    return scan
-
-
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = 4096) -> DataFrame:
+            cells, is_row = batch.column("cell").to_numpy(), batch.column("is_row").to_numpy()
+            cuts = np.flatnonzero((np.diff(cells) != 0) | (np.diff(is_row) != 0)) + 1
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+                if lo == hi:
+                    continue
+                if cells[lo] != cell:
+                    yield from (b.result() for b in blocks.values())
+                    cell = cells[lo]
+                    waiting.clear()
+                    blocks.clear()
+                part = batch.slice(lo, hi - lo)
+                if not is_row[lo]:
+                    waiting.extend(_matrices(part))
+                    continue
+                if waiting:
+                    ready()
+                for ids, codes in _matrices(part):
+                    if codes.shape[1] in blocks:
+                        blocks[codes.shape[1]].update(ids, codes)
+        yield from (b.result() for b in blocks.values())
+
+    return search
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = 16_384, part_rows: int = 1 << 22) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k rows of largest inner product per query.
 
     Both sides are ``vec_id, code`` as ``quantized`` gives.  Ties go to the smaller
     vec_id; rows with the query's own id are no candidates; a query with fewer than
     k candidates gets them all.  Rows that repeat an id are candidates each, so an
     id may occur twice in a result; queries that repeat an id are answered once.
-    Vectors of another length than the query's are no candidates.  Scores are exact
-    while components stay below 2**20 and vectors below 2**12 components.
+    Vectors of another length than the query's are no candidates; vectors without
+    components have product 0 with each other.  Scores are exact whatever the size
+    of the components; a score outside the range of a long counts as its end.  No
+    rows or no queries give no rows.
 
-    Queries are fetched in blocks of ``block`` and sent to the tasks; every block
-    reads all rows once.  A task returns k rows per query at most.
+    A task holds ``block`` queries and streams up to about ``part_rows`` rows.  Every
+    row is sent once per block of queries, every query once per part of the rows.
     """
     spark = vectors.sparkSession
     vectors = materialize(vectors, "codes")
-    numbered = materialize(
-        queries.groupBy("vec_id").agg(F.min("code").alias("code")), "query-codes")
-    n = numbered.count()
-    blocks = max(1, -(-n // block))
-    found = []
-    for b in range(blocks):
-        own = numbered.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).toArrow()
-        codes: dict[int, tuple[list, list]] = {}
-        for vec_id, code in zip(own.column("vec_id").to_pylist(), own.column("code").to_pylist(), strict=True):
-            ids, rows = codes.setdefault(len(code), ([], []))
-            ids.append(vec_id)
-            rows.append(code)
-        made = {d: QueryBlock(np.array(i, np.int64), np.array(r, np.float64).reshape(len(r), d)) for d, (i, r) in codes.items()}
-        found.append(vectors.mapInArrow(_scan(spark.sparkContext.broadcast(made), k), _SCHEMA))
+    asked = materialize(queries.groupBy("vec_id").agg(F.min("code").alias("code")), "query-codes")
+    blocks = max(1, math.ceil(asked.count() / block))
+    parts = max(math.ceil(vectors.count() / part_rows), math.ceil(2 * spark.sparkContext.defaultParallelism / blocks))
+    rows = vectors.select("vec_id", "code", F.lit(1).alias("is_row"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"),
+                          F.pmod(F.xxhash64(F.lit("part"), "vec_id"), F.lit(parts)).alias("p"))
+    lines = asked.select("vec_id", "code", F.lit(0).alias("is_row"), F.pmod(F.xxhash64(F.lit("block"), "vec_id"), F.lit(blocks)).cast("int").alias("b"),
+                         F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("p"))
+    grid = rows.unionByName(lines).select((F.col("p") * blocks + F.col("b")).alias("cell"), "is_row", "vec_id", "code")
+    dealt = grid.repartition(blocks * parts, "cell").sortWithinPartitions("cell", "is_row")
+    found = dealt.mapInArrow(_search(k), _SCHEMA)
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    everything = reduce(DataFrame.unionByName, found)
-    return everything.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(
         "query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

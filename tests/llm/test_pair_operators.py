@@ -171,6 +171,48 @@ def test_topk_like_brute_force(spark):
     assert topk.top_k(codes.limit(0), asked.limit(0)).count() == 0
 
 
+def test_topk_ties_of_vectors_without_components(spark):
+    rows = spark.range(1, 5001).select(F.col("id").alias("vec_id"), F.array().cast("array<float>").alias("embedding"))
+    codes = topk.quantized(rows)
+    got = defaultdict(list)
+    for r in topk.top_k(codes, codes.where("vec_id % 50 = 0"), 5).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    assert len(got) == 100 and all(v == [(i, 0) for i in range(1, 6)] for v in got.values())
+
+
+def test_topk_of_large_components_is_exact(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, (v * 10.0 ** rng.integers(0, 12)).tolist()) for i, v in enumerate(rng.normal(size=(200, 6)))]
+    rows += [(300, [1e30] * 6), (301, [-1e30] * 6), (302, [1e30] * 6)]
+    codes = topk.quantized(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    code = {r["vec_id"]: r["code"] for r in codes.collect()}
+    got = defaultdict(list)
+    for r in topk.top_k(codes, codes.where("vec_id % 50 = 0"), 5).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((-r["score"], r["vec_id"]))
+    for q, found in got.items():
+        dot = lambda i: min(max(sum(x * y for x, y in zip(code[q], code[i], strict=True)), -(1 << 63)), (1 << 63) - 1)
+        assert found == sorted((-dot(i), i) for i in code if i != q)[:5]
+
+
+@pytest.mark.parametrize("spread", [0.0, 3.0])
+def test_topk_bounds_drop_rows_and_lose_nothing(spread):
+    """10,000 rows in one task, in descending id order with ties; spread means let coarse bounds decide."""
+    rng = np.random.default_rng(6)
+    codes = np.floor(64 * (rng.normal(size=(10_000, 64)) / 8 + spread * rng.normal(size=(10_000, 1)) / 8)).astype(np.int64)
+    codes[5000:5040] = codes[0]
+    ids = np.arange(10_000)[::-1].copy()
+    block = topk.QueryBlock(ids[::50], codes[::50], 5)
+    block.update(ids, codes)
+    found = defaultdict(list)
+    for r in block.result().to_pylist():
+        found[r["query_id"]].append((-r["score"], r["vec_id"]))
+    for q, code in zip(ids[::50].tolist(), codes[::50], strict=True):
+        scores = codes @ code
+        order = [i for i in np.lexsort((ids, -scores))[:6] if ids[i] != q][:5]
+        assert found[q] == [(-int(scores[i]), int(ids[i])) for i in order]
+    assert block.pairs == 10_000 * 200 and block.scored < block.pairs * (0.5 if spread else 1)
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(8)
     a, b = rng.normal(size=(50, 30)), rng.normal(size=(60, 30))
