@@ -1,18 +1,22 @@
 """N-gram Jaccard self-join of documents by MinHash banding.
 
-1. Every document becomes a set of 64-bit hashes of word n-grams, a MinHash
-   signature and band hashes.  Documents with equal sets form a *class*; only one
-   representative per class goes on, so thousands of copies cost one row.
-2. Representatives are shuffled on band hashes.  Each bucket links its members to
-   its smallest one, which is linear in the bucket; the connected components of
-   these links hold all members of a bucket together.
-3. Within a component all pairs of representatives are verified on their full
-   n-gram sets, by blocked products of incidence matrices inside tasks: pairs are
-   counted, never emitted.  Components larger than a block are split into pairs of
-   blocks, so no task holds more than two blocks.
+1. Every document becomes a set of 64-bit hashes of word n-grams and a MinHash
+   signature.  Documents with equal sets form a *class*; only one representative per
+   class goes on, so thousands of copies cost one row.
+2. Representatives are shuffled on band hashes.  A bucket's members are tested
+   against its smallest one by their whole signatures; members that fail are tested
+   against all others of the bucket, block by block.  Pairs whose signatures agree
+   too little to reach the threshold end here, so buckets that meet by chance or over
+   common passages join nothing.  What is left are edges, linear in the bucket.
+3. The connected components of these edges say which sets are verified together.
+   All pairs of a component are verified on their full n-gram sets, by blocked
+   products of incidence matrices inside tasks: pairs are counted, never emitted.
+   Blocks are bounded in rows and in n-grams, and components larger than a block are
+   split into pairs of blocks, so no task holds more than two blocks.
 4. Verified links give link counts, and their components the groups.
 
-Bands and rows are chosen from the threshold and the target recall.
+Bands and rows are chosen from the threshold and the target recall; so is the least
+agreement of signatures.
 """
 
 from __future__ import annotations
@@ -28,13 +32,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.llm.components import components
-from quillmark.llm.shared import materialize, parts_for
+from quillmark.llm.shared import carried, materialize, parts_for, restored
 
 NGRAM = 5
 THRESHOLD = 0.8
 RECALL = 0.9999
 MAX_HASHES = 80
+#: Representatives and n-grams in a block.
 BLOCK = 2048
+BLOCK_GRAMS = 1 << 22
 
 
 def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, max_hashes: int = MAX_HASHES) -> tuple[int, int]:
@@ -47,6 +53,16 @@ def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, max_hashe
     raise ValueError("too few hashes for this recall")
 
 
+def least_agreement(hashes: int, threshold: float = THRESHOLD, miss: float = 1e-5) -> int:
+    """The most equal hashes that all but ``miss`` of the pairs of similarity ``threshold`` reach."""
+    below = 0.0
+    for equal in range(hashes + 1):
+        below += math.comb(hashes, equal) * threshold**equal * (1 - threshold) ** (hashes - equal)
+        if below > miss:
+            return equal
+    return hashes
+
+
 def shingles(text: str | None, n: int = NGRAM) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the text's word n-grams.
 
@@ -70,41 +86,46 @@ def set_digest(grams: np.ndarray) -> bytes:
 
 
 class Signer:
-    def __init__(self, bands: int, rows: int, seed: int = 5) -> None:
+    def __init__(self, hashes: int, seed: int = 5) -> None:
         rng = np.random.default_rng(seed)
-        self.bands, self.rows = bands, rows
-        self.factors = rng.integers(1, 2**63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.offsets = rng.integers(0, 2**63, bands * rows, dtype=np.uint64)
+        self.factors = rng.integers(1, 2**63, hashes, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.offsets = rng.integers(0, 2**63, hashes, dtype=np.uint64)
 
-    def band_hashes(self, grams: np.ndarray) -> list[int]:
-        """One signed 64-bit hash per band; none for the empty set."""
+    def signature(self, grams: np.ndarray) -> np.ndarray:
+        """The low halves of the MinHashes; none for the empty set."""
         if not grams.size:
-            return []
+            return np.empty(0, np.int32)
         least = np.full(len(self.factors), np.iinfo(np.uint64).max, np.uint64)
         for at in range(0, len(grams), 4096):
             part = grams[at : at + 4096, None] * self.factors + self.offsets
             np.minimum(least, (part ^ (part >> np.uint64(31))).min(axis=0), out=least)
-        signature = least.reshape(self.bands, self.rows)
-        return [xxhash.xxh3_64_intdigest(r.tobytes(), seed=b) - (1 << 63) for b, r in enumerate(signature)]
+        return least.astype(np.uint32).view(np.int32)
 
 
-def document_features(docs: DataFrame, bands: int, rows: int, ngram: int = NGRAM) -> DataFrame:
-    """``doc_id, node, band_hashes``; node is the digest of the whole n-gram set."""
+def document_features(docs: DataFrame, hashes: int, ngram: int = NGRAM) -> DataFrame:
+    """``doc_id, text_key, digest, n_grams, signature``; the digest is that of the whole n-gram set."""
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signer = Signer(bands, rows)
+        signer = Signer(hashes)
         for batch in batches:
-            nodes, hashes = [], []
-            for text in batch.column(1):
+            digests, sizes, signatures = [], [], []
+            for text in batch.column(2):
                 grams = shingles(text.as_py(), ngram)
-                nodes.append(set_digest(grams))
-                hashes.append(signer.band_hashes(grams))
+                digests.append(set_digest(grams))
+                sizes.append(len(grams))
+                signatures.append(signer.signature(grams))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(nodes, pa.binary()), pa.array(hashes, pa.list_(pa.int64()))],
-                names=["doc_id", "node", "band_hashes"])
+                [batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()),
+                 pa.array(signatures, pa.list_(pa.int32()))],
+                names=["doc_id", "text_key", "digest", "n_grams", "signature"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(), "text").mapInArrow(
+        features, "doc_id long, text_key binary, digest binary, n_grams long, signature array<int>")
+
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        features, "doc_id long, node binary, band_hashes array<long>")
+def text_key():
+    """A digest of the text; null and empty texts differ."""
+    return F.unhex(F.md5(F.concat(F.lit("="), "text"))).alias("text_key")
 
 
 def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -154,48 +175,106 @@ def linked(sets: list[np.ndarray], threshold: float, left: np.ndarray | None = N
     return i, j
 
 
-_LINKS = "node binary, hub binary, links long"
+def _bucket_edges(least: int, step: int = 256):
+    """Edges of the pairs of a bucket, one of them failed against the hub, whose signatures agree enough."""
+
+    def edges(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, part in frame.groupby("band", sort=False):
+            part = part.sort_values("node")
+            nodes, blocks = part["node"].to_numpy(np.int64), part["block"].to_numpy()
+            signatures = np.array(part["signature"].tolist(), np.int32)
+            failed = np.flatnonzero(part["failed"])
+            split = part["lo"].iloc[0] != part["hi"].iloc[0]
+            a, b = [], []
+            for at in range(0, len(failed), step):
+                mine = failed[at : at + step]
+                equal = np.zeros((len(mine), len(nodes)), np.int16)
+                for column in range(signatures.shape[1]):
+                    equal += signatures[mine, column][:, None] == signatures[:, column]
+                i, j = np.nonzero(equal >= least)
+                i = mine[i]
+                ok = (i != j) & (blocks[i] != blocks[j] if split else True)
+                a.append(np.minimum(i, j)[ok])
+                b.append(np.maximum(i, j)[ok])
+            roots = _roots(len(nodes), np.concatenate(a), np.concatenate(b)) if a else np.arange(len(nodes))
+            moved = np.flatnonzero(roots != np.arange(len(nodes)))
+            out.append(pd.DataFrame({"u": nodes[moved], "v": nodes[roots[moved]]}))
+        return pd.concat(out)
+
+    return edges
+
+
+def candidate_edges(reps: DataFrame, bands: int, rows: int, least: int, block: int = 2 * BLOCK) -> DataFrame:
+    """``u, v`` that connect every pair of ``reps`` (node, signature) which shares a band and agrees in ``least`` hashes.
+
+    Signatures travel with distinct pairs of member and hub only, and with the members of
+    the buckets in which some member failed; a bucket of these larger than ``block`` is
+    split into pairs of blocks.
+    """
+    spark = reps.sparkSession
+    hashes = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(b, F.slice("signature", b * rows + 1, rows)))
+    members = reps.where(F.size("signature") > 0).select("node", F.explode(hashes).alias("band"))
+    hubs = members.groupBy("band").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    shared = materialize(members.join(hubs, "band").where("node <> hub"), "ngram-buckets")
+    signature = reps.select(F.col("node").alias("of"), "signature")
+    agree = F.aggregate(F.zip_with("signature", "theirs", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
+    pairs = (
+        shared.select("node", "hub").distinct().join(signature, F.col("node") == F.col("of")).drop("of")
+        .join(signature.withColumnRenamed("signature", "theirs"), F.col("hub") == F.col("of"))
+        .select("node", "hub", (agree >= least).alias("passed"))
+    )
+    pairs = materialize(pairs, "ngram-stars")
+    # Buckets with a member that failed: all their members but the hub, which has been compared.
+    tested = shared.join(pairs, ["node", "hub"]).select("band", "node", (~F.col("passed")).alias("failed"))
+    open_bands = tested.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.bool_or("failed").alias("open")).where("open and size > 1")
+    again = materialize(tested.join(open_bands.select("band", "size"), "band"), "ngram-open")
+    blocks = F.ceil(F.col("size") / block).cast("int")
+    laid = again.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int"))
+    laid = laid.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    lo, hi = F.least("block", "other"), F.greatest("block", "other")
+    parts = parts_for(again.count(), block, spark)
+    task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("band"), F.lit(parts))).otherwise(F.xxhash64("band", lo, hi))
+    dealt = laid.select("band", "node", "failed", "block", lo.alias("lo"), hi.alias("hi"), task.alias("task"), (F.col("blocks") > 1).alias("split"))
+    compared = dealt.join(signature, F.col("node") == F.col("of")).drop("of").groupBy("split", "task").applyInPandas(
+        _bucket_edges(least), "u long, v long")
+    return pairs.where("passed").select(F.col("node").alias("u"), F.col("hub").alias("v")).unionByName(compared)
+
+
+_LINKS = "node long, hub long, links long"
 
 
 def _verifier(threshold: float, ngram: int):
     def verify(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         out = []
         for _, part in frame.groupby("root", sort=False):
-            sets, nodes, copies, side = [], [], [], []
-            for text, node, n, block in zip(part["text"], part["node"], part["copies"], part["block"], strict=True):
+            part = part.sort_values("node")
+            sets, at = [], []
+            for r, (text, digest) in enumerate(zip(part["text"], part["digest"], strict=True)):
                 grams = shingles(text, ngram)
-                if set_digest(grams) == bytes(node):  # a repeated id may bring another text along
+                if set_digest(grams) == bytes(digest):  # a repeated id may bring another text along
                     sets.append(grams)
-                    nodes.append(bytes(node))
-                    copies.append(n)
-                    side.append(block)
-            if len(set(nodes)) != len(nodes):
-                first = sorted({n: i for i, n in reversed(list(enumerate(nodes)))}.values())
-                sets, nodes, copies, side = ([x[i] for i in first] for x in (sets, nodes, copies, side))
-            if len(nodes) < 2:
+                    at.append(r)
+            part = part.iloc[at]
+            once = ~part["node"].duplicated().to_numpy()
+            part, sets = part[once], [s for s, o in zip(sets, once, strict=True) if o]
+            if len(part) < 2:
                 continue
-            side = np.array(side)
             lo, hi = part["lo"].iloc[0], part["hi"].iloc[0]
-            i, j = linked(sets, threshold, None if lo == hi else side == lo)
+            i, j = linked(sets, threshold, None if lo == hi else (part["block"] == lo).to_numpy())
             if not len(i):
                 continue
-            weight = np.array(copies, np.int64)
+            weight, nodes = part["copies"].to_numpy(np.int64), part["node"].to_numpy(np.int64)
             links = np.bincount(i, weight[j], len(nodes)) + np.bincount(j, weight[i], len(nodes))
-            order = np.argsort(np.array(nodes, object), kind="stable")
-            place = np.empty(len(nodes), int)
-            place[order] = np.arange(len(nodes))
-            roots = _roots(len(nodes), place[i], place[j])
-            for k, node in enumerate(nodes):
-                if links[k]:
-                    out.append((node, nodes[order[roots[place[k]]]], int(links[k])))
-        return pd.DataFrame(out, columns=["node", "hub", "links"])
+            roots = _roots(len(nodes), i, j)
+            some = np.flatnonzero(links)
+            out.append(pd.DataFrame({"node": nodes[some], "hub": nodes[roots[some]], "links": links[some].astype(np.int64)}))
+        return pd.concat(out) if out else pd.DataFrame({"node": [], "hub": [], "links": []}, dtype="int64")
 
     return verify
 
 
-def jaccard_join(
-    docs: DataFrame, threshold: float = THRESHOLD, ngram: int = NGRAM, recall: float = RECALL, block: int = BLOCK
-) -> DataFrame:
+def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, ngram: int = NGRAM, recall: float = RECALL, **blocks) -> DataFrame:
     """Links of similarity ``threshold`` or more between the texts of ``docs``.
 
     Returns one row per row of ``docs``: ``doc_id, class_id, n_copies, n_links,
@@ -206,33 +285,42 @@ def jaccard_join(
 
     Null, empty and white-space texts have no n-grams; they form one class, equal
     but linked to nothing else.  Texts are compared whole.  Rows that repeat a
-    doc_id stay rows of their own.  Null ids are never smallest unless alone.  Only
-    doc_id and text are read; other columns, whatever their names, are ignored.
+    doc_id stay rows of their own.  Null ids are never smallest unless alone.  An
+    empty table gives an empty table.  Only doc_id and text are read; other columns,
+    whatever their names, are ignored.
     """
+    features, classes = _classes(docs, threshold, ngram, recall, **blocks)
+    return features.select("doc_id", "digest").join(classes.withColumnRenamed("digest", "of"), F.col("digest") == F.col("of")).select(
+        "doc_id", "class_id", "n_copies", (F.col("links") + F.col("n_copies") - 1).alias("n_links"), "group_id",
+        F.col("doc_id").eqNullSafe(F.col("group_id")).alias("kept"))
+
+
+def _classes(
+    docs: DataFrame, threshold: float, ngram: int, recall: float, block: int = BLOCK, block_grams: int = BLOCK_GRAMS,
+) -> tuple[DataFrame, DataFrame]:
+    """The rows' features, and ``digest, class_id, n_copies, links, root, group_id`` of every class."""
     spark = docs.sparkSession
     bands, rows = choose_bands(threshold, recall)
-    features = materialize(document_features(docs, bands, rows, ngram), "ngram-features")
-    reps = materialize(features.groupBy("node").agg(
-        F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n_copies"),
-        F.first("band_hashes").alias("band_hashes")), "ngram-classes")
-
-    members = reps.select("node", F.explode("band_hashes").alias("band"))
-    hubs = members.groupBy("band").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select(
-        F.col("band").alias("hub_band"), "hub")
-    candidates = members.join(hubs, F.col("band") == F.col("hub_band")).select(F.col("node").alias("u"), F.col("hub").alias("v"))
-    stars = materialize(components(candidates), "ngram-candidates")
-
-    sizes = stars.groupBy(F.col("root").alias("of")).agg(F.count(F.lit(1)).alias("size"))
-    total = stars.count()
-    parts = parts_for(total, block // 2, spark)
-    placed = stars.join(sizes, F.col("root") == F.col("of")).withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int"))
-    chosen = reps.select(F.col("node").alias("rep"), "class_id", "n_copies").join(placed, F.col("rep") == F.col("node")).select(
-        F.col("class_id").alias("rep_id"), "node", "root", F.col("n_copies").alias("copies"), "blocks", "block")
+    features = materialize(document_features(docs, bands * rows, ngram), "ngram-features")
+    # Nodes are numbered once, in the written table.
+    reps = materialize(features.groupBy("digest").agg(
+        F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n_copies"), F.first("n_grams").alias("n_grams"),
+        F.first("signature").alias("signature")).withColumn("node", F.monotonically_increasing_id()), "ngram-classes")
+    edges = candidate_edges(reps.select("node", "signature"), bands, rows, least_agreement(bands * rows, threshold))
+    placed = components(edges).withColumnRenamed("node", "member")
+    placed = materialize(reps.join(placed, F.col("node") == F.col("member")).select(
+        "node", "root", "digest", "class_id", F.col("n_copies").alias("copies"), "n_grams"), "ngram-candidates")
+
+    size = F.greatest(F.count(F.lit(1)) / block, F.sum("n_grams") / block_grams)
+    sizes = placed.groupBy(F.col("root").alias("of")).agg(F.ceil(size).cast("int").alias("blocks"))
+    total = placed.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("n_grams"), F.lit(0)).alias("grams")).first()
+    parts = max(parts_for(total["rows"], block // 2, spark), math.ceil(total["grams"] / (block_grams // 2)))
+    chosen = placed.join(sizes, F.col("root") == F.col("of")).drop("of").withColumn(
+        "block", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int"))
     with_text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
-        chosen, F.col("doc_id").eqNullSafe(F.col("rep_id")))
+        chosen, F.col("doc_id").eqNullSafe(F.col("class_id")))
     dealt = with_text.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "node", "root", "copies", "text", "block",
+        "node", "root", "digest", "copies", "text", "block",
         F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"),
         F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(parts)))
         .otherwise(F.xxhash64("root", F.least("block", "other"), F.greatest("block", "other"))).alias("task"),
@@ -244,28 +332,35 @@ def jaccard_join(
     stars = components(found.select(F.col("node").alias("u"), F.col("hub").alias("v"))).select(
         F.col("node").alias("member"), "root")
     classes = (
-        reps.select("node", "class_id", "n_copies")
+        reps.select("node", "digest", "class_id", "n_copies")
         .join(counts, F.col("node") == F.col("linked"), "left").join(stars, F.col("node") == F.col("member"), "left")
-        .select("node", "class_id", "n_copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "node").alias("root"))
+        .select("digest", "class_id", "n_copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "node").alias("root"))
     )
     groups = classes.groupBy(F.col("root").alias("group_root")).agg(F.min("class_id").alias("group_id"))
-    classes = classes.join(groups, F.col("root") == F.col("group_root")).select(
-        F.col("node").alias("class_node"), "class_id", "n_copies", "links", "group_id")
-    return features.select("doc_id", "node").join(classes, F.col("node") == F.col("class_node")).select(
-        "doc_id", "class_id", "n_copies", (F.col("links") + F.col("n_copies") - 1).alias("n_links"), "group_id",
-        F.col("doc_id").eqNullSafe(F.col("group_id")).alias("kept"))
+    return features, classes.join(groups, F.col("root") == F.col("group_root")).select(
+        "digest", "class_id", "n_copies", "links", "root", "group_id")
 
 
-def one_per_group(docs: DataFrame, **options) -> DataFrame:
+def one_per_group(docs: DataFrame, threshold: float = THRESHOLD, ngram: int = NGRAM, recall: float = RECALL, **blocks) -> DataFrame:
     """The rows of ``docs`` that stay when one document of each group does.
 
     The row of the group's smallest doc_id stays, with all its columns.  Where rows
-    repeat that id with the same text, one of them stays; with different
-    texts, each is judged by its own.
+    repeat that id within the group, the one with the smallest digest of the text
+    stays, and of rows equal in id and text any one.  Rows of one id whose texts are
+    in different groups are judged each by its own.  Null, empty and white-space
+    texts are one group.  A group of null ids only keeps one row.  Columns may have
+    any names.  An empty table gives an empty table.
     """
-    joined = materialize(jaccard_join(docs, **options), "ngram-join")
-    kept = joined.where("kept").select(F.col("doc_id").alias("__kept_id"), "n_copies").distinct()
-    out = docs.join(kept.select("__kept_id").distinct(), F.col("doc_id").cast("long").eqNullSafe(F.col("__kept_id")), "left_semi")
-    if joined.where("kept").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        out = out.dropDuplicates(["doc_id", "text"])
-    return out
+    features, classes = _classes(docs, threshold, ngram, recall, **blocks)
+    key = F.coalesce("text_key", F.lit(b""))
+    best = (
+        features.join(classes.select(F.col("digest").alias("of"), "root", "group_id"), F.col("digest") == F.col("of"))
+        .where(F.col("doc_id").eqNullSafe(F.col("group_id"))).groupBy("root", "doc_id", key.alias("kept_key")).agg(F.count(F.lit(1)).alias("times"))
+        .groupBy("root", "doc_id").agg(F.min(F.struct("kept_key", "times")).alias("best"))
+        .select(F.col("doc_id").alias("kept_id"), "best.kept_key", "best.times")
+    )
+    best = materialize(best, "ngram-kept")
+    rows = carried(docs, id=F.col("doc_id").cast("long"), key=F.coalesce(text_key(), F.lit(b"")))
+    rows = rows.join(best, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("key") == F.col("kept_key")))
+    once = rows.where("times = 1").unionByName(rows.where("times > 1").dropDuplicates(["id", "key"]))
+    return restored(once)

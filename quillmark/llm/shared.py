@@ -16,11 +16,13 @@ def scratch_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors share.
 
     It is the one that ``spark.checkpoint.dir`` names.  Only where that setting
-    is absent (tests on one machine) a folder of our own is made.
+    is absent and everything runs on one machine (tests) a folder of our own is made.
     """
     app = spark.sparkContext.applicationId
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = _OWN_DIRS.setdefault(app, "") or tempfile.mkdtemp(prefix="quillmark-")
         _OWN_DIRS[app] = base
     return f"{base.rstrip('/')}/quillmark/{app}"
@@ -39,16 +41,26 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.scratch_table = path
+    return table
 
 
-def release_scratch(spark: SparkSession) -> None:
-    """Delete what this application has written to the shared folder."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def discard(table: DataFrame) -> None:
+    """Delete a table of ``materialize`` that nothing reads any more."""
+    _delete(table.sparkSession, table.scratch_table)
+
+
+def release_scratch(spark: SparkSession) -> None:
+    """Delete what this application has written to the shared folder, once its results are stored elsewhere."""
+    _delete(spark, scratch_dir(spark))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -59,6 +71,21 @@ def parts_for(rows: int, rows_per_part: int, spark: SparkSession) -> int:
     return max(shuffle_partitions(spark), math.ceil(rows / rows_per_part), 1)
 
 
+def carried(df: DataFrame, **columns) -> DataFrame:
+    """``columns`` beside each row as one struct, so that no name of the row can meet ours.
+
+    ``restored`` gives the row's columns back.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns]) if df.columns else F.struct(F.lit(0).alias("none"))
+    return df.select(row.alias("row"), *[c.alias(n) for n, c in columns.items()])
+
+
+def restored(df: DataFrame, **replaced) -> DataFrame:
+    """The columns of ``carried`` rows, those of ``replaced`` with new values."""
+    names = df.schema["row"].dataType.names
+    return df.select(*[replaced[c].alias(c) if c in replaced else F.col("row").getField(c).alias(c) for c in names])
+
+
 def text_bytes(column: str):
     """The column's UTF-8 bytes; null counts as the empty text."""
     return F.coalesce(F.col(column).cast("binary"), F.lit(b""))

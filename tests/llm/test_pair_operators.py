@@ -79,11 +79,11 @@ def jaccard_truth(rows, t=0.8):
     return pairs
 
 
-@pytest.mark.parametrize("block", [2048, 16])
-def test_ngram_join_like_brute_force(spark, block):
+@pytest.mark.parametrize("blocks", [{}, {"block": 16}, {"block_grams": 1000}])
+def test_ngram_join_like_brute_force(spark, blocks):
     """In one block per component, and split into pairs of blocks."""
     rows = near_texts()
-    out = {r["doc_id"]: r for r in ngram_join.jaccard_join(clash(spark.createDataFrame(rows, "doc_id long, text string")), block=block).collect()}
+    out = {r["doc_id"]: r for r in ngram_join.jaccard_join(clash(spark.createDataFrame(rows, "doc_id long, text string")), **blocks).collect()}
     pairs = jaccard_truth(rows)
     links = Counter(i for p in pairs for i in p)
     group = roots(len(rows), pairs)
@@ -103,6 +103,35 @@ def test_one_document_of_each_group_stays(spark):
     assert kept.where("doc_id is null").count() == 1
 
 
+def test_rows_of_one_id_are_judged_each_by_its_own(spark):
+    a, b = "one two three four five six seven", "red orange yellow green blue indigo violet"
+    rows = [(0, b, 7), (1, a, 8), (1, b, 9)]
+    kept = ngram_join.one_per_group(spark.createDataFrame(rows, "doc_id long, text string, `key` int"))
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == [(0, b), (1, a)]
+    # of one id twice in a group one row stays, of the same row twice too
+    rows = [(4, a, 1), (4, a, 1), (4, a + " ", 2), (5, a, 3), (6, "", 4), (7, None, 5)]
+    kept = ngram_join.one_per_group(spark.createDataFrame(rows, "doc_id long, text string, kept_id int"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [4, 6] and kept.columns == ["doc_id", "text", "kept_id"]
+
+
+@pytest.mark.parametrize("block", [1000, 8])
+def test_candidates_connect_all_pairs_of_a_bucket_that_agree(spark, block):
+    """Members that fail against the hub still meet each other and the others of the bucket."""
+    rng = np.random.default_rng(11)
+    rows, bands = 4, 18
+    signatures = rng.integers(0, 1 << 30, (90, rows * bands))
+    for i in range(90):  # all share band 0; families of 9 agree in most other hashes, with drift along the family
+        signatures[i, :rows] = 5
+        if i % 9:
+            signatures[i, rows:] = np.where(rng.random(68) < 0.93, signatures[i - 1, rows:], signatures[i, rows:])
+    least = ngram_join.least_agreement(rows * bands)
+    table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(signatures)], "node long, signature array<int>")
+    edges = [(r["u"], r["v"]) for r in ngram_join.candidate_edges(table, bands, rows, least, block).collect()]
+    agree = [(i, j) for j in range(90) for i in range(j) if (signatures[i] == signatures[j]).sum() >= least]
+    assert roots(90, edges) == roots(90, agree) and len(set(roots(90, agree))) >= 10
+    assert 40 <= least <= 44
+
+
 def test_ngram_join_of_nothing(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert ngram_join.jaccard_join(df).count() == 0 and ngram_join.one_per_group(df).count() == 0
