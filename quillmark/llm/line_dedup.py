@@ -7,12 +7,13 @@ never had the document.  Keys whose count reaches the threshold are *blocked*;
 they live in cuckoo filters, one per shard of the key space, which can drop a
 key again when deletions take its count below the threshold.
 
-A filter answers for blocked keys without a lookup in the table, but may also
-answer for others.  Since the table knows every key, those others are found
-exactly, by probing all unblocked keys once; they form the exception list.
-"In a filter and no exception" is then exact for every inserted document, and
-documents are cleaned in one pass over their text with no shuffle of it.  If the
-filters outgrow ``max_filter_bytes``, lines are joined to the table instead.
+Cleaning is the same at every size.  The distinct keys of each document are dealt
+to their shards, each task with one shard's filter in memory.  Most keys end there;
+what the filter lets through, blocked keys and a few others, is looked up in the
+exact table, so the result is exact for any document, indexed or not.  Blocked keys
+return to their documents by a join on a digest of document and text.  Keys so
+common that they would make a shard uneven, at most ``HEAVY`` whatever the
+input, are told to all tasks beforehand and dealt to no shard.
 
 Keys are 128-bit xxh3 digests of the stripped, ASCII-lower-cased line; two keys
 of a corpus of 1e12 lines agree by chance with probability below 1e-14.
@@ -20,20 +21,25 @@ of a corpus of 1e12 lines agree by chance with probability below 1e-14.
 
 from __future__ import annotations
 
-import hashlib
+import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.shared import materialize, text_bytes
+from quillmark.llm.shared import carried, materialize, restored, text_bytes
 
 _FLUSH = 200_000
+#: Keys with more than this share of all occurrences are told to every task; there are at most so many.
+HEAVY = 20_000
+#: Blocked keys in a filter, and keys probed against it, that a shard is meant for.
+KEYS_PER_SHARD, PROBES_PER_SHARD = 1 << 16, 1 << 22
 
 
 def line_key(line: bytes) -> bytes:
@@ -145,75 +151,119 @@ def _build_filter(key, rows):
     return pd.DataFrame({"shard": [key[0]], "buckets": [made.buckets], "cells": [made.table.tobytes()]})
 
 
-def _update_filter(key, filters, changes, blocked):
-    """Apply one shard's changes; rebuild from the blocked keys only if it is full."""
+def _update_filter(key, filters, changes):
+    """Apply one shard's changes.  A filter that is full comes back without cells, to be rebuilt."""
+    if not len(changes):
+        return filters[["shard", "buckets", "cells"]]
     if len(filters):
         cells = np.frombuffer(filters["cells"].iloc[0], np.uint32).copy().reshape(-1, CuckooFilter.SLOTS)
         made = CuckooFilter(int(filters["buckets"].iloc[0]), cells)
     else:
         made = CuckooFilter.sized(len(changes))
-    gone, new = changes[~changes["risen"]], changes[changes["risen"]]
+    risen = changes["risen"].astype(bool)
+    gone, new = changes[~risen], changes[risen]
     made.delete(gone["h1"].to_numpy(np.int64), gone["h2"].to_numpy(np.int64))
-    if not made.insert(new["h1"].to_numpy(np.int64), new["h2"].to_numpy(np.int64)):
-        return _build_filter(key, blocked)
-    return pd.DataFrame({"shard": [key[0]], "buckets": [made.buckets], "cells": [made.table.tobytes()]})
+    fits = made.insert(new["h1"].to_numpy(np.int64), new["h2"].to_numpy(np.int64))
+    return pd.DataFrame({"shard": [key[0]], "buckets": [made.buckets], "cells": [made.table.tobytes() if fits else b""]})
 
 
 _FILTER_SCHEMA = "shard long, buckets long, cells binary"
 
 
-class _Probe:
-    """All filters and the exceptions, as a task uses them."""
-
-    def __init__(self, filters: list[tuple[int, int, bytes]], shards: int, exceptions: set[bytes]) -> None:
-        self.shards, self.exceptions = shards, exceptions
-        self.filters = {
-            shard: CuckooFilter(buckets, np.frombuffer(cells, np.uint32).reshape(-1, CuckooFilter.SLOTS))
-            for shard, buckets, cells in filters
-        }
+def _document_keys(heavy):
+    """``k1, k2, h1, h2``: a document and one of its distinct line keys."""
 
-    def hits(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
-        out, shard = np.zeros(len(h1), bool), h1 & (self.shards - 1)
-        for s in np.unique(shard).tolist():
-            if s in self.filters:
-                at = np.flatnonzero(shard == s)
-                out[at] = self.filters[s].contains(h1[at], h2[at])
-        return out
+    def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = heavy.value
+        for batch in batches:
+            at, digests = [], []
+            for r, text in enumerate(batch.column(2)):
+                own = {xxhash.xxh3_128_digest(k) for k in {line_key(x) for x in text.as_py().split(b"\n")} if k} - common
+                at += [r] * len(own)
+                digests += own
+            halves, at = _halves(digests), np.array(at, np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(halves[:, 0]), pa.array(halves[:, 1])],
+                names=["k1", "k2", "h1", "h2"])
 
-    def blocked(self, keys: list[bytes]) -> set[bytes]:
-        digests = [xxhash.xxh3_128_digest(k) for k in keys]
-        if not digests:
-            return set()
-        halves = _halves(digests)
-        hit = self.hits(np.ascontiguousarray(halves[:, 0]), np.ascontiguousarray(halves[:, 1]))
-        return {keys[i] for i in np.flatnonzero(hit).tolist() if digests[i] not in self.exceptions}
+    return keys_of
 
 
-def _clean(lines: list[bytes], keys: list[bytes], blocked: set[bytes]) -> tuple[int, int, bytes]:
-    kept = [x for x, k in zip(lines, keys, strict=True) if k not in blocked]
-    return len(lines), len(lines) - len(kept), b"\n".join(kept)
+def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys that their shard's filter lets through; a shard's filter comes before its keys."""
+    shard, made = None, None
+    for batch in batches:
+        shards, is_key = batch.column("shard").to_numpy(), batch.column("is_key").to_numpy()
+        cuts = (np.flatnonzero((np.diff(shards) != 0) | (np.diff(is_key) != 0)) + 1).tolist()
+        for lo, hi in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+            if lo == hi:
+                continue
+            if not is_key[lo]:
+                cells = batch.column("cells")[lo].as_py()
+                shard, made = shards[lo], CuckooFilter(
+                    batch.column("buckets")[lo].as_py(), np.frombuffer(cells, np.uint32).reshape(-1, CuckooFilter.SLOTS))
+            elif shards[lo] == shard:
+                part = batch.slice(lo, hi - lo).select(["k1", "k2", "h1", "h2"])
+                yield part.filter(pa.array(made.contains(part.column("h1").to_numpy(), part.column("h2").to_numpy())))
+
+
+def _cleaner(heavy):
+    @F.pandas_udf("n_lines long, n_dropped long, kept string")
+    def cleaned(texts: pd.Series, hits: pd.Series) -> pd.DataFrame:
+        rows, common = [], heavy.value
+        for text, found in zip(texts, hits, strict=True):
+            lines = bytes(text).split(b"\n")
+            keys = [line_key(x) for x in lines]
+            raw = b"" if found is None else np.asarray(found, "<i8").tobytes()
+            own = {raw[i : i + 16] for i in range(0, len(raw), 16)}
+            digests = {k: xxhash.xxh3_128_digest(k) for k in keys if k} if own or common else {}
+            blocked = {k for k, d in digests.items() if d in own or d in common}
+            kept = [x for x, k in zip(lines, keys, strict=True) if k not in blocked]
+            rows.append((len(lines), len(lines) - len(kept), b"\n".join(kept).decode("utf-8", "replace")))
+        return pd.DataFrame(rows, columns=["n_lines", "n_dropped", "kept"])
+
+    return cleaned
 
 
 @dataclass(frozen=True)
 class LineIndex:
-    """State of the dedup.  Every method returns a new state; old ones stay valid."""
+    """State of the dedup.  Every method returns a new state; old ones stay valid.
+
+    ``levels`` are tables of counts whose sum is the exact table: increments are added as
+    tables of their own and merged into one when together they reach half of the first.
+    """
 
-    counts: DataFrame
+    levels: tuple[DataFrame, ...]
+    rows: tuple[int, ...]
     filters: DataFrame
     shards: int
     min_docs: int
+    blocked: int
+    per_shard: int = KEYS_PER_SHARD
+
+    @property
+    def counts(self) -> DataFrame:
+        """``h1, h2, n_docs`` of every key that some document of the index holds."""
+        if len(self.levels) == 1:
+            return self.levels[0]
+        return reduce(DataFrame.unionByName, self.levels).groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs")).where("n_docs > 0")
+
+    @classmethod
+    def build(cls, docs: DataFrame, min_docs: int = 10, text_col: str = "text", keys_per_shard: int = KEYS_PER_SHARD) -> LineIndex:
+        """Index of all of ``docs``.  ``shards`` follows the numbers of blocked keys and of all occurrences."""
+        return cls._of(materialize(count_keys(docs, text_col), "line-counts"), min_docs, keys_per_shard)
 
     @classmethod
-    def build(cls, docs: DataFrame, min_docs: int = 10, text_col: str = "text", keys_per_shard: int = 1 << 16) -> LineIndex:
-        """Index of all of ``docs``.  ``shards`` follows the number of blocked keys."""
-        counts = materialize(count_keys(docs, text_col), "line-counts")
-        blocked = counts.where(F.col("n_docs") >= min_docs)
-        shards = 1 << int(np.ceil(np.log2(max(16, blocked.count() / keys_per_shard))))
+    def _of(cls, counts: DataFrame, min_docs: int, per_shard: int) -> LineIndex:
+        blocked = F.col("n_docs") >= min_docs
+        found = counts.agg(F.count(F.lit(1)).alias("n"), F.count_if(blocked).alias("blocked"), F.sum("n_docs").alias("all")).first()
+        needed = max(16, found["blocked"] / per_shard, (found["all"] or 0) / PROBES_PER_SHARD)
+        shards = 1 << math.ceil(math.log2(needed))
         filters = (
-            blocked.select("h1", "h2", F.col("h1").bitwiseAND(F.lit(shards - 1)).alias("shard"))
+            counts.where(blocked).select("h1", "h2", F.col("h1").bitwiseAND(F.lit(shards - 1)).alias("shard"))
             .groupBy("shard").applyInPandas(_build_filter, _FILTER_SCHEMA)
         )
-        return cls(counts, materialize(filters, "line-filters"), shards, min_docs)
+        return cls((counts,), (found["n"],), materialize(filters, "line-filters"), shards, min_docs, found["blocked"], per_shard)
 
     def insert(self, docs: DataFrame, text_col: str = "text") -> LineIndex:
         return self._change(count_keys(docs, text_col))
@@ -223,135 +273,87 @@ class LineIndex:
         return self._change(count_keys(docs, text_col).withColumn("n_docs", -F.col("n_docs")))
 
     def _change(self, delta: DataFrame) -> LineIndex:
-        both = self.counts.withColumn("old", F.col("n_docs")).unionByName(delta.withColumn("old", F.lit(0).cast("long")))
-        merged = materialize(
-            both.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.sum("old").alias("old"))
-            .where("n_docs <> 0 or old <> 0"), "line-change",
-        )
-        if merged.where("n_docs < 0").limit(1).count():
+        delta = materialize(delta, "line-delta")
+        before = reduce(DataFrame.unionByName, self.levels).join(delta.select("h1", "h2"), ["h1", "h2"], "left_semi")
+        both = delta.select("h1", "h2", "n_docs", F.lit(0).cast("long").alias("old")).unionByName(
+            before.select("h1", "h2", "n_docs", F.col("n_docs").alias("old")))
+        m = self.min_docs
+        merged = materialize(both.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.sum("old").alias("old")), "line-change")
+        found = merged.agg(
+            F.count(F.lit(1)).alias("n"), F.min("n_docs").alias("least"),
+            F.count_if(F.col("n_docs") >= m).alias("blocked"), F.count_if(F.col("old") >= m).alias("were")).first()
+        if (found["least"] or 0) < 0:
             raise ValueError("a deleted document was not in the index")
-        m, shard = self.min_docs, F.col("h1").bitwiseAND(F.lit(self.shards - 1)).alias("shard")
-        changed = merged.where((F.col("n_docs") >= m) != (F.col("old") >= m)).select(
-            "h1", "h2", shard, (F.col("n_docs") >= m).alias("risen"))
-        touched = changed.select("shard").distinct()
-        blocked = merged.where(F.col("n_docs") >= m).select("h1", "h2", shard).join(touched, "shard", "left_semi")
-        # One cogroup: a shard's filter, its changes, and its blocked keys for a rebuild.
-        rows = changed.withColumn("kind", F.lit("change")).unionByName(
-            blocked.withColumn("kind", F.lit("blocked")), allowMissingColumns=True)
-
-        def update(key, filters, found):
-            changes = found[found["kind"] == "change"].astype({"risen": bool})
-            if not len(found):
-                return filters
-            return _update_filter(key, filters, changes, found[found["kind"] == "blocked"])
-
-        filters = self.filters.groupBy("shard").cogroup(rows.groupBy("shard")).applyInPandas(update, _FILTER_SCHEMA)
-        return LineIndex(
-            merged.where("n_docs > 0").select("h1", "h2", "n_docs"), materialize(filters, "line-filters"), self.shards, m)
-
-    def _probe(self, spark: SparkSession, max_filter_bytes: int, max_exceptions: int = 1 << 20):
-        """Broadcast probe, or None if it would be larger than allowed."""
-        size = self.filters.agg(F.sum(F.length("cells"))).first()[0] or 0
-        if size > max_filter_bytes:
-            return None
-        filters = [tuple(r) for r in self.filters.collect()]
-        bare = spark.sparkContext.broadcast(_Probe(filters, self.shards, set()))
-
-        def unblocked_hits(batches):
-            for batch in batches:
-                h1, h2 = (batch.column(i).to_numpy() for i in (0, 1))
-                yield batch.filter(pa.array(bare.value.hits(h1, h2)))
-
-        wrong = self.counts.where(F.col("n_docs") < self.min_docs).select("h1", "h2").mapInArrow(
-            unblocked_hits, "h1 long, h2 long").limit(max_exceptions + 1).collect()
-        if len(wrong) > max_exceptions:
-            return None
-        exceptions = {np.array(r, "<i8").tobytes() for r in wrong}
-        return spark.sparkContext.broadcast(_Probe(filters, self.shards, exceptions))
-
-    def clean(self, docs: DataFrame, text_col: str = "text", max_filter_bytes: int = 64 << 20) -> DataFrame:
-        """``docs`` plus ``__n_lines, __n_dropped, __kept`` (the text without blocked lines).
-
-        All columns of ``docs`` are kept.  Documents must have been inserted: for
-        them the result is exact.  A null text counts as one empty line.
+        levels, rows = (*self.levels, delta), (*self.rows, found["n"])
+        n_blocked = self.blocked + found["blocked"] - found["were"]
+        if 2 * sum(rows[1:]) > rows[0] or n_blocked > 2 * self.shards * self.per_shard:
+            merged_levels = LineIndex(levels, rows, self.filters, self.shards, m, n_blocked, self.per_shard).counts
+            counts = materialize(merged_levels, "line-counts")
+            if n_blocked > 2 * self.shards * self.per_shard:
+                return self._of(counts, m, self.per_shard)  # into more shards
+            levels, rows = (counts,), (counts.count(),)
+        shard = F.col("h1").bitwiseAND(F.lit(self.shards - 1)).alias("shard")
+        changed = merged.where((F.col("n_docs") >= m) != (F.col("old") >= m)).select("h1", "h2", shard, (F.col("n_docs") >= m).alias("risen"))
+        filters = materialize(
+            self.filters.groupBy("shard").cogroup(changed.groupBy("shard")).applyInPandas(_update_filter, _FILTER_SCHEMA), "line-filters")
+        state = LineIndex(levels, rows, filters, self.shards, m, n_blocked, self.per_shard)
+        full = filters.where(F.length("cells") == 0).select("shard")
+        if full.limit(1).count():
+            again = state.counts.where(F.col("n_docs") >= m).select("h1", "h2", shard).join(full, "shard", "left_semi").groupBy(
+                "shard").applyInPandas(_build_filter, _FILTER_SCHEMA)
+            filters = materialize(filters.where(F.length("cells") > 0).unionByName(again), "line-filters")
+            state = replace(state, filters=filters)
+        return state
+
+    def clean(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
+        """``row`` (all columns of ``docs`` as one struct), ``n_lines, n_dropped, kept`` (the text without blocked lines).
+
+        Exact for any document.  A null text counts as one empty line.
         """
-        spark = docs.sparkSession
-        probe = self._probe(spark, max_filter_bytes)
-        if probe is None:
-            return self._clean_by_join(docs, text_col)
-
-        @F.pandas_udf("n_lines long, n_dropped long, kept string")
-        def cleaned(texts: pd.Series) -> pd.DataFrame:
-            rows = []
-            for text in texts:
-                lines = bytes(text).split(b"\n")
-                keys = [line_key(x) for x in lines]
-                rows.append(_clean(lines, keys, probe.value.blocked([k for k in set(keys) if k])))
-            return pd.DataFrame([(n, d, k.decode("utf-8", "replace")) for n, d, k in rows], columns=["n_lines", "n_dropped", "kept"])
-
-        return docs.withColumn("__clean", cleaned(text_bytes(text_col))).select(
-            *[F.col(f"`{c}`") for c in docs.columns], F.col("__clean.n_lines").alias("__n_lines"),
-            F.col("__clean.n_dropped").alias("__n_dropped"), F.col("__clean.kept").alias("__kept"),
-        )
-
-    def _clean_by_join(self, docs: DataFrame, text_col: str) -> DataFrame:
-        """The same by a join of line keys with the table, for filters too large to send."""
-        held = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "line-docs")
-
-        def keys_of(batches):
-            for batch in batches:
-                rows, digests = [], []
-                for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    for key in {line_key(x) for x in text.split(b"\n")} - {b""}:
-                        rows.append(row)
-                        digests.append(xxhash.xxh3_128_digest(key))
-                halves = _halves(digests)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(rows, pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1])], names=["row", "h1", "h2"])
-
-        blocked = self.counts.where(F.col("n_docs") >= self.min_docs).select("h1", "h2")
-        hits = (
-            held.select("__row", text_bytes(text_col).alias("text")).mapInArrow(keys_of, "row long, h1 long, h2 long")
-            .join(blocked, ["h1", "h2"], "left_semi")
-            .groupBy(F.col("row").alias("__hit_row")).agg(F.collect_list(F.struct("h1", "h2")).alias("__hits"))
-        )
-
-        @F.pandas_udf("n_lines long, n_dropped long, kept string")
-        def cleaned(texts: pd.Series, hits: pd.Series) -> pd.DataFrame:
-            rows = []
-            for text, found in zip(texts, hits, strict=True):
-                drop = {np.array([x["h1"], x["h2"]], "<i8").tobytes() for x in found} if found is not None else set()
-                lines = bytes(text).split(b"\n")
-                keys = [line_key(x) for x in lines]
-                blocked = {k for k in set(keys) if k and xxhash.xxh3_128_digest(k) in drop}
-                rows.append(_clean(lines, keys, blocked))
-            return pd.DataFrame([(n, d, k.decode("utf-8", "replace")) for n, d, k in rows], columns=["n_lines", "n_dropped", "kept"])
-
-        joined = held.join(hits, F.col("__row") == F.col("__hit_row"), "left")
-        return joined.withColumn("__clean", cleaned(text_bytes(text_col), F.col("__hits"))).select(
-            *[F.col(f"`{c}`") for c in docs.columns], F.col("__clean.n_lines").alias("__n_lines"),
-            F.col("__clean.n_dropped").alias("__n_dropped"), F.col("__clean.kept").alias("__kept"),
-        )
-
-
-def dedup_lines(docs: DataFrame, min_docs: int = 10, text_col: str = "text") -> DataFrame:
-    """Build the index over ``docs`` and clean ``docs`` with it.
+        spark, counts = docs.sparkSession, self.counts
+        all_uses = counts.agg(F.sum("n_docs")).first()[0] or 0
+        limit = max(self.min_docs - 1, all_uses // HEAVY)
+        common = counts.where(F.col("n_docs") > limit).where(F.col("n_docs") >= self.min_docs) if all_uses // HEAVY >= self.min_docs else None
+        heavy = common.select("h1", "h2").toArrow() if common is not None else None
+        known = set()
+        if heavy is not None and heavy.num_rows:
+            raw = np.stack([heavy.column(i).to_numpy() for i in (0, 1)], axis=1).astype("<i8").tobytes()
+            known = {raw[i : i + 16] for i in range(0, len(raw), 16)}
+        known = spark.sparkContext.broadcast(known)
+
+        by = ["doc_id", text_col] if "doc_id" in docs.columns else [text_col]
+        keyed = carried(docs, k1=F.xxhash64(F.lit(1), *by), k2=F.xxhash64(F.lit(2), *by), body=text_bytes(text_col))
+        shard = F.col("h1").bitwiseAND(F.lit(self.shards - 1)).alias("shard")
+        probes = keyed.select("k1", "k2", "body").mapInArrow(_document_keys(known), "k1 long, k2 long, h1 long, h2 long").select(
+            shard, F.lit(1).alias("is_key"), "k1", "k2", "h1", "h2")
+        dealt = self.filters.withColumn("is_key", F.lit(0)).unionByName(probes, allowMissingColumns=True)
+        passed = dealt.repartition(self.shards, "shard").sortWithinPartitions("shard", "is_key").mapInArrow(
+            _probe, "k1 long, k2 long, h1 long, h2 long")
+        blocked = counts.where(F.col("n_docs") >= self.min_docs).select("h1", "h2")
+        hits = passed.join(blocked, ["h1", "h2"], "left_semi").groupBy(F.col("k1").alias("hit_1"), F.col("k2").alias("hit_2")).agg(
+            F.flatten(F.collect_list(F.array("h1", "h2"))).alias("hits"))
+        joined = keyed.join(hits, (F.col("k1") == F.col("hit_1")) & (F.col("k2") == F.col("hit_2")), "left")
+        return joined.select("row", _cleaner(known)("body", "hits").alias("clean")).select(
+            "row", "clean.n_lines", "clean.n_dropped", "clean.kept")
+
+
+def dedup_lines(docs: DataFrame, min_docs: int = 10, text_col: str = "text", keys_per_shard: int = KEYS_PER_SHARD) -> DataFrame:
+    """Build the index over ``docs`` and clean ``docs`` with it; columns as ``LineIndex.clean`` gives.
 
     A key is a line without ASCII white space at its ends and with A-Z lower-cased.
     Keys of one code point or more that ``min_docs`` rows or more contain lose all
     their lines.  Rows that repeat a document count as documents of their own.  A
     null or empty text is one empty line, which stays.  Texts are split whole,
-    however long.  An empty table gives an empty table.
+    however long.  Columns may have any names.  An empty table gives an empty table.
     """
-    return LineIndex.build(docs, min_docs, text_col).clean(docs, text_col)
+    return LineIndex.build(docs, min_docs, text_col, keys_per_shard).clean(docs, text_col)
 
 
-def digest(cleaned: DataFrame) -> DataFrame:
-    return cleaned.select(
-        "doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"),
-        F.sha2(F.col("__kept").cast("binary"), 256).alias("kept_sha256"),
-    )
+def with_kept_lines(docs: DataFrame, cleaned: DataFrame, text_col: str = "text") -> DataFrame:
+    """The columns of ``docs`` with the cleaned text, and its length in ``n_chars`` if there is that column."""
+    new = {text_col: F.col("kept"), "n_chars": F.length("kept").cast("long")}
+    return restored(cleaned, **{c: v for c, v in new.items() if c in docs.columns})
 
 
-def sha256_hex(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()
+def digest(cleaned: DataFrame) -> DataFrame:
+    return cleaned.select("row.doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))

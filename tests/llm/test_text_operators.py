@@ -91,13 +91,36 @@ def brute_lines(rows, min_docs):
 LINES = [(i, f"Common LINE\n unique {i}\ncommon line \n\nÉcole\n{'école' if i % 2 else 'x'}") for i in range(30)] + [(90, None), (91, ""), (92, "COMMON line"), (92, "COMMON line")]
 
 
-@pytest.mark.parametrize("limit", [64 << 20, 0])
-def test_lines_like_brute_force(spark, limit):
-    """With filters sent to the tasks, and with the join that replaces them."""
+@pytest.mark.parametrize("heavy", [line_dedup.HEAVY, 20, 0])
+def test_lines_like_brute_force(spark, monkeypatch, heavy):
+    """Through one filter, with common keys told to all tasks, and with many small shards."""
+    monkeypatch.setattr(line_dedup, "HEAVY", heavy or line_dedup.HEAVY)
     df = frame(spark, LINES, "doc_id long, text string")
-    index = line_dedup.LineIndex.build(df, 10)
-    got = by_rows(line_dedup.digest(index.clean(df, max_filter_bytes=limit if limit else -1)), "doc_id", "n_lines", "n_dropped", "kept_sha256")
-    assert got == brute_lines(LINES, 10)
+    cleaned = line_dedup.dedup_lines(df, 10, keys_per_shard=1 if not heavy else 1 << 16)
+    assert by_rows(line_dedup.digest(cleaned), "doc_id", "n_lines", "n_dropped", "kept_sha256") == brute_lines(LINES, 10)
+    assert line_dedup.with_kept_lines(df, cleaned).columns == df.columns
+
+
+def test_documents_outside_the_index_are_cleaned_exactly(spark):
+    schema = "doc_id long, text string, k1 string, hits string"
+    index = line_dedup.LineIndex.build(spark.createDataFrame([(*r, "a", "b") for r in LINES], schema), 10)
+    new = spark.createDataFrame([(i, f"common line\nfresh {i}\n" + "\n".join(f"{i} {j}" for j in range(3000)), "a", None) for i in range(20)], schema)
+    assert {(r["n_lines"], r["n_dropped"]) for r in index.clean(new).collect()} == {(3002, 1)}
+
+
+def test_shards_split_and_increments_merge(spark):
+    schema = "doc_id long, text string"
+    rows = [(i, "\n".join(f"line {j}" for j in range(i % 7, 400, 7))) for i in range(28)]
+    index = line_dedup.LineIndex.build(spark.createDataFrame(rows[:7], schema), 2, keys_per_shard=2)
+    assert index.shards == 16 and len(index.levels) == 1
+    for at in range(7, 28, 7):
+        index = index.insert(spark.createDataFrame(rows[at : at + 7], schema))
+    assert index.shards > 16
+    more = [(100, "line 1\nnew line"), (101, "line 2\nnew line")]
+    index = index.insert(spark.createDataFrame(more, schema))
+    assert len(index.levels) == 2
+    docs = spark.createDataFrame(rows + more, schema)
+    assert by_rows(line_dedup.digest(index.clean(docs)), "doc_id", "n_lines", "n_dropped", "kept_sha256") == brute_lines(rows + more, 2)
 
 
 def test_deleting_undoes_inserting(spark):
