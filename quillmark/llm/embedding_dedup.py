@@ -4,7 +4,9 @@ Exactly equal vectors of one label collapse into a class first, so thousands of
 copies are one row.  Spherical k-means, trained on a bounded sample, gives every
 class a home cell and further cells to be looked up in: those whose centroid is
 nearly as close as the home's (``margin``), since a near-duplicate may have landed
-there.  Within a cell and label, products of blocks of unit vectors in double
+there.  A cell with several times the intended rows is cut again by k-means on a
+sample of its own, in a task of its own, so the number of cells follows the number of
+classes although the first level has a bounded one.  Within a cell and label, products of blocks of unit vectors in double
 precision find the pairs; they are counted where they are found, never emitted.
 A pair that meets in two cells is counted in one of them.  Links become stars,
 their connected components the groups.
@@ -16,14 +18,17 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.llm.components import components
-from quillmark.llm.shared import materialize
+from quillmark.llm.shared import carried, materialize, restored
 
 THRESHOLD = 0.93
+#: Parts that a cell of the first level may have.
+_PARTS = 4096
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 3) -> np.ndarray:
@@ -113,9 +118,94 @@ def _cell_links(threshold: float, step: int = 1024):
     return links
 
 
+def _trainer(seed: int):
+    def train(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        x = _unit(frame["vector"])
+        made = spherical_kmeans(x, min(int(frame["parts"].iloc[0]), len(x)), seed=seed)
+        return pd.DataFrame({"cell": [int(key[0])], "k": [len(made)], "centroids": [made.ravel().tolist()]})
+
+    return train
+
+
+def _nearest(near: np.ndarray, margin: float, max_cells: int) -> tuple[np.ndarray, list[list[int]]]:
+    """The closest centroid of each row, and the at most ``max_cells`` that are within ``margin`` of it."""
+    home = near.argmax(axis=1)
+    close = near >= near[np.arange(len(near)), home][:, None] - margin
+    found = []
+    for row, ok in zip(near, close, strict=True):
+        at = np.flatnonzero(ok)
+        found.append((at if len(at) <= max_cells else at[np.argsort(-row[at], kind="stable")[:max_cells]]).tolist())
+    return home, found
+
+
+def _leaf(cell, part=0):
+    return cell * _PARTS + part
+
+
+def _subdivided(margin: float, max_cells: int):
+    """``node, home, leaves`` of rows in cells that are cut again; a cell's centroids come before its rows."""
+
+    def subdivide(batches):
+        cell, centroids = None, None
+        for batch in batches:
+            cells, is_row = batch.column("cell").to_numpy(), batch.column("is_row").to_numpy()
+            cuts = (np.flatnonzero((np.diff(cells) != 0) | (np.diff(is_row) != 0)) + 1).tolist()
+            for lo, hi in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+                if lo == hi:
+                    continue
+                part = batch.slice(lo, hi - lo)
+                vectors = part.column("vector")
+                if not is_row[lo]:
+                    cell, flat = cells[lo], vectors[0].values.to_numpy()
+                    centroids = flat.reshape(part.column("k")[0].as_py(), -1)
+                    continue
+                x, here = vectors.flatten().to_numpy().reshape(hi - lo, -1), int(cells[lo])
+                home, found = np.zeros(hi - lo, np.int64), [[0]] * (hi - lo)
+                if here == cell:  # otherwise no row of the cell was in the sample: it stays whole
+                    home, found = _nearest(x / np.linalg.norm(x, axis=1, keepdims=True) @ centroids.T, margin, max_cells)
+                of_home = part.column("home").to_numpy() == here
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("node"), pa.array(np.where(of_home, _leaf(here, home), 0), mask=~of_home),
+                     pa.array([[_leaf(here, c) for c in f] for f in found], pa.list_(pa.int64()))],
+                    names=["node", "home", "leaves"])
+
+    return subdivide
+
+
+def _subdivide(placed: DataFrame, cell_rows: int, sample_rows: int, margin: float, max_cells: int) -> DataFrame:
+    """``placed`` with homes and cells numbered as leaves, large cells cut again."""
+    spark = placed.sparkSession
+    plain = placed.withColumn("home", _leaf(F.col("home"))).withColumn("cells", F.transform("cells", lambda c: _leaf(c)))
+    sizes = placed.where("home >= 0").groupBy("home").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 4 * cell_rows).collect()
+    if not sizes:
+        return plain
+    # One row per cell of the first level at most, which the sample bounds.
+    parts = {r["home"]: min(math.ceil(r["size"] / cell_rows), sample_rows // 16, _PARTS) for r in sizes}
+    large = F.broadcast(spark.createDataFrame(
+        [(h, parts[h], min(1.0, 32 * parts[h] / n), math.ceil(n / (64 * cell_rows))) for h, n in ((r["home"], r["size"]) for r in sizes)],
+        "large long, parts int, share double, tasks int"))
+    sample = placed.join(large, F.col("home") == F.col("large")).where(
+        F.pmod(F.xxhash64(F.lit("cells"), "node"), F.lit(1 << 30)) < F.col("share") * float(1 << 30))
+    trained = materialize(sample.select("home", "vector", "parts").groupBy("home").applyInPandas(
+        _trainer(4), "cell long, k int, centroids array<double>"), "vector-centroids")
+    looked = placed.select("node", "home", "vector", F.explode("cells").alias("cell")).join(large, F.col("cell") == F.col("large"))
+    rows = looked.select("cell", F.pmod(F.xxhash64("node"), F.col("tasks").cast("long")).cast("int").alias("task"), F.lit(1).alias("is_row"),
+                         "node", "home", F.lit(None).cast("int").alias("k"), "vector")
+    centroids = trained.join(large, F.col("cell") == F.col("large")).select(
+        "cell", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"), F.lit(0).alias("is_row"),
+        F.lit(None).cast("string").alias("node"), F.lit(None).cast("long").alias("home"), "k", F.col("centroids").alias("vector"))
+    dealt = rows.unionByName(centroids).repartition("cell", "task").sortWithinPartitions("cell", "task", "is_row")
+    cut = dealt.mapInArrow(_subdivided(margin, max_cells), "node string, home long, leaves array<long>")
+    small = placed.select("node", "home", F.explode("cells").alias("cell")).join(large, F.col("cell") == F.col("large"), "left_anti").select(
+        "node", F.when(F.col("home") == F.col("cell"), _leaf(F.col("home"))).alias("home"), F.array(_leaf(F.col("cell"))).alias("leaves"))
+    leaves = cut.unionByName(small).groupBy(F.col("node").alias("of")).agg(
+        F.max("home").alias("home"), F.flatten(F.collect_list("leaves")).alias("cells"))
+    return placed.drop("home", "cells").join(leaves, F.col("node") == F.col("of")).drop("of")
+
+
 def near_duplicates(
     vectors: DataFrame, threshold: float = THRESHOLD, cell_rows: int = 1500, sample_rows: int = 32_768,
-    margin: float = 0.12, block: int = 4096,
+    margin: float = 0.12, max_cells: int = 24, block: int = 4096,
 ) -> DataFrame:
     """Links between vectors of equal label with cosine ``threshold`` or more.
 
@@ -125,11 +215,16 @@ def near_duplicates(
     A vector that is null, empty, all zero, or holds null or non-finite
     components, and one whose label is null, links with nothing.  Vectors of
     different lengths link with nothing of the other's length.  Copies of a vector
-    link with each other.  Rows that repeat a vec_id each count as a vector.
+    link with each other.  Rows that repeat a vec_id each count as a vector.  An
+    empty table gives an empty table.
 
-    ``sample_rows`` bounds what k-means is trained on (the classes of smallest
-    hash); every class is then assigned.  Cells follow the number of classes.
-    Cells larger than ``block`` are compared block by block, all pairs.
+    ``sample_rows`` bounds what a k-means is trained on (the classes of smallest
+    hash); every class is then assigned.  The first level has up to ``sample_rows / 16``
+    cells, each cut again if it holds four times ``cell_rows`` or more, so the cells of
+    both levels follow the number of classes up to the square of that.  A class is
+    looked up in at most ``max_cells`` cells of the first level and as many parts of
+    each; recall is measured against brute force (README).  Cells larger than
+    ``block`` are compared block by block, all pairs.
     """
     spark = vectors.sparkSession
     e = F.col("embedding")
@@ -166,16 +261,15 @@ def near_duplicates(
         homes, cells = [-1] * len(vector), [[-1]] * len(vector)
         at = np.flatnonzero(size.to_numpy() == dims)
         if at.size:
-            near = _unit(vector.iloc[at]) @ centroids.value.T
-            best = near.max(axis=1)
-            for r, row, b in zip(at.tolist(), near, best, strict=True):
-                homes[r] = int(row.argmax())
-                cells[r] = np.flatnonzero(row >= b - margin).tolist()
+            home, found = _nearest(_unit(vector.iloc[at]) @ centroids.value.T, margin, max_cells)
+            for r, h, f in zip(at.tolist(), home.tolist(), found, strict=True):
+                homes[r], cells[r] = h, f
         return pd.DataFrame({"home": homes, "cells": cells})
 
     placed = materialize(
         classes.withColumn("at", assigned("vector", "dims")).select(
             "node", "label", "dims", "copies", "vector", "at.home", "at.cells"), "vector-cells")
+    placed = _subdivide(placed, cell_rows, sample_rows, margin, max_cells)
     dealt = placed.select("*", F.explode("cells").alias("cell"))
     sizes = dealt.groupBy(F.col("cell").alias("of")).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     dealt = dealt.join(sizes, F.col("cell") == F.col("of"))
@@ -204,6 +298,6 @@ def near_duplicates(
 
 
 def one_per_group(vectors: DataFrame, **options) -> DataFrame:
-    """The vectors that stay when each group keeps its representative."""
-    kept = near_duplicates(vectors, **options).where("kept").select(F.col("vec_id").alias("__kept_id")).distinct()
-    return vectors.join(kept, F.col("vec_id").cast("long").eqNullSafe(F.col("__kept_id")), "left_semi")
+    """The vectors that stay when each group keeps its representative; columns may have any names."""
+    kept = near_duplicates(vectors, **options).where("kept").select(F.col("vec_id").alias("kept_id")).distinct()
+    return restored(carried(vectors, id=F.col("vec_id").cast("long")).join(kept, F.col("id").eqNullSafe(F.col("kept_id")), "left_semi"))
