@@ -66,8 +66,10 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "archives")
-    warc.write_archives(warc.archive_records(_table(spark, sf_dir, "pages")), path)
-    records = warc.resolve_revisits(warc.read_archives(spark, path, with_payload=False))
+    pages = _table(spark, sf_dir, "pages")
+    warc.write_archives(warc.archive_records(pages), path, records_per_file=warc.records_for(pages))
+    headers = materialize(warc.read_archives(spark, path, with_payload=False), "warc-headers")
+    records = warc.resolve_revisits(headers, sent=warc.MAX_SENT)
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

@@ -2,11 +2,14 @@
 
 Writing.  Only headers (id, digest, length) are shuffled to find each digest's
 original: a partial aggregation keeps the smallest id per digest, so a digest
-that a third of all pages share arrives as one row per task.  Originals of
-repeated digests are joined back, revisit records lose their payload, and fresh
-headers are made for every record.  Files are written by Spark's text writer,
-through its commit protocol: a record is one row and the line separator is the
-blank lines that end a WARC record.
+that a third of all pages share arrives as one row per task.  The originals of
+repeated digests go back to the pages.  While they are ``MAX_SENT`` or fewer they
+are sent to the tasks, so payloads stay where they are read; beyond that they are
+joined on the digest, which shuffles the payloads once, with the commonest digests
+split over many tasks.
+Revisit records lose their payload, and fresh headers are made for every record.
+Files are written by Spark's text writer, through its commit protocol: each
+record is a gzip member of its own, and the line separator is an empty member.
 
 Reading.  ``read_archives`` streams each (compressed) file through a parser that
 trusts nothing but ``Content-Length``, so payloads may hold anything, even other
@@ -23,6 +26,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmark.llm.shared import materialize
+
+#: Originals of repeated digests that are sent to all tasks: 100 bytes each at most, 50 MB in all.
+MAX_SENT = 500_000
+#: Digests with more than this share of all uses are split over so many tasks.
+_COMMON, _SPLITS = 1000, 64
+#: Bytes of payload a file is meant for, so that readers can hold one.
+FILE_BYTES = 256 << 20
+#: A gzip member of nothing.
+_NOTHING = b"\x1f\x8b\x08\0\0\0\0\0\0\xff\x03\0\0\0\0\0\0\0\0\0"
 CRLF = "\r\n"
 RECORD_END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -32,17 +45,36 @@ RECORD_SCHEMA = (
 )
 
 
-def archive_records(pages: DataFrame, min_bytes: int = 100) -> DataFrame:
+def _with_originals(rows: DataFrame, key: str, originals: DataFrame, value: str, sent: int) -> DataFrame:
+    """``rows`` left-joined to ``originals`` (of, uses, value) on ``key``.
+
+    Up to ``sent`` originals go to all tasks.  Beyond that, keys with more than a
+    ``1 / _COMMON`` of all uses, of which there are fewer than ``_COMMON``, are split over
+    ``_SPLITS`` tasks of the join, each with a copy of the original.
+    """
+    found = originals.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("uses"), F.lit(0)).alias("uses")).first()
+    if found["n"] <= sent:
+        return rows.join(F.broadcast(originals.select("of", value)), F.col(key) == F.col("of"), "left").drop("of")
+    common = F.col("uses") > found["uses"] // _COMMON
+    names = F.broadcast(originals.where(common).select(F.col("of").alias("common")))
+    split = F.when(F.col("common").isNull(), 0).otherwise(F.pmod(F.xxhash64("page_id"), F.lit(_SPLITS))).cast("int")
+    copies = originals.select("of", value, F.explode(F.sequence(F.lit(0), F.when(common, _SPLITS - 1).otherwise(0))).alias("copy"))
+    dealt = rows.join(names, F.col(key) == F.col("common"), "left").withColumn("split", split)
+    return dealt.join(copies, (F.col(key) == F.col("of")) & (F.col("split") == F.col("copy")), "left").drop("common", "split", "of", "copy")
+
+
+def archive_records(pages: DataFrame, min_bytes: int = 100, sent: int = MAX_SENT) -> DataFrame:
     """Decide per page: ``response``, or ``revisit`` of the page with the same payload.
 
     Input columns ``page_id, url, html``; others are ignored.  Returns
     ``page_id, url, html, payload_digest, payload_bytes, record_type, refers_to``.
 
     * A null html is the empty payload; payloads under ``min_bytes`` are always
-      responses.
+      responses.  A null url gives a record without one.
     * Of equal payloads the smallest page_id is the response; rows that repeat
       that smallest id are all responses.  Null ids never win against an id;
       where a payload has null ids only, all its rows are responses.
+    * An empty table gives an empty table.
     """
     body = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
     headed = pages.select(
@@ -53,20 +85,15 @@ def archive_records(pages: DataFrame, min_bytes: int = 100) -> DataFrame:
     )
     originals = (
         headed.where(F.col("payload_bytes") >= min_bytes)
-        .groupBy("payload_digest")
-        .agg(F.min("page_id").alias("__original"), F.count(F.lit(1)).alias("__n"))
-        .where((F.col("__n") > 1) & F.col("__original").isNotNull())
-        .select(F.col("payload_digest").alias("__digest"), "__original")
+        .groupBy(F.col("payload_digest").alias("of"))
+        .agg(F.min("page_id").alias("original"), F.count(F.lit(1)).alias("uses"))
+        .where((F.col("uses") > 1) & F.col("original").isNotNull())
     )
-    revisit = F.col("__original").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("__original"))
-    return headed.join(
-        originals,
-        (F.col("payload_digest") == F.col("__digest")) & (F.col("payload_bytes") >= min_bytes),
-        "left",
-    ).select(
+    revisit = F.col("original").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("original"))
+    return _with_originals(headed, "payload_digest", materialize(originals, "originals"), "original", sent).select(
         "page_id", "url", "html", "payload_digest", "payload_bytes",
         F.when(revisit, "revisit").otherwise("response").alias("record_type"),
-        F.when(revisit, F.col("__original")).alias("refers_to"),
+        F.when(revisit, F.col("original")).alias("refers_to"),
     )
 
 
@@ -79,11 +106,24 @@ def _header(name: str, value):
     return F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit(CRLF)), F.lit(""))
 
 
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each record and the line breaks that end it as one gzip member."""
+    for batch in batches:
+        out = []
+        for record in batch.column(0):
+            packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+            out.append(packer.compress(record.as_py()) + packer.compress(RECORD_END.encode()) + packer.flush())
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["member"])
+
+
 def write_archives(
-    records: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z", compression: str = "gzip"
+    records: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z", compressed: bool = True, records_per_file: int = 0
 ) -> None:
     """Write the records of ``archive_records`` as WARC/1.1 files under ``path``.
 
+    ``compressed`` files hold one gzip member per record, so a record can be read from
+    its offset.  ``records_per_file`` bounds the files (0: as Spark's tasks make them).
+
     A response's block is an HTTP response message around the payload; a revisit
     has an empty block.  ``date`` stands in for the crawl date, which the table
     lacks.  Line breaks inside a url are percent-encoded so that no url can
@@ -110,56 +150,79 @@ def write_archives(
         _header("Content-Length", length.cast("string")),
         F.lit(CRLF), block,
     )
-    (records.select(record.alias("value")).write
-     .option("lineSep", RECORD_END).option("compression", compression).text(path))
+    rows = records.select(record.alias("value"))
+    options = {"lineSep": RECORD_END, "maxRecordsPerFile": records_per_file}
+    if compressed:
+        # The text writer passes the bytes of a value and of the separator on as they are.
+        rows = rows.select(F.col("value").cast("binary")).mapInArrow(_members, "member binary").select(F.col("member").cast("string").alias("value"))
+        options |= {"lineSep": _NOTHING.decode("latin-1"), "encoding": "ISO-8859-1"}
+    rows.write.options(**options).text(path)
+
+
+def records_for(pages: DataFrame, file_bytes: int = FILE_BYTES) -> int:
+    """Records that make up about ``file_bytes`` of payload."""
+    found = pages.agg(F.avg(F.octet_length("html"))).first()[0]
+    return max(1, int(file_bytes / max(1.0, found or 1.0)))
 
 
 def _inflated(content: bytes, step: int = 1 << 20) -> Iterator[bytes]:
-    """The file's bytes in pieces; gzip members, one or many, are unpacked."""
-    if content[:2] != b"\x1f\x8b":
-        for i in range(0, len(content), step):
-            yield content[i : i + step]
-        return
-    rest = content
-    while rest:
-        unzip = zlib.decompressobj(wbits=31)
-        while rest and not unzip.eof:
-            yield unzip.decompress(rest, step)
-            rest = unzip.unconsumed_tail or unzip.unused_data
-        if not unzip.eof:
-            yield unzip.flush()
-            return
-        rest = unzip.unused_data
+    """The file's bytes in pieces; gzip members, one or many, are unpacked.
+
+    The file is passed over once: no more than a step of it is copied at a time.
+    """
+    packed = content[:2] == b"\x1f\x8b"
+    unzip = None
+    for at in range(0, len(content), step):
+        rest = content[at : at + step]
+        if not packed:
+            yield rest
+            continue
+        while rest:
+            if unzip is None:
+                unzip = zlib.decompressobj(wbits=31)
+            piece = unzip.decompress(rest, step)
+            if piece:
+                yield piece
+            rest = unzip.unused_data if unzip.eof else unzip.unconsumed_tail
+            if unzip.eof:
+                unzip = None
+    if unzip is not None:
+        yield unzip.flush()
 
 
 def parse_warc(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Header fields (lower-case names) and block of every record of one file."""
-    pieces, held = _inflated(content), b""
+    pieces, held, at = _inflated(content), bytearray(), 0
 
     def more() -> bool:
-        nonlocal held
         piece = next(pieces, None)
-        held += piece or b""
+        if piece is not None:
+            held.extend(piece)
         return piece is not None
 
     while True:
-        while (at := held.find(b"\r\n\r\n")) < 0 and more():
-            pass
-        if at < 0:
-            if held.strip():
-                raise ValueError("archive ends inside a header")
-            return
-        first, *lines = held[:at].decode("utf-8").split("\r\n")
+        if at > max(1 << 20, len(held) // 2):
+            del held[:at]
+            at = 0
+        look = at
+        while (body := held.find(b"\r\n\r\n", look)) < 0:
+            look = max(at, len(held) - 3)
+            if not more():
+                if held[at:].strip():
+                    raise ValueError("archive ends inside a header")
+                return
+        first, *lines = held[at:body].decode("utf-8").split("\r\n")
         if not first.startswith("WARC/"):
             raise ValueError(f"not a WARC record: {first[:60]!r}")
         fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        end = at + 4 + int(fields["content-length"])
+        body += 4
+        end = body + int(fields["content-length"])
         while len(held) < end + 4 and more():
             pass
         if len(held) < end:
             raise ValueError("archive ends inside a block")
-        yield fields, held[at + 4 : end]
-        held = held[end + 4 :]
+        yield fields, bytes(held[body:end])
+        at = end + 4
 
 
 def _page(urn: str | None) -> int | None:
@@ -207,23 +270,24 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
     return files.mapInArrow(_read_batches(with_payload), RECORD_SCHEMA)
 
 
-def resolve_revisits(records: DataFrame) -> DataFrame:
+def resolve_revisits(records: DataFrame, sent: int = 0) -> DataFrame:
     """Give every revisit its original's length (and payload, if read).
 
     Revisits are joined to responses on digest and original id.  A revisit whose
     original is missing from the archives keeps null there.  Rows that repeat an
-    original collapse before the join.
+    original collapse before the join.  Only responses that some revisit names take
+    part, and digests with many revisits are split over tasks.  Without payloads,
+    up to ``sent`` originals may go to all tasks instead.
     """
+    revisits = records.where("record_type = 'revisit'").drop("payload_bytes", "payload").withColumn(
+        "named", F.concat_ws(" ", "payload_digest", F.col("refers_to").cast("string")))
+    uses = materialize(revisits.where("refers_to is not null").groupBy("named").agg(F.count(F.lit(1)).alias("uses")), "revisit-names")
     original = (
         records.where("record_type = 'response' and page_id is not null")
-        .groupBy(F.col("payload_digest").alias("__digest"), F.col("page_id").alias("__original"))
-        .agg(F.min("payload_bytes").alias("__bytes"), F.min("payload").alias("__payload"))
-    )
-    revisits = records.where("record_type = 'revisit'").join(
-        original,
-        (F.col("payload_digest") == F.col("__digest")) & (F.col("refers_to") == F.col("__original")), "left",
-    ).select(
-        "page_id", "record_type", "refers_to", "url", "payload_digest",
-        F.col("__bytes").alias("payload_bytes"), F.col("__payload").alias("payload"),
+        .groupBy(F.concat_ws(" ", "payload_digest", F.col("page_id").cast("string")).alias("of"))
+        .agg(F.min_by(F.struct("payload_bytes", "payload"), "payload_bytes").alias("found"))
+        .join(uses, F.col("of") == F.col("named")).select("of", "uses", "found")
     )
-    return records.where("record_type = 'response'").unionByName(revisits)
+    resolved = _with_originals(revisits, "named", original, "found", sent).select(
+        "page_id", "record_type", "refers_to", "url", "payload_digest", "found.payload_bytes", "found.payload")
+    return records.where("record_type = 'response'").unionByName(resolved)
