@@ -29,9 +29,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without the lines that LINE_DOCS documents or more share."""
-    cleaned = line_dedup.dedup_lines(docs, LINE_DOCS)
-    new = {"text": F.col("__kept"), "n_chars": F.length("__kept").cast("long")}
-    return cleaned.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
+    return line_dedup.with_kept_lines(docs, line_dedup.dedup_lines(docs, LINE_DOCS))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
