@@ -6,12 +6,17 @@ All take a ``queries`` side that is small by nature (a question set) and a
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import _parse_datatype_string
 
 from quillmark.functions.text import tokenize
 
@@ -24,84 +29,162 @@ def top_k(scored: DataFrame, k: int, score: str = "score", key: str = "chunk_id"
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-def bm25_scores(chunks: DataFrame, queries: DataFrame, k1: float = K1, b: float = B, epsilon: float = EPSILON) -> DataFrame:
-    """``question_id, chunk_id, score`` of chunks that share a term with the question.
+def _terms(chunks: DataFrame) -> DataFrame:
+    return chunks.select("chunk_id", F.coalesce(tokenize(F.col("text")), F.array()).alias("terms"))
+
+
+def bm25_weights(chunks: DataFrame, queries: DataFrame, epsilon: float = EPSILON) -> DataFrame:
+    """``question_id, term, weight, avgdl``: what a term adds to a question's score, before the chunk's part.
 
-    Terms that more than half of the chunks hold get ``epsilon`` times the mean idf.
-    Repeated query terms count each time.  Chunks are tokenised once; only postings
-    of terms that some question asks for are scored.
+    One aggregation over the chunks' distinct terms, with partial sums, counts chunks
+    per term; chunks and their lengths are counted along as the term '', which no
+    text has.  Terms that more than half of the chunks hold get ``epsilon`` times the
+    mean idf of all terms.  Repeated query terms count each time.
     """
-    tokens = chunks.select("chunk_id", tokenize(F.col("text")).alias("terms"))
-    stats = tokens.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("terms")).alias("avgdl"))
-    postings = tokens.select("chunk_id", F.size("terms").alias("dl"), F.explode("terms").alias("term")).groupBy(
-        "term", "chunk_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = df.join(F.broadcast(stats)).withColumn(
+    per_chunk = _terms(chunks).select(F.size("terms").cast("long").alias("dl"), F.explode(F.concat(F.array_distinct("terms"), F.array(F.lit("")))).alias("term"))
+    vocabulary = per_chunk.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum(F.when(F.col("term") == "", F.col("dl"))).alias("length"))
+    stats = vocabulary.where("term = ''").select(F.col("df").alias("n"), (F.col("length") / F.col("df")).alias("avgdl"))
+    idf = vocabulary.where("term <> ''").join(F.broadcast(stats)).withColumn(
         "raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     floor = idf.agg((F.lit(epsilon) * F.avg("raw")).alias("floor"))
     asked = queries.select("question_id", F.explode(tokenize(F.col("question"))).alias("term")).groupBy("question_id", "term").agg(
         F.count(F.lit(1)).alias("qtf"))
-    weights = asked.join(idf, "term").join(F.broadcast(floor)).select(
-        "question_id", "term", "qtf", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"), "avgdl")
-    hit = postings.join(weights, "term")
-    score = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (
-        F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    raised = F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw"))
+    return asked.join(idf, "term").join(F.broadcast(floor)).select("question_id", "term", (F.col("qtf") * raised).alias("weight"), "avgdl")
+
+
+def bm25_scores(chunks: DataFrame, queries: DataFrame, k1: float = K1, b: float = B, epsilon: float = EPSILON) -> DataFrame:
+    """``question_id, chunk_id, score`` of all chunks that share a term with the question.
+
+    Only tokens that some question asks for are grouped.  For the best chunks alone
+    ``bm25_topk`` does without shuffling scores.
+    """
+    weights = bm25_weights(chunks, queries, epsilon)
+    tokens = _terms(chunks).select("chunk_id", F.size("terms").alias("dl"), F.explode("terms").alias("term"))
+    asked = queries.select(F.explode(tokenize(F.col("question"))).alias("term")).distinct()
+    found = tokens.join(asked, "term", "left_semi").groupBy("chunk_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")).join(weights, "term")
+    score = F.col("weight") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     # rounded, so that the order of summation never decides between equal scores
-    return hit.groupBy("question_id", "chunk_id").agg(F.round(F.sum(score), 9).alias("score"))
+    return found.groupBy("question_id", "chunk_id").agg(F.round(F.sum(score), 9).alias("score"))
+
+
+class Best:
+    """The k best rows of each question so far: score descending, then key."""
+
+    def __init__(self, questions: int, k: int) -> None:
+        self.k, self.floor = k, np.full(questions, -np.inf)
+        self.question, self.score, self.key = np.empty(0, np.int64), np.empty(0), np.empty(0, object)
+
+    def merge(self, scores: np.ndarray, keys: np.ndarray) -> None:
+        """``scores``: a row per key, a column per question."""
+        order = np.argsort(keys, kind="stable")
+        scores, keys = scores[order], keys[order]
+        # Rows equal to the floor can only win by their keys, the first k of them.
+        ties = scores == self.floor
+        row, question = np.nonzero((scores > self.floor) | (ties & (np.cumsum(ties, axis=0) <= self.k)))
+        if not row.size:
+            return
+        question = np.concatenate([self.question, question])
+        score = np.concatenate([self.score, scores[row, question[len(self.question):]]])
+        key = np.concatenate([self.key, keys[row]])
+        order = np.lexsort((np.unique(key, return_inverse=True)[1], -score, question))
+        question, score, key = question[order], score[order], key[order]
+        place = np.arange(len(question)) - np.searchsorted(question, np.arange(len(self.floor)))[question]
+        kept = place < self.k
+        self.question, self.score, self.key = question[kept], score[kept], key[kept]
+        last = self.question[place[kept] == self.k - 1]
+        self.floor[last] = self.score[place[kept] == self.k - 1]
+
+
+def _scan(chunks: DataFrame, ids: list, kind: str, k: int, scorer: Callable, rows: int = 512) -> DataFrame:
+    """Each task's k best rows of ``chunks`` (chunk_id and one more column) per question."""
+
+    def scan(batches):
+        best = Best(len(ids), k)
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                keys = np.array(part.column(0).to_pylist(), object)
+                best.merge(scorer(part.column(1)), keys)
+        yield pa.RecordBatch.from_pandas(pd.DataFrame({
+            "question_id": pd.Series([ids[q] for q in best.question], dtype=object), "chunk_id": best.key, "score": best.score}), schema=schema)
 
+    schema = pa.schema([("question_id", to_arrow_type(_parse_datatype_string(kind))), ("chunk_id", pa.string()), ("score", pa.float64())])
+    return chunks.mapInArrow(scan, f"question_id {kind}, chunk_id string, score double")
 
-def bm25_topk(chunks: DataFrame, queries: DataFrame, k: int = 20, **options) -> DataFrame:
-    """The k best chunks per question; where fewer match, chunks of score 0 fill up in id order.
 
-    Only the k smallest ids can be needed for filling beyond those that match, and
-    a question lacks at most k, so 2k ids are enough and no product of questions and
-    chunks is made.
+def _blocks(rows: list, block: int) -> list[list]:
+    return [rows[at : at + block] for at in range(0, len(rows), block)] or [[]]
+
+
+def bm25_topk(chunks: DataFrame, queries: DataFrame, k: int = 20, k1: float = K1, b: float = B, epsilon: float = EPSILON, block: int = 4096) -> DataFrame:
+    """The k best chunks per question of all chunks; those without a common term have score 0.
+
+    The question set goes to the tasks in blocks of ``block`` questions with the
+    weights of their terms.  A task keeps k chunks per question, so what is shuffled
+    depends neither on the number of chunks in a task nor on how common a term is.
+    Scores are rounded to 9 places, so that equal ones tie.
     """
-    matched = bm25_scores(chunks, queries, **options)
-    best = top_k(matched, k).drop("rank")
-    few = matched.groupBy("question_id").agg(F.count(F.lit(1)).alias("m"), F.count_if(F.col("score") <= 0).alias("low"))
-    need = queries.select("question_id").join(few, "question_id", "left").where("coalesce(m, 0) - coalesce(low, 0) < " + str(k)).select("question_id")
-    spare = chunks.select("chunk_id").orderBy("chunk_id").limit(2 * k).agg(F.collect_list("chunk_id").alias("ids"))
-    fill = need.join(F.broadcast(spare)).select("question_id", F.explode("ids").alias("chunk_id")).join(
-        matched, ["question_id", "chunk_id"], "left_anti").withColumn("score", F.lit(0.0))
-    return top_k(best.unionByName(fill), k)
+    spark, kind = chunks.sparkSession, queries.schema["question_id"].dataType.simpleString()
+    asked: dict = {r["question_id"]: [] for r in queries.select("question_id").distinct().collect()}
+    avgdl = 1.0
+    for r in bm25_weights(chunks, queries, epsilon).toLocalIterator():
+        asked[r["question_id"]].append((r["term"], r["weight"]))
+        avgdl = r["avgdl"]
+    words = chunks.select("chunk_id", F.lower(F.coalesce("text", F.lit(""))).alias("text"))
+    found = []
+    for ids in _blocks(list(asked), block):
+        weights: dict[str, tuple[list, list]] = {}
+        for i, question in enumerate(ids):
+            for term, weight in asked[question]:
+                at, w = weights.setdefault(term, ([], []))
+                at.append(i)
+                w.append(weight)
+        shared = spark.sparkContext.broadcast({t: (np.array(i), np.array(w)) for t, (i, w) in weights.items()})
+        found.append(_scan(words, ids, kind, k, _bm25_scorer(shared, len(ids), avgdl, k1, b)))
+    return top_k(reduce(DataFrame.unionByName, found), k)
+
+
+def _bm25_scorer(shared, questions: int, avgdl: float, k1: float, b: float):
+    import re
+
+    token = re.compile("[a-z0-9]+")
 
+    def scores(texts) -> np.ndarray:
+        out, weights = np.zeros((len(texts), questions)), shared.value
+        for r, text in enumerate(texts):
+            terms = token.findall(text.as_py())
+            norm = k1 * (1 - b + b * len(terms) / avgdl)
+            for term, tf in Counter(terms).items():
+                if (hit := weights.get(term)) is not None:
+                    out[r, hit[0]] += hit[1] * (tf * (k1 + 1) / (tf + norm))
+        return np.round(out, 9)
 
-def dense_topk(chunks: DataFrame, queries: DataFrame, k: int = 20, max_queries: int = 100_000) -> DataFrame:
+    return scores
+
+
+def dense_topk(chunks: DataFrame, queries: DataFrame, k: int = 20, block: int = 4096) -> DataFrame:
     """The k chunks of largest inner product per question, exact.
 
-    ``queries`` (question_id, embedding) go to the tasks, their number checked; each
-    task keeps k rows per question, so what is shuffled does not depend on the
-    number of chunks in a task.
+    ``queries`` (question_id, embedding) go to the tasks in blocks; each task keeps k
+    rows per question.  Questions and chunks without an embedding take no part.
     """
-    n = queries.count()
-    if n > max_queries:
-        raise ValueError(f"{n} questions; send them in blocks of {max_queries}")
-    rows = queries.where("embedding is not null").select("question_id", "embedding").toPandas()
-    ids = rows["question_id"].tolist()
-    q = np.array(rows["embedding"].tolist(), np.float64)
-    shared = chunks.sparkSession.sparkContext.broadcast(q)
-    kind = queries.schema["question_id"].dataType.simpleString()
-
-    def scan(batches):
-        best: list[pd.DataFrame] = []
-        for batch in batches:
-            if not len(batch) or not len(ids):
-                continue
-            scores = np.array(batch["embedding"].tolist(), np.float64) @ shared.value.T
-            keys = batch["chunk_id"].to_numpy()
-            names = np.argsort(keys, kind="stable")
-            scores, keys = scores[names], keys[names]
-            for j, question in enumerate(ids):
-                top = np.argsort(-scores[:, j], kind="stable")[:k]
-                best.append(pd.DataFrame({"question_id": question, "chunk_id": keys[top], "score": scores[top, j]}))
-        if best:
-            yield (pd.concat(best).sort_values(["question_id", "score", "chunk_id"], ascending=[True, False, True])
-                   .groupby("question_id", sort=False).head(k))
-
-    found = chunks.where("embedding is not null").select("chunk_id", "embedding").mapInPandas(
-        scan, f"question_id {kind}, chunk_id string, score double")
-    return top_k(found, k)
+    spark, kind = chunks.sparkSession, queries.schema["question_id"].dataType.simpleString()
+    rows = queries.where("embedding is not null").select("question_id", "embedding").collect()
+    vectors = chunks.where("embedding is not null").select("chunk_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    found = []
+    for part in _blocks(rows, block):
+        shared = spark.sparkContext.broadcast(np.array([r["embedding"] for r in part], np.float64).reshape(len(part), -1))
+        found.append(_scan(vectors, [r["question_id"] for r in part], kind, k, _dense_scorer(shared)))
+    return top_k(reduce(DataFrame.unionByName, found), k)
+
+
+def _dense_scorer(shared):
+    def scores(vectors) -> np.ndarray:
+        x = vectors.flatten().to_numpy().reshape(len(vectors), -1)
+        return x @ shared.value.T if len(shared.value) else np.empty((len(vectors), 0))
+
+    return scores
 
 
 def rrf_fuse(lexical: DataFrame, dense: DataFrame, k: int = 20, rrf_k: int = 60) -> DataFrame:

@@ -61,22 +61,22 @@ class Outline:
       comes before its parent's own text on the same page.  Empty sections vanish.
     """
 
-    def __init__(self, allow_plain: bool) -> None:
-        self.allow_plain = allow_plain
+    def __init__(self) -> None:
         self.open: list[dict] = []
         self.closed: list[dict] = []
 
-    def line(self, text: str, page: int) -> None:
-        top = self.open[-1] if self.open else None
+    def line(self, line: dict, page: int) -> None:
+        """``line`` as ``headings.classified`` gives it."""
+        text, top = line["text"], self.open[-1] if self.open else None
         if top is not None:
             top["to"] = page
         if not text:
             return
-        if found := h.numbered(text, self.allow_plain):
-            self._begin(h.level_of(found[0]), found[1], found[0], page)
+        if line["no"] is not None:
+            self._begin(line["level"], line["heading"], line["no"], page)
         elif top is None:
             return
-        elif h.shaped(text, h.UNNUMBERED_WORDS):
+        elif line["title"]:
             base = next((s["level"] for s in reversed(self.open) if s["no"] is not None), 0)
             if not top["lines"] and top["level"] < base + 1:
                 *above, last = top["trail"]
@@ -119,10 +119,10 @@ def merge_short(sections: list[dict], min_tokens: int) -> list[dict]:
 
 def _chunker(min_tokens: int):
     def chunk(key: tuple, pages: pd.DataFrame) -> pd.DataFrame:
-        outline = Outline(not bool(pages["dotted"].iloc[0]))
-        for page, text in pages.sort_values("page_num")[["page_num", "text"]].itertuples(index=False):
-            for line in text.split("\n"):
-                outline.line(line.strip(), int(page))
+        outline = Outline()
+        for page, lines in pages.sort_values("page_num")[["page_num", "lines"]].itertuples(index=False):
+            for line in lines:
+                outline.line(line, int(page))
         found = [s | {"tokens": len(s["text"].split())} for s in outline.sections()]
         if min_tokens > 0:
             found = merge_short(found, min_tokens)
@@ -137,7 +137,8 @@ def chunk_documents(pages: DataFrame, min_tokens: int = 0) -> DataFrame:
     """Chunks of all documents of ``pages`` (doc_id, page_num, text)."""
     clean = strip_boilerplate(pages)
     body = clean.where(~h.is_contents_page(F.col("text"))).join(dotted_numbering(clean), "doc_id")
-    return body.groupBy("doc_id").applyInPandas(_chunker(min_tokens), CHUNKS)
+    lines = F.transform(F.split("text", "\n"), lambda x: h.classified(h.uline(x), ~F.col("dotted")))
+    return body.select("doc_id", "page_num", lines.alias("lines")).groupBy("doc_id").applyInPandas(_chunker(min_tokens), CHUNKS)
 
 
 def with_labels(chunks: DataFrame) -> DataFrame:

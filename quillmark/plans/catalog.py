@@ -393,11 +393,12 @@ def _vectors(spark, d):
 
 
 def _embedded_chunks(spark, d):
-    return view(spark, d, "v_chunks").join(_vectors(spark, d), F.col("row_id") == F.col("vec_id")).withColumn("cite_label", F.col("chunk_id"))
+    """All chunks; the vector of the same number, where there is one."""
+    return view(spark, d, "v_chunks").join(_vectors(spark, d), F.col("row_id") == F.col("vec_id"), "left").withColumn("cite_label", F.col("chunk_id"))
 
 
 def _embedded_questions(spark, d):
-    return view(spark, d, "v_questions_text").join(_vectors(spark, d), F.col("question_id") == F.col("vec_id"))
+    return view(spark, d, "v_questions_text").join(_vectors(spark, d), F.col("question_id") == F.col("vec_id"), "left")
 
 
 @query

@@ -86,8 +86,8 @@ def _dense(name: str, k: int) -> str:
         FROM v_questions_text AS q JOIN embeddings AS e ON q.question_id = e.vec_id CROSS JOIN ec)) WHERE rank <= {k})"""
 
 
-_FUSED = f"""{_EC}, vq AS (SELECT q.* FROM v_questions_text AS q JOIN embeddings AS e ON q.question_id = e.vec_id),
-{_bm25('ec', 'lx', 50).replace('v_questions_text AS q CROSS JOIN', 'vq AS q CROSS JOIN')},
+_FUSED = f"""{_EC},
+{_bm25('v_chunks', 'lx', 50)},
 {_dense('dn', 50)},
 fu AS (SELECT question_id, chunk_id, sum(1.0E0 / (60 + rank)) AS score, max(CASE WHEN side = 0 THEN rank END) AS lr, max(CASE WHEN side = 1 THEN rank END) AS dr
        FROM (SELECT question_id, chunk_id, rank, 0 AS side FROM lx UNION ALL SELECT question_id, chunk_id, rank, 1 FROM dn) GROUP BY question_id, chunk_id),

@@ -50,8 +50,9 @@ def definitions(duck: bool) -> dict[str, str]:
         "CASE user_id % 7 WHEN 0 THEN 'false_premise' WHEN 1 THEN 'unanswerable' WHEN 2 THEN 'near_miss' "
         "WHEN 3 THEN 'injection' WHEN 4 THEN 'multi_hop' WHEN 5 THEN 'versioned' ELSE 'factual' END")
     return {
-        "v_pages": "SELECT source AS doc_id, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INTEGER) AS page_num, text FROM documents",
-        "v_chunks": "SELECT concat(source, '-', lpad(CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS VARCHAR(9)), 4, '0')) AS chunk_id, "
+        # A source's rows make documents of up to 100 pages, so documents grow in number, not in length.
+        "v_pages": "SELECT concat(source, '/', CAST(CAST(floor(doc_id / 100) AS BIGINT) AS VARCHAR(9))) AS doc_id, CAST(doc_id % 100 + 1 AS INTEGER) AS page_num, text FROM documents",
+        "v_chunks": "SELECT concat(source, '-', CAST(CAST(floor(doc_id / 10000) AS BIGINT) AS VARCHAR(9)), '-', lpad(CAST(doc_id % 10000 AS VARCHAR(9)), 4, '0')) AS chunk_id, "
                     "source AS doc_id, doc_id AS row_id, text FROM documents",
         "v_questions_text": "SELECT item_id AS question_id, text AS question FROM benchmark",
         "v_config": "SELECT DISTINCT concat(upper(substr(event_type, 1, 1)), '-', event_type) AS config_id, concat('fp-', event_type) AS config_fingerprint, "

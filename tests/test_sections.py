@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from quillmark.operators import cover, sections
 
 
@@ -62,30 +64,50 @@ def test_no_pages(spark):
 
 
 TABLE = [
-    ["Policy Title:", None, "Annual Leave"], ["Document Reference:", "HR-24", "HR-24"], ["Version Number:", "3"],
-    ["Supersedes:", "XY - Leave Policy\nand more", "Expired", "March 2018"], ["Author", "Someone Else Here"],
+    ["Policy Title:", None, "Spare Keys"], ["Document Reference:", "KEY-24", "KEY-24", "KEY"], ["Version Number:", "3", " "],
+    ["Supersedes:", "XY - Key Policy\nand more", "Expired", "March 2018"], ["Author", "Someone Else Here"],
 ]
 
 
-def test_cover_sheet():
-    sheet = cover.read_cover(TABLE)
-    assert (sheet["doc_ref"], sheet["title"], sheet["version"], sheet["author"]) == ("HR-24", "Annual Leave", "3", "Someone Else Here")
-    assert sheet["supersedes"] == [{"name": "XY - Leave Policy and more", "status": "Expired", "date": "March 2018"}]
-    assert sheet["fields_not_found"] == ["approval_date", "review_date", "expiry_date", "issued_by"]
+def sheet(spark, table, page_text=None):
+    df = spark.createDataFrame([("f", table, page_text)], "doc_id string, table array<array<string>>, page_text string")
+    return cover.cover_sheets(df).first().asDict(recursive=True)
+
+
+def test_cover_sheet(spark):
+    got = sheet(spark, TABLE)
+    assert (got["doc_ref"], got["title"], got["version"], got["author"]) == ("KEY-24", "Spare Keys", "3", "Someone Else Here")
+    assert got["supersedes"] == [{"name": "XY - Key Policy and more", "status": "Expired", "date": "March 2018"}]
+    assert got["fields_not_found"] == ["approval_date", "review_date", "expiry_date", "issued_by"]
 
 
-def test_cover_reference_outside_the_table():
-    assert cover.read_cover([], "x Document Reference Number: AB-1\ny")["doc_ref"] == "AB-1"
-    blank = cover.read_cover([], "Document Reference Number:\nVersion Number")
+def test_cells_that_repeat_the_last_kept_one_go(spark):
+    # the second cell repeats the first; the third starts like the second, but not like the first
+    got = sheet(spark, [["Issued by:", "a long name", "A", "a short name", "A SHORT NAME and more"]])
+    assert got["issued_by"] == "a long name a short name"
+    assert sheet(spark, [["loose cell", "Version Number::", "2", "Author", "Withdrawn", "x"]])["author"] == "Withdrawn x"
+
+
+def test_cover_reference_outside_the_table(spark):
+    assert sheet(spark, [], "x Document Reference Number: AB-1\ny")["doc_ref"] == "AB-1"
+    blank = sheet(spark, None, "Document Reference Number:\nVersion Number")
     assert blank["doc_ref"] is None and "doc_ref" in blank["fields_not_found"]
+    assert sheet(spark, [["Document Reference", "x:", "Document Reference:", "T-1"]], "Document Reference Number: AB-1")["doc_ref"] == "T-1"
+
 
+def test_superseded_entries(spark):
+    def entries(*cells):
+        df = spark.createDataFrame([(list(cells),)], "c array<string>")
+        return df.select(cover.superseded_entries(F.col("c")).alias("e")).first().asDict(recursive=True)["e"]
 
-def test_superseded_entries():
-    assert [e["name"] for e in cover.superseded_entries(["AB - One Policy\nCD - Two Policy"])] == ["AB - One Policy", "CD - Two Policy"]
-    assert [e["name"] for e in cover.superseded_entries(["AB - One\nCD - ALL CAPS"])] == ["AB - One CD - ALL CAPS"]
-    assert cover.superseded_entries(["Expired"]) == []
+    assert [e["name"] for e in entries("AB - One Policy\nCD - Two Policy")] == ["AB - One Policy", "CD - Two Policy"]
+    assert [e["name"] for e in entries("AB - One\nCD - ALL CAPS")] == ["AB - One CD - ALL CAPS"]
+    assert entries("Expired") == [] and entries() == []
+    assert entries("2001\nlower first", "Retired\n1st May 2002\nArchived", "EF – Next\n2003") == [
+        {"name": "lower first", "status": "Archived", "date": "1st May 2002"}, {"name": "EF – Next", "status": None, "date": "2003"}]
 
 
-def test_cover_frame(spark):
-    df = spark.createDataFrame([("f", [["Author", "Some Body"]], None)], "doc_id string, table array<array<string>>, page_text string")
-    assert cover.cover_sheets(df).first()["author"] == "Some Body"
+def test_looks_controlled(spark):
+    df = spark.createDataFrame([("f", [["Document Reference:", "K-1"], ["Approval Date", "x"], ["Approval Date:", "May 2020"]], None), ("g", [], None)],
+                               "doc_id string, table array<array<string>>, page_text string")
+    assert [r["doc_id"] for r in cover.looks_controlled(cover.cover_sheets(df)).collect()] == ["f"]
