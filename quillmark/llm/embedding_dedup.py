@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.llm.components import components
-from quillmark.llm.shared import carried, materialize, restored
+from quillmark.llm.shared import carried, lean, materialize, restored
 
 THRESHOLD = 0.93
 #: Parts that a cell of the first level may have.
@@ -195,7 +195,7 @@ def _subdivide(placed: DataFrame, cell_rows: int, sample_rows: int, margin: floa
         "cell", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"), F.lit(0).alias("is_row"),
         F.lit(None).cast("string").alias("node"), F.lit(None).cast("long").alias("home"), "k", F.col("centroids").alias("vector"))
     dealt = rows.unionByName(centroids).repartition("cell", "task").sortWithinPartitions("cell", "task", "is_row")
-    cut = dealt.mapInArrow(_subdivided(margin, max_cells), "node string, home long, leaves array<long>")
+    cut = dealt.mapInArrow(lean(_subdivided(margin, max_cells)), "node string, home long, leaves array<long>")
     small = placed.select("node", "home", F.explode("cells").alias("cell")).join(large, F.col("cell") == F.col("large"), "left_anti").select(
         "node", F.when(F.col("home") == F.col("cell"), _leaf(F.col("home"))).alias("home"), F.array(_leaf(F.col("cell"))).alias("leaves"))
     leaves = cut.unionByName(small).groupBy(F.col("node").alias("of")).agg(

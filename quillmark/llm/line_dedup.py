@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.shared import carried, materialize, restored, text_bytes
+from quillmark.llm.shared import carried, lean, materialize, restored, text_bytes
 
 _FLUSH = 200_000
 #: Keys with more than this share of all occurrences are told to every task; there are at most so many.
@@ -139,7 +139,7 @@ def _key_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def count_keys(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``h1, h2, n_docs`` of every non-empty line key in ``docs``."""
-    lines = docs.select(text_bytes(text_col).alias("text")).mapInArrow(_key_counts, "h1 long, h2 long, n_docs long")
+    lines = docs.select(text_bytes(text_col).alias("text")).mapInArrow(lean(_key_counts), "h1 long, h2 long, n_docs long")
     return lines.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"))
 
 
@@ -324,11 +324,11 @@ class LineIndex:
         by = ["doc_id", text_col] if "doc_id" in docs.columns else [text_col]
         keyed = carried(docs, k1=F.xxhash64(F.lit(1), *by), k2=F.xxhash64(F.lit(2), *by), body=text_bytes(text_col))
         shard = F.col("h1").bitwiseAND(F.lit(self.shards - 1)).alias("shard")
-        probes = keyed.select("k1", "k2", "body").mapInArrow(_document_keys(known), "k1 long, k2 long, h1 long, h2 long").select(
+        probes = keyed.select("k1", "k2", "body").mapInArrow(lean(_document_keys(known)), "k1 long, k2 long, h1 long, h2 long").select(
             shard, F.lit(1).alias("is_key"), "k1", "k2", "h1", "h2")
         dealt = self.filters.withColumn("is_key", F.lit(0)).unionByName(probes, allowMissingColumns=True)
         passed = dealt.repartition(self.shards, "shard").sortWithinPartitions("shard", "is_key").mapInArrow(
-            _probe, "k1 long, k2 long, h1 long, h2 long")
+            lean(_probe), "k1 long, k2 long, h1 long, h2 long")
         blocked = counts.where(F.col("n_docs") >= self.min_docs).select("h1", "h2")
         hits = passed.join(blocked, ["h1", "h2"], "left_semi").groupBy(F.col("k1").alias("hit_1"), F.col("k2").alias("hit_2")).agg(
             F.flatten(F.collect_list(F.array("h1", "h2"))).alias("hits"))

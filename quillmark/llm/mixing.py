@@ -18,13 +18,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmark.llm.shared import materialize, shuffle_partitions
+from quillmark.llm.shared import carried, materialize, parts_for, restored
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
 #: Slope b of g(t) = 1 - b/2 + b*t for each weight: heavy sources fade, light ones rise.
 SLOPES = {5: -0.8, 2: 0.0, 1: 0.8}
 MAX_EPOCHS = 2
+#: Documents that four buckets hold on average; running sums stay inside a bucket of a source.
+_BUCKET_ROWS = 1_000_000
 
 
 def word_count(column: str):
@@ -98,7 +100,7 @@ def mix(
         *[F.col(c).alias(f"__carry_{i}") for i, c in enumerate(carry)],
     )
     sized = materialize(keyed, "mixing")
-    buckets = max(1, 4 * shuffle_partitions(spark))
+    buckets = 4 * parts_for(sized.count(), _BUCKET_ROWS, spark)
     bucket = F.floor((F.shiftrightunsigned("__key", 11).cast("double")) / float(1 << 53) * buckets).cast("int")
     # unsigned order of the key, which is the order of the buckets
     sized = sized.withColumn("__bucket", bucket).withColumn("__order", F.col("__key").bitwiseXOR(F.lit(-(1 << 63))))
@@ -147,7 +149,14 @@ def training_order(mixed: DataFrame) -> DataFrame:
     return rows.select("*", "__o.copy", "__o.words", "__o.time", "__o.position").drop("__o").orderBy("position", "doc_id", "copy")
 
 
-def whole_documents(mixed: DataFrame) -> DataFrame:
-    """``training_order`` of whole documents: an occurrence cut by its source's target
-    stays if half of the document or more is within it."""
-    return training_order(mixed.withColumn("occurrences", F.filter("occurrences", lambda o: 2 * o["words"] >= F.col("size"))))
+def whole_documents(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` as often as the mix reads them, in training order, with all their columns.
+
+    An occurrence cut by its source's target stays, whole, if half of the document or
+    more is within it.  Null and empty texts, which have no words, are read not at all.
+    Columns may have any names.  An empty table gives an empty table.
+    """
+    rows = carried(docs, doc_id=F.col("doc_id"), text=F.col("text"), source=F.col("source"))
+    mixed = mix(rows, carry=("row",), **options)
+    halves = F.filter("occurrences", lambda o: 2 * o["words"] >= F.col("size"))
+    return restored(training_order(mixed.withColumn("occurrences", halves)))

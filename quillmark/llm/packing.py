@@ -23,14 +23,16 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmark.llm.shared import materialize, parts_for
+from quillmark.llm.shared import lean, materialize, parts_for
 
 CAPACITY = 1024
 END_ID = 2
 _CACHE = 400_000
+#: Buckets from here on hold pieces without a position.
+_LAST = 1 << 48
 #: Rows that four buckets hold on average; pieces of a length are ranked bucket by bucket.
 _BUCKET_ROWS = 1_000_000
 
@@ -145,9 +147,10 @@ def pieces_of(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
 
 
 def tokenized_pieces(
-    docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, keep_ids: bool = True, text_col: str = "text"
+    docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, keep_ids: bool = True, text_col: str = "text",
+    position: Column | None = None,
 ) -> DataFrame:
-    """``doc_id, piece, start, length, ids_crc32`` and, with ``keep_ids``, ``ids``."""
+    """``doc_id, position, piece, start, length, ids_crc32`` and, with ``keep_ids``, ``ids``."""
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = word_tokenizer(tokenizer_path)
@@ -155,23 +158,24 @@ def tokenized_pieces(
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                ids_of = tokenizer.encode([t or "" for t in part.column(1).to_pylist()])
+                ids_of = tokenizer.encode([t or "" for t in part.column(2).to_pylist()])
                 rows = []
-                for doc_id, ids in zip(part.column(0).to_pylist(), ids_of, strict=True):
+                for doc_id, place, ids in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), ids_of, strict=True):
                     ids += end
                     for k, (start, length) in enumerate(pieces_of(len(ids) // 4, capacity)):
                         own = ids[4 * start : 4 * (start + length)]
-                        rows.append((doc_id, k, start, length, zlib.crc32(own), own))
+                        rows.append((doc_id, place, k, start, length, zlib.crc32(own), own))
                 columns = list(zip(*rows, strict=True))
-                arrays = [pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()], strict=False)]
-                names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+                arrays = [pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()], strict=False)]
+                names = ["doc_id", "position", "piece", "start", "length", "ids_crc32"]
                 if keep_ids:
-                    arrays.append(pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in columns[5]], pa.list_(pa.int32())))
+                    arrays.append(pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in columns[6]], pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if keep_ids else "")
-    return docs.select(F.col("doc_id").cast("long"), F.col(text_col)).mapInArrow(tokenise, schema)
+    schema = "doc_id long, position long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if keep_ids else "")
+    place = (F.lit(None) if position is None else position).cast("long")
+    return docs.select(F.col("doc_id").cast("long"), place.alias("position"), F.col(text_col)).mapInArrow(lean(tokenise), schema)
 
 
 def best_two_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
@@ -224,31 +228,34 @@ class Layout:
     _SPAN = 1 << 48
 
     def __init__(self, plan: list[tuple[list[int], int]]) -> None:
-        runs, first = [], 0
+        runs, slots, first = [], [], 0
         taken: dict[int, int] = {}
         for pattern, times in plan:
-            offset = 0
-            for length in pattern:
-                rank = taken.get(length, 0)
-                runs.append((length * self._SPAN + rank, first, offset))
-                taken[length] = rank + times
-                offset += length
+            at = np.cumsum([0, *pattern[:-1]]).tolist()
+            for length in dict.fromkeys(pattern):
+                own = [o for o, n in zip(at, pattern, strict=True) if n == length]
+                runs.append((length * self._SPAN + taken.get(length, 0), first, len(slots), len(own)))
+                slots += own
+                taken[length] = taken.get(length, 0) + times * len(own)
             first += times
         self.sequences = first
-        runs.sort()
-        self.starts, self.firsts, self.offsets = (np.array(x, np.int64) for x in zip(*runs, strict=True)) if runs else (np.empty(0, np.int64),) * 3
+        self.slots = np.array(slots, np.int64)
+        self.starts, self.firsts, self.at, self.per = np.array(sorted(runs), np.int64).reshape(-1, 4).T
 
     def place(self, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sequence and offset; among pieces of one length, a higher rank never comes in an earlier sequence."""
         at = length * self._SPAN + rank
         run = np.searchsorted(self.starts, at, "right") - 1
-        return self.firsts[run] + at - self.starts[run], self.offsets[run]
+        turn, slot = np.divmod(at - self.starts[run], self.per[run])
+        return self.firsts[run] + turn, self.slots[self.at[run] + slot]
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to ``doc_id, piece, ..., length`` rows.
 
-    Pieces of one length are ranked by (hash bucket, doc_id, piece); rows equal in
-    all are interchangeable.  The plan and its input have at most ``capacity``
+    Pieces of one length are ranked by their ``position``, those without one last and
+    by a hash; so pieces that come early in training share sequences, and a sequence's
+    place in training is that of its pieces.  Rows equal in all are interchangeable.  The plan and its input have at most ``capacity``
     lengths, so the driver and the broadcast hold a fixed size.  An empty table
     gives an empty table.
     """
@@ -257,12 +264,14 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     sizes = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     layout = spark.sparkContext.broadcast(Layout(best_two_fit(sizes, capacity)))
     buckets = 4 * parts_for(sum(sizes.values()), _BUCKET_ROWS, spark)
-    bucketed = pieces.withColumn("__bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
+    # Buckets follow the order of the positions; a bucket covers so many positions at most.
+    bucket = F.coalesce(F.shiftright("position", 16), _LAST + F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
+    bucketed = pieces.withColumn("__bucket", bucket)
     earlier = Window.partitionBy("length").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     before = bucketed.groupBy("length", "__bucket").agg(F.count(F.lit(1)).alias("__n")).select(
         F.col("length").alias("__length"), F.col("__bucket").alias("__b"),
         F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
-    inside = Window.partitionBy("length", "__bucket").orderBy("doc_id", "piece")
+    inside = Window.partitionBy("length", "__bucket").orderBy("position", "doc_id", "piece")
     ranked = bucketed.withColumn("__inside", F.row_number().over(inside) - 1).join(
         before, (F.col("length") == F.col("__length")) & (F.col("__bucket") == F.col("__b")))
 
@@ -276,14 +285,26 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         *columns, "__at.sequence_id", "__at.offset")
 
 
+def file_order() -> Column:
+    """Place of a row in a table of Parquet files, in the order in which Spark wrote it.
+
+    Only for a DataFrame that reads the files: a sorted table keeps its order this way,
+    although its readers take the files in any.
+    """
+    part = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1)
+    return F.shiftleft(F.coalesce(part.try_cast("long"), F.lit(0)), 36) + F.col("_metadata.row_index")
+
+
 def pack_documents(
-    docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, keep_ids: bool = True, text_col: str = "text"
+    docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, keep_ids: bool = True, text_col: str = "text",
+    position: Column | None = None,
 ) -> DataFrame:
     """Tokenise, end each document with ``END_ID``, cut the longer ones and pack all pieces.
 
     A null text is the empty one: its document is the end id alone.  Documents of
     up to ``capacity`` ids stay whole; of longer ones only the first piece may be
-    shorter than ``capacity``.  Repeated rows are packed once each.  Columns other
-    than doc_id and the text are ignored.
+    shorter than ``capacity``.  Repeated rows are packed once each.  An empty table
+    gives an empty table.  Columns other than doc_id and the text, whatever their
+    names, are ignored; ``position`` may compute a training position from them.
     """
-    return pack(tokenized_pieces(docs, tokenizer_path, capacity, keep_ids, text_col), capacity)
+    return pack(tokenized_pieces(docs, tokenizer_path, capacity, keep_ids, text_col, position), capacity)

@@ -61,7 +61,7 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path(), keep_ids=False)
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path(), keep_ids=False).drop("position")
 
 
 def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillmark.llm.shared import lean
+
 #: The base patterns, in order of kind.
 ASSIGN = re.compile(
     r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
@@ -281,4 +283,4 @@ def scan_secrets(docs: DataFrame, model: MarkovPair | None = None, threshold: fl
                     [pa.array(c, t) for c, t in zip(zip(*out), [pa.int64()] * 5 + [pa.string()] * 2, strict=True)],
                     names=["doc_id", "n_assign", "n_access", "n_hex", "n_random", "base_sha256", "spans"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(scan, _SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(scan), _SCHEMA)

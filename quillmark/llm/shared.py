@@ -5,7 +5,9 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,6 +88,21 @@ def restored(df: DataFrame, **replaced) -> DataFrame:
     return df.select(*[replaced[c].alias(c) if c in replaced else F.col("row").getField(c).alias(c) for c in names])
 
 
+def lean(batches_to_batches):
+    """A function for ``mapInArrow`` that gives Arrow's free memory back when its task ends.
+
+    Python workers outlive their tasks; what they hold on to would be missing for the next stage.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from batches_to_batches(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return run
+
+
 def text_bytes(column: str):
     """The column's UTF-8 bytes; null counts as the empty text."""
     return F.coalesce(F.col(column).cast("binary"), F.lit(b""))

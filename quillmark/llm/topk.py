@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmark.llm.shared import materialize
+from quillmark.llm.shared import lean, materialize
 
 LEVELS = (1, 4, 16)
 #: Below this, sums of products are exact in double precision.
@@ -217,7 +217,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = 16_38
                          F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("p"))
     grid = rows.unionByName(lines).select((F.col("p") * blocks + F.col("b")).alias("cell"), "is_row", "vec_id", "code")
     dealt = grid.repartition(blocks * parts, "cell").sortWithinPartitions("cell", "is_row")
-    found = dealt.mapInArrow(_search(k), _SCHEMA)
+    found = dealt.mapInArrow(lean(_search(k)), _SCHEMA)
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(
         "query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

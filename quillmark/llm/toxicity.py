@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmark.llm.shared import materialize
+from quillmark.llm.shared import carried, lean, materialize, restored
 
 ORDER = 5
 DISCOUNT = 0.75
@@ -101,12 +101,12 @@ _WORDS_SCHEMA = "word string, c00 long, c01 long, c10 long, c11 long"
 
 def word_counts(labelled: DataFrame) -> DataFrame:
     """``word`` and its count by fold and class, over all of ``labelled`` (text, toxic, fold)."""
-    words = labelled.select("text", "toxic", "fold").mapInArrow(_count_words, _WORDS_SCHEMA)
+    words = labelled.select("text", "toxic", "fold").mapInArrow(lean(_count_words), _WORDS_SCHEMA)
     return words.groupBy("word").agg(*[F.expr(x) for _, x in _SUMS])
 
 
 def gram_counts(words: DataFrame) -> DataFrame:
-    grams = words.mapInArrow(_count_grams, _WORDS_SCHEMA.replace("word", "gram", 1))
+    grams = words.mapInArrow(lean(_count_grams), _WORDS_SCHEMA.replace("word", "gram", 1))
     return grams.groupBy("gram").agg(*[F.expr(x) for _, x in _SUMS])
 
 
@@ -272,7 +272,7 @@ def _grams_of_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def word_ratios(words: DataFrame, table: DataFrame) -> DataFrame:
     """``word`` and per fit its log-likelihood ratio ``x_``, by joins with the whole ratio table."""
-    pairs = materialize(words.mapInArrow(_grams_of_words, "word string, gram string"), "kn-word-grams")
+    pairs = materialize(words.mapInArrow(lean(_grams_of_words), "word string, gram string"), "kn-word-grams")
     history = F.expr("substring(gram, 1, length(gram) - 1)")
     seen = pairs.select("gram").distinct().join(table.drop("history", *[f"h_{f}" for f in _FITS]), "gram", "left")
     values = seen.withColumn("history", history).join(_histories(table), "history", "left").select(
@@ -285,7 +285,7 @@ def joined_features(texts: DataFrame, table: DataFrame, value) -> DataFrame:
 
     The ratio of a word is ``value``, of its ratios ``x_`` and of ``__fold``.
     """
-    found = texts.select("__row", "__fold", "text").mapInArrow(_occurrences, "__row long, __fold int, word string, at array<int>")
+    found = texts.select("__row", "__fold", "text").mapInArrow(lean(_occurrences), "__row long, __fold int, word string, at array<int>")
     found = materialize(found, "kn-occurrences")
     words = materialize(word_ratios(found.select("word").distinct(), table), "kn-word-ratios")
     placed = found.join(words, "word").withColumn("__value", value).groupBy("__row").agg(
@@ -384,24 +384,26 @@ def train(
     return ToxicityModel(ratios, scale, weights, float(n["t"]) / n["n"], table if ratios is None else None)
 
 
-def add_score(docs: DataFrame, model: ToxicityModel, column: str = "__toxicity") -> DataFrame:
+def add_score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
+    """``row`` (all columns of ``docs`` as one struct) and ``score``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows = carried(docs, text=F.col("text"))
     if model.table is not None:
-        rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "kn-docs")
+        rows = materialize(rows.withColumn("__row", F.monotonically_increasing_id()), "kn-docs")
         x = joined_features(rows.select("__row", F.lit(0).alias("__fold"), "text"), model.table, F.col("x_all"))
 
         @F.pandas_udf("double")
         def score_of(xs: pd.Series) -> pd.Series:
             return pd.Series([shared.value.score_of([0.0] * FEATURES if f is None else f) for f in xs], dtype="float64")
 
-        return rows.join(x, "__row", "left").withColumn(column, score_of("__x")).drop("__row", "__x")
+        return rows.join(x, "__row", "left").select("row", score_of("__x").alias("score"))
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
         model = shared.value
         return pd.Series([model.score(t) for t in texts], dtype="float64")
 
-    return docs.withColumn(column, score(F.col("text")))
+    return rows.select("row", score("text").alias("score"))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
@@ -409,11 +411,15 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -
 
     Whole texts are scored, however long; null and empty ones get the score of a
     text without evidence.  Repeated rows get the same score each.  Extra columns
-    are ignored.  A null doc_id is not held out and has no label.
+    are ignored.  A null doc_id is not held out and has no label.  An empty table
+    gives an empty table; without labels every score is 0.
     """
     model = train(docs, labels)
-    scored = add_score(docs.select("doc_id", "text"), model)
-    return scored.select(
-        F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("__toxicity").alias("score"),
-        (F.col("__toxicity") >= threshold).cast("int").alias("predicted"),
-    )
+    scored = add_score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model)
+    return scored.select("row.doc_id", "score").select(
+        "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def below(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs`` that score under ``threshold``, with all their columns."""
+    return restored(add_score(docs, train(docs, labels)).where(F.col("score") < threshold))

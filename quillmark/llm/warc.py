@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm.shared import materialize
+from quillmark.llm.shared import lean, materialize
 
 #: Originals of repeated digests that are sent to all tasks: 100 bytes each at most, 50 MB in all.
 MAX_SENT = 500_000
@@ -154,7 +154,7 @@ def write_archives(
     options = {"lineSep": RECORD_END, "maxRecordsPerFile": records_per_file}
     if compressed:
         # The text writer passes the bytes of a value and of the separator on as they are.
-        rows = rows.select(F.col("value").cast("binary")).mapInArrow(_members, "member binary").select(F.col("member").cast("string").alias("value"))
+        rows = rows.select(F.col("value").cast("binary")).mapInArrow(lean(_members), "member binary").select(F.col("member").cast("string").alias("value"))
         options |= {"lineSep": _NOTHING.decode("latin-1"), "encoding": "ISO-8859-1"}
     rows.write.options(**options).text(path)
 
@@ -267,7 +267,7 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
     payload and no length of its own.
     """
     files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(_read_batches(with_payload), RECORD_SCHEMA)
+    return files.mapInArrow(lean(_read_batches(with_payload)), RECORD_SCHEMA)
 
 
 def resolve_revisits(records: DataFrame, sent: int = 0) -> DataFrame:

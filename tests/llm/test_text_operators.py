@@ -449,5 +449,5 @@ def test_joined_ratios_like_sent_ones(spark):
     marks = spark.createDataFrame(labels, "doc_id long, toxic int")
     sent, joined = toxicity.train(df, marks), toxicity.train(df, marks, max_grams=0)
     assert joined.ratios is None and np.allclose(sent.weights, joined.weights)
-    a, b = (by_rows(toxicity.add_score(df, m), "doc_id", "__toxicity") for m in (sent, joined))
+    a, b = (by_rows(toxicity.add_score(df, m).select("row.doc_id", "score"), "doc_id", "score") for m in (sent, joined))
     assert [x[0] for x in a] == [x[0] for x in b] and np.allclose([x[1] for x in a], [x[1] for x in b], rtol=0, atol=1e-6)
