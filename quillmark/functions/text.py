@@ -108,6 +108,11 @@ def claim_cache_key(prefix: Column, claim: Column, chunk_id: Column) -> Column:
     return F.concat(prefix, F.lit("-c"), F.substring(digest, 1, 12))
 
 
+def numbered_claim_key(prefix: Column, place: Column, claim: Column, chunk_id: Column) -> Column:
+    """``claim_cache_key``, or the key by place for a claim whose ``place`` in an earlier parse is known."""
+    return F.coalesce(F.concat(prefix, F.lit("-claim"), place.cast("string")), claim_cache_key(prefix, claim, chunk_id))
+
+
 def corpus_tag(includes_injected: Column) -> Column:
     return F.when(F.coalesce(includes_injected, F.lit(True)), "inj").otherwise("clean")
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -73,6 +73,26 @@ class Models:
     judge: Callable[[str, str], str] = lexical_grade
 
 
+#: How a reply that could not be had begins; the rest is the reason.
+FAULT = "\x00"
+
+
+def guarded(call: Callable[..., str]) -> Callable[..., str]:
+    """``call`` with failures as replies, so that one question's failure stays its own."""
+
+    def reply(*args) -> str:
+        try:
+            return call(*args)
+        except Exception as error:  # a model may fail in any way; the row says how
+            return FAULT + (str(error) or type(error).__name__)[:500]
+
+    return reply
+
+
+def fault_in(reply: Column) -> Column:
+    return F.when(F.startswith(reply, F.lit(FAULT)), F.substring(reply, 2, 500))
+
+
 def contexts(queries: DataFrame, hits: DataFrame) -> DataFrame:
     """One row per question with its hits in rank order."""
     found = hits.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "doc_id", "score", "text", "cite_label"))).alias("hits"))
@@ -108,7 +128,7 @@ def generate(rows: DataFrame, config, models: Models, samples: int = 1) -> DataF
 
 
 def verify_claims(rows: DataFrame, models: Models) -> DataFrame:
-    """``question_id, verdicts``: one verdict per (claim, source).
+    """``question_id, verdicts, verify_fault``: one verdict per (claim, source), and why one could not be had.
 
     A source outside the context is UNKNOWN without a call.
     """
@@ -121,11 +141,12 @@ def verify_claims(rows: DataFrame, models: Models) -> DataFrame:
     def reply(claim: pd.Series, excerpt: pd.Series) -> pd.Series:
         return pd.Series([call(c, e) for c, e in zip(claim, excerpt, strict=True)])
 
-    known = claims.where("excerpt is not null").withColumn("verdict", parse_verdict(reply("claim_text", "excerpt")))
-    unknown = claims.where("excerpt is null").withColumn("verdict", F.lit("UNKNOWN"))
+    known = claims.where("excerpt is not null").withColumn("reply", reply("claim_text", "excerpt")).withColumn("verdict", parse_verdict(F.col("reply")))
+    unknown = claims.where("excerpt is null").withColumn("reply", F.lit("")).withColumn("verdict", F.lit("UNKNOWN"))
     ordered = F.array_sort(F.collect_list(F.struct("pos", "claim_text", "chunk_id", "verdict")))
     return known.unionByName(unknown).groupBy("question_id").agg(F.transform(
-        ordered, lambda v: F.struct(v["claim_text"].alias("claim_text"), v["chunk_id"].alias("chunk_id"), v["verdict"].alias("verdict"))).alias("verdicts"))
+        ordered, lambda v: F.struct(v["claim_text"].alias("claim_text"), v["chunk_id"].alias("chunk_id"), v["verdict"].alias("verdict"))).alias("verdicts"),
+        F.min(fault_in(F.col("reply"))).alias("verify_fault"))
 
 
 def groundedness(verdicts: Column) -> Column:
@@ -157,22 +178,27 @@ _CITATIONS = "array<struct<chunk_id:string,cite_label:string>>"
 
 def answer_questions(
     queries: DataFrame, chunks: DataFrame, config, models: Models | None = None,
-    trusted: DataFrame | None = None, superseded: DataFrame | None = None,
+    trusted: DataFrame | None = None, superseded: DataFrame | None = None, keep_errors: bool = False,
 ) -> DataFrame:
     """Answers of all questions under one configuration, as rows of the log.
 
+    With ``keep_errors`` a failing call makes its question's row an error row (column
+    ``error``, no answer); otherwise it fails the job.
+
     Without hits a question is refused and no model is called.  With the
     answerability gate a question below the threshold is refused before anything is
     generated; the composite gate samples several drafts, verifies the first, and
     may then replace it by the refusal.  Citations are those of the draft.
     """
     models = models or Models()
+    if keep_errors:
+        models = replace(models, generate=guarded(models.generate), verify=guarded(models.verify), answerable=guarded(models.answerable))
     by_gate = config.abstain and config.confidence_source == "answerability"
     by_composite = config.abstain and not by_gate
     if by_composite and (config.verifier == "off" or not config.require_citations):
         raise ValueError("the composite gate needs verified citations")
     hits = retrieve_context(chunks, queries, config, trusted, superseded)
-    rows = contexts(queries, hits).withColumn("gate", F.lit(None).cast("string"))
+    rows = contexts(queries, hits).withColumns({"gate": F.lit(None).cast("string"), "gate_fault": F.lit(None).cast("string")})
     none = F.size("hits") == 0
     refused, rest = rows.where(none), rows.where(~none)
     if by_gate:
@@ -183,19 +209,20 @@ def answer_questions(
             return pd.Series([call(q, _pairs(h)) for q, h in zip(question, hits, strict=True)])
 
         # Written out once: both branches read the verdicts, no question is judged twice.
-        rest = rest.withColumn("gate", parse_answerability(reply("question", "hits")))
-        rest = cut(rest)
+        rest = cut(rest.withColumn("gate", reply("question", "hits")))
+        rest = rest.withColumn("gate_fault", fault_in(F.col("gate"))).withColumn("gate", parse_answerability(F.col("gate")))
         low = stats.should_abstain(stats.answerability(F.col("gate")), config.abstain_threshold)
         refused, rest = refused.unionByName(rest.where(low)), rest.where(~low)
     rest = generate(rest, config, models, config.agreement_samples if by_composite else 1)
-    rest = rest.withColumn("text", F.get("drafts", F.lit(0)))
+    rest = rest.withColumn("draft_fault", F.get(F.array_compact(F.transform("drafts", fault_in)), F.lit(0)))
+    rest = rest.withColumn("text", F.when(F.col("draft_fault").isNull(), F.get("drafts", F.lit(0))).otherwise(""))
     cites = cited_hits(F.col("text"), F.col("hits")) if config.require_citations else F.array().cast(_CITATIONS)
     rest = rest.withColumn("citations", cites).withColumn("abstained", is_refusal(F.col("text")))
     if config.verifier != "off":
         rest = cut(rest)
         rest = rest.join(verify_claims(rest, models), "question_id", "left").withColumn("verdicts", F.coalesce("verdicts", F.array().cast(_VERDICTS)))
     else:
-        rest = rest.withColumn("verdicts", F.array().cast(_VERDICTS))
+        rest = rest.withColumns({"verdicts": F.array().cast(_VERDICTS), "verify_fault": F.lit(None).cast("string")})
     signals = [F.lit(None).cast("double").alias(c) for c in ("retrieval", "groundedness", "agreement", "composite")]
     if by_composite:
         r = stats.retrieval_confidence(F.transform("hits", lambda h: h["score"]))
@@ -208,13 +235,16 @@ def answer_questions(
         low = F.lit(False)
     text = drop_unsupported(F.col("text"), F.col("verdicts")) if config.verifier == "drop_unsupported" else F.col("text")
     rest = rest.withColumn("answer", F.when(low, REFUSAL).otherwise(text)).withColumn("abstained", low | F.col("abstained"))
+    rest = rest.withColumn("error", F.coalesce("gate_fault", "draft_fault", "verify_fault"))
     refused = refused.select("*", F.lit(REFUSAL).alias("answer"), F.lit(True).alias("abstained"), F.array().cast(_CITATIONS).alias("citations"),
-                             F.array().cast(_VERDICTS).alias("verdicts"), *signals)
-    names = ["question_id", "question", "answer", "abstained", "citations", "verdicts", "gate", "retrieval", "groundedness", "agreement", "composite", "hits"]
+                             F.array().cast(_VERDICTS).alias("verdicts"), F.col("gate_fault").alias("error"), *signals)
+    names = ["question_id", "question", "answer", "abstained", "citations", "verdicts", "gate", "retrieval", "groundedness", "agreement", "composite", "hits", "error"]
     both = rest.select(*names).unionByName(refused.select(*names))
     score = F.when(F.col("gate").isNotNull(), stats.answerability(F.col("gate")))
+    failed = F.col("error").isNotNull()
     return both.select(
-        "question_id", F.lit(config.id).alias("config_id"), "answer", "abstained", "citations", "verdicts",
+        "question_id", F.lit(config.id).alias("config_id"), F.when(~failed, F.col("answer")).alias("answer"), F.when(~failed, F.col("abstained")).alias("abstained"),
+        "citations", "verdicts", *(["error"] if keep_errors else []),
         F.transform("hits", lambda h: h["doc_id"]).alias("retrieved_doc_ids"), F.transform("hits", lambda h: h["chunk_id"]).alias("retrieved_chunk_ids"),
         "retrieval", "groundedness", "agreement", score.alias("answerability"), F.coalesce(score, "composite").alias("composite"))
 

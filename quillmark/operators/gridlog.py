@@ -7,6 +7,8 @@ so Spark chooses their strategy by size; nothing here is forced to broadcast.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -133,9 +135,45 @@ def stratified_quotas(questions: DataFrame, n: int) -> DataFrame:
     return sizes.withColumn("quota", F.greatest(F.lit(1), F.bround(F.lit(float(n)) * F.col("size") / total).cast("long")))
 
 
+def drawn(seed: int, key: str) -> list[Column]:
+    """Sort order of a seeded draw: reruns agree on any partitioning, and other engines can draw the same."""
+    return [F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary")), F.col(key)]
+
+
+def random_subset(questions: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """n answerable questions that name a document, or all if there are fewer."""
+    able = F.coalesce(F.col("expected_answerable"), F.lit(False)) & (F.size("expected_doc_ids") > 0)
+    return questions.where(able).orderBy(*drawn(seed, "id")).limit(n)
+
+
+def union_of_samples(*samples: DataFrame) -> DataFrame:
+    """Questions of any of the samples, each once."""
+    ids = reduce(DataFrame.unionByName, [s.select("id") for s in samples])
+    return ids.distinct()
+
+
+def select_run(rows: DataFrame, config_ids: list[str] | None = None, category: str | None = None, pairs: DataFrame | None = None) -> DataFrame:
+    """Rows of some configurations (ids in either case), of a category, and of listed (config, question) pairs.
+
+    Each is optional; a list that matches no row is an error of the caller's, seen as no rows.
+    """
+    if config_ids is not None:
+        rows = rows.where(F.upper("config_id").isin(*{c.strip().upper() for c in config_ids}))
+    if category is not None:
+        rows = rows.where(F.col("category") == category)
+    if pairs is not None:
+        rows = rows.join(pairs.select("config_id", "question_id").distinct(), ["config_id", "question_id"], "left_semi")
+    return rows
+
+
+def question_counts(rows: DataFrame) -> DataFrame:
+    """Rows and different questions per configuration."""
+    return rows.groupBy("config_id").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("question_id").alias("questions"))
+
+
 def stratified_sample(questions: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """Up to n questions by category quota, chosen by seeded hash; reruns agree."""
-    order = [F.xxhash64(F.lit(seed), "id"), F.col("id")]
+    order = drawn(seed, "id")
     pick = Window.partitionBy("category").orderBy(*order)
     quotas = stratified_quotas(questions, n).select(F.col("category").alias("__c"), "quota")
     chosen = questions.withColumn("__rn", F.row_number().over(pick)).join(quotas, F.col("category").eqNullSafe(F.col("__c"))).where("__rn <= quota")
@@ -160,7 +198,7 @@ def audit_sample(rows: DataFrame, taken: DataFrame, n: int, seed: int = 0) -> Da
     open_rows = rows.where(gradeable()).join(taken.select("config_id", "question_id"), ["config_id", "question_id"], "left_anti")
     whole = F.struct(*open_rows.columns)
     first = open_rows.groupBy("question_id").agg(F.min_by(whole, F.col("first_seq")).alias("r")).select("r.*")
-    return first.orderBy(F.xxhash64(F.lit(seed), "question_id"), "question_id").limit(n)
+    return first.orderBy(*drawn(seed, "question_id")).limit(n)
 
 
 def merge_right(left: DataFrame, right: DataFrame, keys: tuple[str, ...]) -> DataFrame:

@@ -133,6 +133,16 @@ def injection_summary(outcomes: DataFrame, *by: str) -> DataFrame:
         safe_rate(count_true(F.size("signatures") > 0), n).alias("obeyed_rate"))
 
 
+def outcome_styles(outcomes: DataFrame, styles: DataFrame) -> DataFrame:
+    """``outcomes`` with the ``style`` of their question's planted document; unknown where ``styles`` (question_id, style) has none."""
+    return outcomes.join(styles.select("question_id", "style"), "question_id", "left").withColumn("style", F.coalesce("style", F.lit("unknown")))
+
+
+def landed(outcomes: DataFrame) -> DataFrame:
+    """Answers that obeyed, in the order of a listing."""
+    return outcomes.where(F.size("signatures") > 0).orderBy("question_id", "config_id")
+
+
 def gate_outcomes(graded: DataFrame) -> DataFrame:
     """By answerability score, for rows that carry one."""
     rows = graded.where(g.succeeded() & F.col("answerability").isNotNull())

@@ -10,7 +10,7 @@ from collections.abc import Callable
 #: Fixed values.
 RETRY_STATUS = frozenset({429, 500, 502, 503, 504})
 TRIES, LONGEST_WAIT = 6, 120.0
-_WAITS = (re.compile(r"retry in (\d+(?:\.\d+)?)\s*s", re.IGNORECASE), re.compile(r"try again in (?:(\d+)m)?(\d+(?:\.\d+)?)s", re.IGNORECASE))
+_WAITS = (re.compile(r"'retryDelay':\s*'(\d+(?:\.\d+)?)s'"), re.compile(r"retry in (\d+(?:\.\d+)?)\s*s", re.IGNORECASE), re.compile(r"try again in (?:(\d+)m)?(\d+(?:\.\d+)?)s", re.IGNORECASE))
 
 
 class RemoteError(Exception):

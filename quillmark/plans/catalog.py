@@ -490,8 +490,12 @@ def ladder_answers(spark, d):
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    from quillmark.plans import catalog_extra
+
+    return _QUERIES | catalog_extra.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: with_views(sql) for name, sql in SQL.items()}
+    from quillmark.plans import catalog_extra
+
+    return {name: with_views(sql) for name, sql in (SQL | catalog_extra.SQL).items()}

@@ -6,7 +6,8 @@ import hashlib
 import json
 from dataclasses import asdict, dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Fixed values.
 PARSER_VERSION = 2
@@ -17,7 +18,11 @@ _LATER = {"confidence_source": "composite", "require_provenance": False, "exclud
 
 @dataclass(frozen=True)
 class RunConfig:
-    """One way of answering.  The first letter of ``label`` is not part of the identity."""
+    """One way of answering.  ``label`` is not part of the identity.
+
+    Fixed values: the names of the fields, and their defaults, enter the fingerprints of
+    rows already recorded.
+    """
 
     id: str
     label: str = ""
@@ -34,7 +39,6 @@ class RunConfig:
     temperature: float = 0.2
     agreement_samples: int = 3
     abstain_threshold: float = 0.5
-    # Names that enter fingerprints of rows already recorded.
     generator_model: str = "gemini-3.5-flash-lite"
     verifier_model: str = "openai/gpt-oss-120b"
     reranker_model: str = "cross-encoder/ms-marco-MiniLM-L-6-v2"
@@ -78,6 +82,14 @@ def fingerprint(config) -> str:
     return hashlib.sha256(json.dumps(kept, sort_keys=True).encode()).hexdigest()[:10]
 
 
+def rung_name(config_id: Column, configs: list[RunConfig] | None = None) -> Column:
+    """``id · label`` for a rung of the ladder, other ids as they are."""
+    out = config_id
+    for c in configs or ladder():
+        out = F.when(config_id == c.id, f"{c.id} · {c.label}").otherwise(out)
+    return out
+
+
 def configs_table(spark: SparkSession, configs: list[RunConfig]) -> DataFrame:
     """``config_id, config_fingerprint, cites``: a dimension of as many rows as there are rungs."""
     return spark.createDataFrame(

@@ -72,7 +72,7 @@ def definitions(duck: bool) -> dict[str, str]:
         "v_questions": f"""SELECT DISTINCT CAST(user_id AS VARCHAR(20)) AS id, {category} AS category, user_id % 7 NOT IN (0, 1, 2) AS expected_answerable,
             concat('question ', CAST(user_id AS VARCHAR(20))) AS question,
             {d.array(doc.format('user_id'), doc.format('(user_id + 5)'))} AS expected_doc_ids,
-            CASE WHEN user_id % 7 = 3 THEN {d.array("'INJ-D1'")} ELSE {d.empty()} END AS injection_doc_ids,
+            CASE WHEN user_id % 7 = 3 THEN {d.array("CASE user_id % 2 WHEN 0 THEN 'INJ-D1' ELSE 'INJ-H2' END")} ELSE {d.empty()} END AS injection_doc_ids,
             CASE WHEN user_id % 10 = 0 THEN '' ELSE 'summary' END AS expected_answer_summary,
             CASE WHEN user_id % 14 = 0 THEN '' ELSE 'notes' END AS notes FROM events WHERE user_id % 50 <> 49""",
         "v_grades": """SELECT event_id AS seq, config_id, question_id,

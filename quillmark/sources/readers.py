@@ -23,19 +23,27 @@ GRADES = "question_id string, config_id string, verdict string, answer string, j
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of JSON-lines files with ``seq``, their place: order is meaning in a log.
 
-    Files are read whole, since only then a line has a number; files of one path
-    are taken in the order of their names.  Blank lines are skipped.
+    Large files are split.  The place is the file's name, the offset of the split, and a
+    number that grows along a split, since a task reads a split from its start to its end;
+    it orders the lines but does not count them.  Blank lines are skipped.
     """
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "value"))
-    parsed = files.where(F.trim("value") != "").select("file", "line", F.from_json("value", schema).alias("r"))
-    return parsed.select(F.struct("file", "line").alias("seq"), "r.*")
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                     F.monotonically_increasing_id().alias("line"))
+    lines = spark.read.text(path).select(place.alias("seq"), "value")
+    return lines.where(F.trim("value") != "").select("seq", F.from_json("value", schema).alias("r")).select("seq", "r.*")
+
+
+def with_confidence(rows: DataFrame) -> DataFrame:
+    """The parts of ``confidence`` as columns of their own, as scorecards read them."""
+    parts = ("retrieval", "groundedness", "agreement", "answerability", "composite")
+    return rows.withColumns({p: F.col(f"confidence.{p}") for p in parts if p not in rows.columns})
 
 
 def load_rows(spark: SparkSession, path: str) -> DataFrame:
     """The log's last row per (config, question)."""
     from quillmark.operators.gridlog import last_wins
 
-    return last_wins(json_lines(spark, path, ROWS))
+    return with_confidence(last_wins(json_lines(spark, path, ROWS)))
 
 
 def load_all_grades(spark: SparkSession, path: str, version: str = "v2") -> DataFrame:
@@ -45,7 +53,7 @@ def load_all_grades(spark: SparkSession, path: str, version: str = "v2") -> Data
     except Exception as e:  # the reader's own exception for a path that is not there
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        rows = spark.createDataFrame([], f"seq struct<file:string,line:int>, {GRADES}")
+        rows = spark.createDataFrame([], f"seq struct<file:string,block:long,line:long>, {GRADES}")
     return rows.where(F.coalesce("judge_version", F.lit("v1")) == version)
 
 
@@ -106,11 +114,18 @@ def pdf_pages(content: bytes) -> Iterable[str | None]:
         yield from (p.extract_text() for p in pdf.pages)
 
 
-def load_pages(spark: SparkSession, folder: str, source: str, parser: PageParser = pdf_pages, glob: str = "*.pdf", first_page: int = 1) -> DataFrame:
-    """``doc_id, source, page_num, text`` of all files of a folder; the id is the file's stem.
+def load_pages(
+    spark: SparkSession, folder: str, source: str, parser: PageParser = pdf_pages, glob: str = "*.pdf", first_page: int = 1,
+    references: DataFrame | None = None,
+) -> DataFrame:
+    """``doc_id, source, page_num, text`` of all files of a folder.
 
-    ``first_page=2`` leaves a cover sheet out.  A page without text is empty.
+    The id is the reference on the file's cover sheet, where ``references`` (path, doc_ref)
+    has one that is not empty, or else the file's stem.  ``first_page=2`` leaves a cover
+    sheet out.  A page without text is empty.
     """
+    from quillmark.operators.cover import document_id
+
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder).select("path", "content")
 
     def pages(batches):
@@ -119,7 +134,11 @@ def load_pages(spark: SparkSession, folder: str, source: str, parser: PageParser
             yield pd.DataFrame(rows, columns=["path", "page_num", "text"])
 
     read = files.mapInPandas(pages, "path string, page_num int, text string").where(F.col("page_num") >= first_page)
-    return read.select(F.regexp_extract("path", r"([^/]*?)(\.[^./]*)?$", 1).alias("doc_id"), F.lit(source).alias("source"), "page_num", "text")
+    if references is None:
+        read = read.withColumn("doc_ref", F.lit(None).cast("string"))
+    else:
+        read = read.join(references.select("path", "doc_ref"), "path", "left")
+    return read.select(document_id(F.col("doc_ref"), F.col("path")).alias("doc_id"), F.lit(source).alias("source"), "page_num", "text")
 
 
 def union_corpora(*parts: DataFrame) -> DataFrame:

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import json
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.session import cut
@@ -15,16 +13,46 @@ def append_rows(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").option("ignoreNullFields", "true").json(path)
 
 
-def register_json(register: DataFrame) -> str:
-    """The register as JSON with sorted keys: a dimension of one row per document file."""
-    rows = {r["doc_id"]: r.asDict() for r in register.select("doc_id", "source", "file", "sha256").collect()}
-    return json.dumps(rows, indent=2, sort_keys=True)
+def save_json_object(members: DataFrame, path: str) -> None:
+    """``members`` (key, value as JSON text) as one JSON object with sorted keys, a line each.
+
+    The lines are sorted and written by one task, as a file of one object must be; the
+    driver holds none of them.
+    """
+    quoted = lambda c: F.regexp_extract(F.to_json(F.array(c)), r"(?s)^\[(.*)\]$", 1)
+    last = members.agg(F.max("key").alias("last"))
+    comma = F.when(F.col("key") == F.col("last"), "").otherwise(",")
+    lines = members.join(F.broadcast(last)).select(F.lit(1).alias("part"), "key", F.concat(F.lit("  "), quoted(F.col("key")), F.lit(": "), F.col("value"), comma).alias("value"))
+    ends = members.sparkSession.createDataFrame([(0, "", "{"), (2, "", "}")], "part int, key string, value string")
+    lines.unionByName(ends).coalesce(1).sortWithinPartitions("part", "key").select("value").write.mode("overwrite").option("lineSep", "\n").text(path)
 
 
 def save_register(register: DataFrame, path: str) -> None:
-    """Write the register through Spark, so that any of its file systems will do."""
-    text = register.sparkSession.createDataFrame([(register_json(register),)], "value string")
-    text.coalesce(1).write.mode("overwrite").option("lineSep", "\n").text(path)
+    """The register of documents, one member per id."""
+    save_json_object(register.select(F.col("doc_id").alias("key"), F.to_json(F.struct("doc_id", "source", "file", "sha256")).alias("value")), path)
+
+
+def save_versions(versions: DataFrame, path: str) -> None:
+    save_json_object(versions.select(F.col("old_id").alias("key"), F.regexp_extract(F.to_json(F.array("new_id")), r"(?s)^\[(.*)\]$", 1).alias("value")), path)
+
+
+def audit_sheet(rows: DataFrame) -> DataFrame:
+    """Rows to be labelled by hand: what the labeller reads, the rule, and blanks to fill in."""
+    premise = F.coalesce(F.col("category"), F.lit("")) == "false_premise"
+    return rows.select(
+        "config_id", "question_id", F.coalesce("category", F.lit("")).alias("category"), "question",
+        F.when(premise, F.col("notes")).otherwise(F.col("expected_answer_summary")).alias("reference"),
+        F.when(premise, "false premise: right if it rejects the premise").otherwise("right if the facts are stated, complete or not").alias("grading_rule"),
+        "answer", *[F.lit("").alias(c) for c in ("human_verdict", "labeller", "note")])
+
+
+def append_audit_sheet(sheet: DataFrame, path: str) -> None:
+    append_rows(sheet, path)
+
+
+def write_report(text: str, spark: SparkSession, path: str) -> None:
+    """A report's text as a file, through Spark's file systems."""
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
 def build_register(files: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from quillmark.operators import gridlog, provenance, retrieval
 from quillmark.operators.answers import Models, grade_pending
-from quillmark.plans import adapters
+from quillmark.plans import adapters, prompts
 from quillmark.plans.config import configs_table, ladder
 from quillmark.plans.run import report, run_grid
 from quillmark.sources import readers, writers
@@ -35,9 +35,34 @@ def test_grid_runs_what_is_pending_and_reports(spark, tmp_path):
     empty = spark.createDataFrame([], "config_id string, question_id string, verdict string, answer string, seq long")
     grades = grade_pending(full, empty)
     assert {r["verdict"] for r in grades.collect()} == {"CORRECT"} and grades.count() == 2
-    flat = full.select("*", *[F.col(f"confidence.{c}").alias(c) for c in ("retrieval", "groundedness", "agreement", "answerability", "composite")])
-    text = report(flat, grades, spark.createDataFrame([], "old_id string"))
-    assert "## Ladder" in text and "| A | " in text
+    text = report(full, grades, spark.createDataFrame([], "old_id string"))
+    assert "## Ladder" in text and "| A · dense retrieval | " in text
+    assert "## Planted documents by style" in text and "## From outside" in text
+    writers.write_report(text, spark, str(tmp_path / "report"))
+    assert "".join(x.read_text() for x in (tmp_path / "report").glob("part-*")).startswith("## Ladder")
+
+
+def test_one_failing_question_leaves_the_others_answers(spark, tmp_path):
+    def fails_once(question, excerpts, cite, sample):
+        if question.startswith("zebra"):
+            raise RuntimeError("quota")
+        return "four weeks."
+
+    path = str(tmp_path / "log")
+    nothing = spark.createDataFrame([], "config_id string, question_id string, config_fingerprint string, corpus_tag string")
+    assert run_grid(asked(spark), corpus(spark), [ladder()[0]], nothing, path, Models(generate=fails_once)) == []
+    rows = {r["question_id"]: r for r in readers.load_rows(spark, path).collect()}
+    assert rows["q1"]["answer"] == "four weeks." and rows["q1"]["error"] is None
+    assert rows["q2"]["answer"] is None and rows["q2"]["error"] == "quota"
+
+
+def test_prompts_ask_the_models(spark):
+    seen = []
+    models = prompts.remote_models(lambda p: seen.append(p) or "an answer", lambda p: seen.append(p) or "SUPPORTED")
+    assert models.generate("why", [("a-0001", "because")], True, 0) == "an answer" and models.verify("c", "e") == "SUPPORTED"
+    models.answerable("why", [("a-0001", "because")])
+    models.judge("ref", "ans")
+    assert "[a-0001]\nbecause" in seen[0] and "why" in seen[0] and "Excerpt:\ne" in seen[1] and len(seen) == 4
 
 
 def test_failed_rungs_leave_error_rows(spark, tmp_path):

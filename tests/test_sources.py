@@ -35,7 +35,11 @@ def test_register_versions_evidence(spark, tmp_path):
     assert tuple(reg.first()) == ("A", "s", "f", "x")
     assert tuple(readers.load_versions(spark, str(tmp_path / "v.json")).first()) == ("old", "new")
     assert {tuple(r) for r in readers.load_evidence(spark, str(tmp_path / "e.json")).collect()} == {("q", 0, "one"), ("q", 1, "two"), ("q", 1, "zwei")}
-    assert json.loads(writers.register_json(reg))["A"]["sha256"] == "x"
+    more = reg.unionByName(reg.select(F.lit('b "q"').alias("doc_id"), "source", "file", "sha256"))
+    writers.save_register(more, str(tmp_path / "saved"))
+    saved = "".join(p.read_text() for p in (tmp_path / "saved").glob("part-*"))
+    assert list(json.loads(saved)) == ["A", 'b "q"'] and json.loads(saved)["A"] == {"doc_id": "A", "source": "s", "file": "f", "sha256": "x"}
+    assert readers.load_register(spark, str(tmp_path / "saved")).count() == 2
 
 
 def test_pages_with_any_parser(spark, tmp_path):
