@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.llm.components import components
-from quillmark.llm.shared import carried, materialize, parts_for, restored
+from quillmark.llm.shared import carried, lean, materialize, parts_for, restored
 
 NGRAM = 5
 THRESHOLD = 0.8
@@ -120,7 +120,7 @@ def document_features(docs: DataFrame, hashes: int, ngram: int = NGRAM) -> DataF
                 names=["doc_id", "text_key", "digest", "n_grams", "signature"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(), "text").mapInArrow(
-        features, "doc_id long, text_key binary, digest binary, n_grams long, signature array<int>")
+        lean(features), "doc_id long, text_key binary, digest binary, n_grams long, signature array<int>")
 
 
 def text_key():
@@ -317,8 +317,9 @@ def _classes(
     parts = max(parts_for(total["rows"], block // 2, spark), math.ceil(total["grams"] / (block_grams // 2)))
     chosen = placed.join(sizes, F.col("root") == F.col("of")).drop("of").withColumn(
         "block", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int"))
+    # Joined by shuffling at any size, so that small inputs foretell what large ones cost.
     with_text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
-        chosen, F.col("doc_id").eqNullSafe(F.col("class_id")))
+        chosen.hint("merge"), F.col("doc_id").eqNullSafe(F.col("class_id")))
     dealt = with_text.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "node", "root", "digest", "copies", "text", "block",
         F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"),
