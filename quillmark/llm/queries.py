@@ -89,16 +89,62 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def secret_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can state of op3: the base patterns."""
+    return op3_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can state of op5: sizes and targets."""
+    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"))
+
+
+def shard_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can state of op8: all but the checksum."""
+    return op8_byte_shards(spark, sf_dir).select("doc_id", "size", "shard", "slot")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_embedding_dedup, op2_exact_topk, op3_secret_scan, op4_ngram_jaccard_join, op5_source_mix,
         op6_best_fit_packing, op7_warc_revisits, op8_byte_shards, op9_line_dedup, op10_toxicity,
+        secret_base_spans, mix_targets, shard_cuts,
     )}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL expresses over whole tables."""
     return {
+        "secret_base_spans": r"""
+            WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+            p(k, kind, pattern, least) AS (VALUES
+                (0, 'assign', '([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 6),
+                (1, 'access', '()(AKIA[A-Z0-9]+)', 20), (2, 'hex', '()([0-9a-f]{24,})', 24)),
+            m AS (SELECT doc_id, k, kind, least, regexp_extract_all(t, pattern, 0) AS whole, regexp_extract_all(t, pattern, 2) AS tested, regexp_split_to_array(t, pattern) AS rest
+                  FROM d, p WHERE regexp_matches(t, pattern)),
+            i AS (SELECT doc_id, k, kind, least, len(whole[n]) AS size, len(tested[n]) AS length,
+                         list_sum(list_transform(rest[1:n], lambda x: len(x))) + coalesce(list_sum(list_transform(whole[1:n - 1], lambda x: len(x))), 0) AS start
+                  FROM m, unnest(range(1, len(whole) + 1)) AS u(n)),
+            s AS (SELECT doc_id, k, start, concat(kind, ':', CAST(start AS BIGINT), ':', CAST(start + size AS BIGINT)) AS span FROM i WHERE length >= least)
+            SELECT d.doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+                   sha256(coalesce(string_agg(span, ',' ORDER BY start, k), '')) AS base_sha256
+            FROM d LEFT JOIN s ON s.doc_id = d.doc_id GROUP BY d.doc_id""",
+        "mix_targets": r"""
+            WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+            s AS (SELECT source, sum(size) AS source_size, [5.0E0, 2.0E0, 1.0E0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM d GROUP BY source),
+            f AS (SELECT *, 2.0E0 * source_size / weight AS fills_at FROM s),
+            -- the level that makes min(cap, level * weight) add up: each source's filling point tried as the last that is full
+            t AS (SELECT a.fills_at AS tried, sum(least(2.0E0 * b.source_size, a.fills_at * b.weight)) AS given FROM f AS a, f AS b GROUP BY a.fills_at),
+            g AS (SELECT 1.5E0 * sum(source_size) AS goal FROM f),
+            low AS (SELECT coalesce(max(tried), 0.0E0) AS tried, coalesce(max(given), 0.0E0) AS given FROM t, g WHERE given <= goal),
+            v AS (SELECT low.tried + (goal - low.given) / (SELECT sum(weight) FROM f WHERE fills_at > low.tried) AS level FROM low, g)
+            SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, round(least(2.0E0 * source_size, level * weight), 3) AS target
+            FROM d JOIN f ON f.source IS NOT DISTINCT FROM d.source, v""",
+        "shard_cuts": """
+            WITH d AS (SELECT doc_id, coalesce(octet_length(encode(text)), 0) + 1 AS size FROM documents),
+            p AS (SELECT *, sum(size) OVER (ORDER BY doc_id, size) - size AS start, sum(size) OVER () AS total FROM d),
+            s AS (SELECT doc_id, size, CAST(start * 16 // total AS INTEGER) AS shard FROM p)
+            SELECT doc_id, CAST(size AS BIGINT) AS size, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot FROM s""",
         "op1_embedding_dedup": """
             WITH RECURSIVE v AS (
                 SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings

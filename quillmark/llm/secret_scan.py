@@ -7,9 +7,9 @@ it, and the runs that gain most are secrets, so that a key is found inside a pat
 or an identifier too; so is a segment or token whose mean ratio reaches the
 threshold.  Training samples are labelled rows ``(text, label)``;
 ``labelled_samples`` makes them: random strings over the usual key alphabets from a
-seeded generator, and ordinary identifiers joined from words of a word list in the
-usual styles.  ``plain_samples`` adds numbers, dates and rules to the ordinary
-ones, ``samples_from`` words of a corpus.
+seeded generator, and ordinary identifiers joined in the usual styles from general
+roots and from words of the corpus itself (``corpus_words``).  ``plain_samples`` adds
+numbers, dates and rules to the ordinary ones.
 """
 
 from __future__ import annotations
@@ -42,28 +42,25 @@ SHORTEST = 20
 #: A run's ends move over so many characters to the ends of its segment.
 _SNAP = 3
 _JOINS = "/_-+="
+_WORD = re.compile(r"(?<![A-Za-z0-9])[A-Za-z]{4,40}(?![A-Za-z0-9])")
 _SEGMENT = re.compile(r"[A-Za-z0-9]{20,}={0,2}")
 
-#: Roots of ordinary identifiers.
+#: Roots of identifiers that are ordinary in any corpus; its own words come beside them.
 ROOTS = (
-    "account action address agent array auth backup batch billing block buffer build bundle button cache callback "
-    "channel check client cluster code color column command commit config connection content context control copy "
-    "count create current data date default delete delta device document domain driver element email enable engine "
-    "entry error event export extra factory field file filter first flag folder font format frame global graph group "
-    "handler header height hidden history host image import index initial input insert instance item job join key "
-    "label language last layer length level limit line list load local location lock log main manager map master "
-    "match max memory menu message method metric min mode model module name network node number object offset option "
-    "order output owner page parent parser path pattern payload plugin point policy pool position prefix process "
-    "product profile project property query queue random range rate record region release remote report request "
-    "resource response result retry root route row rule sample schema scope score screen script search section "
-    "server service session setting shape size source stack start state status storage stream string style submit "
-    "suffix summary system table target task template test text theme thread time title total track transaction type "
-    "update upload user value vector version view visible volume warning width window worker write zone"
+    "account action address array auth backup batch block buffer build cache channel check client cluster code column "
+    "command config connection content context control copy count create current data date default delete device "
+    "document domain email engine entry error event export factory field file filter folder format function global "
+    "graph group handler header history host image import index input instance item key label language layer length "
+    "level limit list local log manager master memory message method metric model module name network number object "
+    "option order output owner page parent path payload policy port process product profile project query queue "
+    "record region release request resource response result route sample schema script search section server service"
 ).split()
+#: Different words of the corpus that the ordinary model is fitted on at most, and in how many batches of rows one must be seen.
+CORPUS_WORDS, SEEN = 20_000, 2
 
 
-def labelled_samples(n: int = 6_000, seed: int = 11) -> list[tuple[str, int]]:
-    """``n`` random strings (label 1) and ``n`` ordinary identifiers (label 0)."""
+def labelled_samples(n: int = 6_000, seed: int = 11, words: list[str] | None = None) -> list[tuple[str, int]]:
+    """``n`` random strings (label 1) and ``n`` ordinary identifiers (label 0), every other one of the corpus's ``words``."""
     rng = random.Random(seed)
     alphabets = (
         string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.hexdigits[:16],
@@ -72,11 +69,12 @@ def labelled_samples(n: int = 6_000, seed: int = 11) -> list[tuple[str, int]]:
     rows = [("".join(rng.choices(alphabets[i % len(alphabets)], k=rng.randint(20, 64))), 1) for i in range(n)]
     joins = ("_", "-", "/", "", "camel", "_upper")
     for i in range(n):
-        words, style = rng.choices(ROOTS, k=rng.randint(2, 6)), joins[i % len(joins)]
+        of = words if words and i // len(joins) % 2 else ROOTS
+        parts, style = rng.choices(of, k=rng.randint(2, 6)), joins[i % len(joins)]
         if style == "camel":
-            text = words[0] + "".join(w.title() for w in words[1:])
+            text = parts[0] + "".join(w.title() for w in parts[1:])
         else:
-            text = "_".join(words).upper() if style == "_upper" else style.join(words)
+            text = "_".join(parts).upper() if style == "_upper" else style.join(parts)
         if rng.random() < 0.3:
             text += str(rng.randint(0, 2030))
         rows.append((text, 0))
@@ -143,22 +141,22 @@ class MarkovPair:
         return float(self.ratio[self._grams(text)].mean()) if text else 0.0
 
 
-def samples_from(docs: DataFrame, text_col: str = "text", limit: int = 20_000) -> list[tuple[str, int]]:
-    """Ordinary words of 8 ASCII letters or more from ``docs`` as label-0 samples.
+def corpus_words(docs: DataFrame, text_col: str = "text", limit: int = CORPUS_WORDS) -> list[str]:
+    """Ordinary words of 4 ASCII letters or more from ``docs``, to fit the ordinary class on.
 
-    A bounded sample to fit on: the ``limit`` distinct words with the smallest
-    hash, whatever the size of the corpus, so reruns agree.
+    A bounded sample: of the words seen in ``SEEN`` batches of rows or more, which random
+    strings are not, the ``limit`` ones of smallest hash, whatever the size of the corpus.
     """
     def words(batches):
         for batch in batches:
-            found = set()
-            for text in batch.column(0).to_pylist():
-                found.update(re.findall(r"(?<![A-Za-z0-9])[A-Za-z]{8,40}(?![A-Za-z0-9])", text or ""))
-            ranked = sorted((hashlib.md5(w.encode()).hexdigest(), w) for w in found)[:limit]
-            yield pa.RecordBatch.from_pydict({"rank": [r for r, _ in ranked], "word": [w for _, w in ranked]})
+            for at in range(0, batch.num_rows, 500):
+                found = set()
+                for text in batch.column(0).slice(at, 500):
+                    found.update(_WORD.findall(text.as_py() or ""))
+                yield pa.RecordBatch.from_pydict({"word": list(found)}, schema=pa.schema([("word", pa.string())]))
 
-    rows = docs.select(text_col).mapInArrow(words, "rank string, word string").distinct().orderBy("rank").limit(limit).collect()
-    return [(r["word"], 0) for r in rows]
+    rows = docs.select(text_col).mapInArrow(lean(words), "word string").groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SEEN)
+    return [r["word"] for r in rows.select("word", F.xxhash64("word").alias("rank")).orderBy("rank", "word").limit(limit).collect()]
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -230,14 +228,27 @@ def random_parts(text: str, model: MarkovPair, threshold: float) -> list[tuple[i
 
 
 def model_spans(text: str, covered: list[tuple[int, int, int]], model: MarkovPair, threshold: float) -> list[tuple[int, int, int]]:
-    """Runs in tokens, outside the base spans, that the models call random."""
-    spans = []
+    """Runs in tokens, outside the base spans, that the models call random.
+
+    Tokens and base spans both come in order, so one pass meets them.
+    """
+    merged: list[list[int]] = []
+    for s, e, _ in sorted(covered):
+        if merged and s <= merged[-1][1]:
+            merged[-1][1] = max(e, merged[-1][1])
+        else:
+            merged.append([s, e])
+    spans, i = [], 0
     for m in _TOKEN.finditer(text):
         at, pieces = m.start(), []
-        for s, e, _ in covered:
-            if s < m.end() and at < e:
-                pieces.append((at, s))
-                at = e
+        while i < len(merged) and merged[i][1] <= at:
+            i += 1
+        j = i
+        while j < len(merged) and merged[j][0] < m.end():
+            pieces.append((at, merged[j][0]))
+            at = merged[j][1]
+            j += 1
+        i = max(i, j - 1)
         for lo, hi in [*pieces, (at, m.end())]:
             spans += [(lo + s, lo + e, 3) for s, e in random_parts(text[lo:hi], model, threshold)]
     return spans
@@ -247,8 +258,10 @@ def _written(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, e, k in sorted(spans))
 
 
-def default_model() -> MarkovPair:
-    return MarkovPair().fit(labelled_samples() + plain_samples())
+def default_model(words: list[str] | None = None) -> MarkovPair:
+    """Fitted on samples that are made by rule, and on identifiers of the corpus's words."""
+    plain = [(w, 0) for w in (words or [])[:3000] if len(w) >= 8]
+    return MarkovPair().fit(labelled_samples(words=words) + plain_samples() + plain)
 
 
 _SCHEMA = (
@@ -262,9 +275,11 @@ def scan_secrets(docs: DataFrame, model: MarkovPair | None = None, threshold: fl
     Returns ``doc_id``, the number of spans per kind, the hash of the base spans
     and all spans as ``kind:start:end`` in code points.  A null text has none; an
     empty text neither.  Repeated rows give repeated results.  Extra columns are
-    ignored.  Memory is bounded by the longest text.
+    ignored.  An empty table gives an empty table.  Memory is bounded by the longest
+    text.  Without a ``model`` the ordinary one is fitted on the words of ``docs`` too,
+    ``CORPUS_WORDS`` of them at most.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model or default_model())
+    shared = docs.sparkSession.sparkContext.broadcast(model or default_model(corpus_words(docs, text_col)))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = shared.value

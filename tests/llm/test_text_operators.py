@@ -213,6 +213,89 @@ def test_keys_in_paths_and_identifiers():
         assert not spans(text), text
 
 
+def test_random_spans_like_brute_force():
+    """Ratios from counts in dictionaries, runs by the letter of their definition, overlaps tried one by one."""
+    words = ["eronthwh", "tisherther", "thelestnd", "voraussetzung"] * 3
+    samples = secret_scan.labelled_samples(800, seed=3, words=words) + secret_scan.plain_samples(60)
+    model, order = secret_scan.MarkovPair().fit(samples), 1
+    size, smooth, logs = len(model.ALPHABET) + 1, 0.3 * (len(model.ALPHABET) + 1), []
+    for label in (0, 1):
+        pairs, single, contexts = Counter(), Counter(), Counter()
+        for text, y in samples:
+            if y == label:
+                for a, b in zip([None, *text], text):  # noqa: B905
+                    pairs[a, b] += 1
+                    single[b] += 1
+                    contexts[a] += 1
+        total = sum(single.values())
+        logs.append(lambda a, b, p=pairs, s=single, c=contexts, t=total: np.log(
+            (p[a, b] + smooth * (s[b] + 0.5) / (t + 0.5 * size)) / (c[a] + smooth)))
+    ratio = lambda text: [logs[1](a, b) - logs[0](a, b) for a, b in zip([None, *text], text)]  # noqa: B905, E731
+
+    def runs(text):
+        gains, out, at = [x - 0.5 for x in ratio(text)], [], 0
+        while at < len(text):
+            total, peak, end, k = 0.0, 0.0, at, at
+            while k < len(text):
+                total += gains[k]
+                k += 1
+                if total > peak:
+                    peak, end = total, k
+                elif total <= 0 or total <= peak - 20:
+                    break
+            if peak >= 10:
+                lo = next((x for x in range(at, max(at - 4, -1), -1) if x == 0 or text[x - 1] in "/_-+="), at)
+                hi = next((x for x in range(end, min(end + 3, len(text)) + 1) if x == len(text) or text[x] in "/_-+="), end)
+                while hi < len(text) and text[hi] == "=":
+                    hi += 1
+                if hi - lo >= 20:
+                    out.append((lo, hi))
+            at = end if peak > 0 else k
+        return out
+
+    def brute(text):
+        covered = {x for s, e, _ in secret_scan.base_spans(text) for x in range(s, e)}
+        out = []
+        for m in re.finditer(r"[A-Za-z0-9+/_-]{20,}={0,2}", text):
+            pieces, piece = [], []
+            for x in [*range(m.start(), m.end()), None]:
+                if x is None or x in covered:
+                    pieces.append(piece)
+                    piece = []
+                else:
+                    piece.append(x)
+            for piece in (p for p in pieces if len(p) >= 20):
+                own = "".join(text[x] for x in piece)
+                found = runs(own)
+                for part in (*re.finditer(r"[A-Za-z0-9]{20,}={0,2}", own), *re.finditer(".+", own)):
+                    s, e = part.span()
+                    if e - s >= 20 and not any(a < e and s < b for a, b in found) and np.mean(ratio(part.group())) >= 0.5:
+                        found.append((s, e))
+                out += [(piece[0] + a, piece[0] + b) for a, b in found]
+        return sorted(out)
+
+    rng, alnum = random.Random(8), string.ascii_letters + string.digits
+    seen = 0
+    for i in range(400):
+        key = lambda a=alnum, n=24: "".join(rng.choices(a, k=rng.randint(10, n + 10)))
+        parts = [rng.choice([key(), key("0123456789abcdef", 40), "token=" + key(), "AKIA" + key(string.ascii_uppercase, 20), rng.choice(words), rng.choice(secret_scan.ROOTS), "=" * 2, "2024-01-05"])
+                 for _ in range(rng.randint(1, 9))]
+        text = rng.choice(["/", "_", "-", "", " ", "/"]).join(parts) + rng.choice(["", " tail", "=="])
+        got = sorted((s, e) for s, e, _ in secret_scan.model_spans(text, secret_scan.base_spans(text), model, 0.5))
+        assert got == brute(text), text
+        seen += bool(got)
+    assert seen > 100
+
+
+def test_model_learns_the_words_of_the_corpus(spark):
+    words = ["xqzvwkjh", "qzxwvkjq", "zzqxkwvj", "wvxqzkjh"]
+    rows = [(i, f"{words[i % 4]} {words[(i + 1) % 4]} of a document") for i in range(3000)] + [(9000, "".join(random.Random(2).choices(string.ascii_letters, k=24)))]
+    found = secret_scan.corpus_words(frame(spark, rows, "doc_id long, text string").repartition(4))
+    assert set(words) <= set(found) and not any(len(w) == 24 for w in found)
+    text = "_".join(words) + "/" + "".join(words)
+    assert secret_scan.model_spans(text, [], secret_scan.default_model(), 0.5) and not secret_scan.model_spans(text, [], secret_scan.default_model(found), 0.5)
+
+
 # ---- mixing ----
 
 def brute_targets(sizes, share=1.5):
