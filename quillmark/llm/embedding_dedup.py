@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.llm.components import components
-from quillmark.llm.shared import carried, lean, materialize, restored
+from quillmark.llm.shared import carried, lean, materialize, restored, split_join
 
 THRESHOLD = 0.93
 #: Parts that a cell of the first level may have.
@@ -288,10 +288,11 @@ def near_duplicates(
         .join(counts, F.col("class_node") == F.col("linked"), "left").join(stars, F.col("class_node") == F.col("member"), "left")
         .withColumn("root", F.coalesce("root", "class_node"))
     )
-    groups = whole.groupBy(F.col("root").alias("group_root")).agg(F.min("rep_id").alias("component"))
-    whole = whole.join(groups, F.col("root") == F.col("group_root")).select("class_node", "copies", "links", "component")
+    whole = materialize(whole, "vector-groups")
+    groups = whole.groupBy(F.col("root").alias("of")).agg(F.min("rep_id").alias("component"), F.count(F.lit(1)).alias("uses"))
+    whole = split_join(whole, "root", groups, "class_node").select(F.col("class_node").alias("of"), F.col("copies").alias("uses"), "copies", "links", "component")
     component = F.coalesce("component", "vec_id")
-    return rows.join(whole, F.col("node") == F.col("class_node"), "left").select(
+    return split_join(rows, "node", materialize(whole, "vector-components"), "vec_id").select(
         "vec_id",
         F.when(F.col("copies").isNull(), F.lit(0)).otherwise(F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"),
         component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))

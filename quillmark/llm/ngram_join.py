@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.llm.components import components
-from quillmark.llm.shared import carried, lean, materialize, parts_for, restored
+from quillmark.llm.shared import carried, lean, materialize, parts_for, restored, split_join
 
 NGRAM = 5
 THRESHOLD = 0.8
@@ -290,7 +290,8 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, ngram: int = NGR
     whatever their names, are ignored.
     """
     features, classes = _classes(docs, threshold, ngram, recall, **blocks)
-    return features.select("doc_id", "digest").join(classes.withColumnRenamed("digest", "of"), F.col("digest") == F.col("of")).select(
+    small = classes.withColumnRenamed("digest", "of").withColumn("uses", F.col("n_copies"))
+    return split_join(features.select("doc_id", "digest"), "digest", small, "doc_id").select(
         "doc_id", "class_id", "n_copies", (F.col("links") + F.col("n_copies") - 1).alias("n_links"), "group_id",
         F.col("doc_id").eqNullSafe(F.col("group_id")).alias("kept"))
 
@@ -337,9 +338,10 @@ def _classes(
         .join(counts, F.col("node") == F.col("linked"), "left").join(stars, F.col("node") == F.col("member"), "left")
         .select("digest", "class_id", "n_copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "node").alias("root"))
     )
-    groups = classes.groupBy(F.col("root").alias("group_root")).agg(F.min("class_id").alias("group_id"))
-    return features, classes.join(groups, F.col("root") == F.col("group_root")).select(
-        "digest", "class_id", "n_copies", "links", "root", "group_id")
+    classes = materialize(classes, "ngram-groups")
+    groups = classes.groupBy(F.col("root").alias("of")).agg(F.min("class_id").alias("group_id"), F.count(F.lit(1)).alias("uses"))
+    found = split_join(classes, "root", groups, "digest").select("digest", "class_id", "n_copies", "links", "root", "group_id")
+    return features, materialize(found, "ngram-result")
 
 
 def one_per_group(docs: DataFrame, threshold: float = THRESHOLD, ngram: int = NGRAM, recall: float = RECALL, **blocks) -> DataFrame:
@@ -355,7 +357,7 @@ def one_per_group(docs: DataFrame, threshold: float = THRESHOLD, ngram: int = NG
     features, classes = _classes(docs, threshold, ngram, recall, **blocks)
     key = F.coalesce("text_key", F.lit(b""))
     best = (
-        features.join(classes.select(F.col("digest").alias("of"), "root", "group_id"), F.col("digest") == F.col("of"))
+        split_join(features, "digest", classes.select(F.col("digest").alias("of"), F.col("n_copies").alias("uses"), "root", "group_id"), "doc_id")
         .where(F.col("doc_id").eqNullSafe(F.col("group_id"))).groupBy("root", "doc_id", key.alias("kept_key")).agg(F.count(F.lit(1)).alias("times"))
         .groupBy("root", "doc_id").agg(F.min(F.struct("kept_key", "times")).alias("best"))
         .select(F.col("doc_id").alias("kept_id"), "best.kept_key", "best.times")

@@ -88,6 +88,26 @@ def restored(df: DataFrame, **replaced) -> DataFrame:
     return df.select(*[replaced[c].alias(c) if c in replaced else F.col("row").getField(c).alias(c) for c in names])
 
 
+#: Keys with more than this share of all rows are common; their rows go to so many tasks.
+COMMON, SPLITS = 1000, 64
+
+
+def split_join(rows: DataFrame, key: str, small: DataFrame, salt: str, least: int = 1000, common: int = COMMON) -> DataFrame:
+    """``rows`` left-joined to ``small`` on ``key == of``, common keys split over many tasks.
+
+    ``small`` has one row per key: ``of``, how many rows ``uses`` it, and values, which
+    ``rows`` gets.  Rows of a common key are dealt by ``salt`` and meet copies of its row.
+    Fewer than ``common`` keys can be common, so their list is sent to all tasks.
+    """
+    total = small.agg(F.coalesce(F.sum("uses"), F.lit(0)).alias("n")).first()["n"]
+    often = F.col("uses") > max(least, total // common)
+    names = F.broadcast(small.where(often).select(F.col("of").alias("common")))
+    split = F.when(F.col("common").isNull(), 0).otherwise(F.pmod(F.xxhash64(salt), F.lit(SPLITS))).cast("int")
+    copies = small.select("*", F.explode(F.sequence(F.lit(0), F.when(often, SPLITS - 1).otherwise(0))).alias("copy")).drop("uses")
+    dealt = rows.join(names, F.col(key) == F.col("common"), "left").withColumn("split", split)
+    return dealt.join(copies, (F.col(key) == F.col("of")) & (F.col("split") == F.col("copy")), "left").drop("common", "split", "of", "copy")
+
+
 def lean(batches_to_batches):
     """A function for ``mapInArrow`` that gives Arrow's free memory back when its task ends.
 

@@ -26,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm.shared import lean, materialize
+from quillmark.llm.shared import lean, materialize, split_join
 
 #: Originals of repeated digests that are sent to all tasks: 100 bytes each at most, 50 MB in all.
 MAX_SENT = 500_000
-#: Digests with more than this share of all uses are split over so many tasks.
-_COMMON, _SPLITS = 1000, 64
+#: Uses from which on a digest may count as common.
+_LEAST = 1000
 #: Bytes of payload a file is meant for, so that readers can hold one.
 FILE_BYTES = 256 << 20
 #: A gzip member of nothing.
@@ -46,21 +46,11 @@ RECORD_SCHEMA = (
 
 
 def _with_originals(rows: DataFrame, key: str, originals: DataFrame, value: str, sent: int) -> DataFrame:
-    """``rows`` left-joined to ``originals`` (of, uses, value) on ``key``.
-
-    Up to ``sent`` originals go to all tasks.  Beyond that, keys with more than a
-    ``1 / _COMMON`` of all uses, of which there are fewer than ``_COMMON``, are split over
-    ``_SPLITS`` tasks of the join, each with a copy of the original.
-    """
-    found = originals.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("uses"), F.lit(0)).alias("uses")).first()
-    if found["n"] <= sent:
+    """``rows`` left-joined to ``originals`` (of, uses, value) on ``key``: up to ``sent`` originals go to all
+    tasks; beyond that both sides are shuffled, common keys over many tasks."""
+    if originals.count() <= sent:
         return rows.join(F.broadcast(originals.select("of", value)), F.col(key) == F.col("of"), "left").drop("of")
-    common = F.col("uses") > found["uses"] // _COMMON
-    names = F.broadcast(originals.where(common).select(F.col("of").alias("common")))
-    split = F.when(F.col("common").isNull(), 0).otherwise(F.pmod(F.xxhash64("page_id"), F.lit(_SPLITS))).cast("int")
-    copies = originals.select("of", value, F.explode(F.sequence(F.lit(0), F.when(common, _SPLITS - 1).otherwise(0))).alias("copy"))
-    dealt = rows.join(names, F.col(key) == F.col("common"), "left").withColumn("split", split)
-    return dealt.join(copies, (F.col(key) == F.col("of")) & (F.col("split") == F.col("copy")), "left").drop("common", "split", "of", "copy")
+    return split_join(rows, key, originals.select("of", "uses", value), "page_id", _LEAST)
 
 
 def archive_records(pages: DataFrame, min_bytes: int = 100, sent: int = MAX_SENT) -> DataFrame:

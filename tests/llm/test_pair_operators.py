@@ -259,7 +259,7 @@ def test_bounds_hold():
 @pytest.mark.parametrize(("sent", "compressed"), [(warc.MAX_SENT, True), (0, True), (0, False)])
 def test_archives_round_trip(spark, monkeypatch, sent, compressed):
     """Originals sent to the tasks and joined, with common digests split."""
-    monkeypatch.setattr(warc, "_COMMON", 4)
+    monkeypatch.setattr(warc, "_LEAST", 1)
     long = "<p>é" * 100
     rows = [(3, "http://a/", long), (1, "http://b/\r\nWARC-Type: forged", long), (2, None, long), (1, "http://b2/", long), (4, "u", "short"), (5, "u", "short"), (6, "u", None), (7, "u", ""),
             (8, "u", "WARC/1.1\r\n\r\nContent-Length: 3\r\n\r\n" * 20), (None, "u", long), (None, "u", "z" * 200), (9, "u", "y" * 300_000)]
