@@ -241,6 +241,12 @@ def threshold_sweep(rows: DataFrame, applied: float, steps: int = 11) -> DataFra
         safe_rate(F.coalesce("bad", F.lit(0)), F.coalesce("answered", F.lit(0))).alias("error_rate"))
 
 
+def point_summary(points: DataFrame) -> DataFrame:
+    """A line of text per point of a sweep."""
+    return points.withColumn("summary", F.format_string(
+        "t=%.2f  coverage=%6.1f%%  error=%6.1f%%  (%d/%d)", "threshold", F.col("coverage") * 100, F.col("error_rate") * 100, "answered", "total"))
+
+
 def best_threshold(points: DataFrame, max_error: float) -> DataFrame:
     """Most coverage within the error budget; ties go to the lowest threshold; none gives no row."""
     return points.where((F.col("error_rate") <= max_error) & (F.col("answered") > 0)).orderBy(F.desc("coverage"), "step").limit(1)

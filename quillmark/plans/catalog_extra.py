@@ -21,7 +21,7 @@ from quillmark.operators import retrieval as r
 from quillmark.operators import sections as s
 from quillmark.plans import catalog as c
 from quillmark.plans.config import ladder, rung_name
-from quillmark.plans.oracles import _COUNTED, _CURRENT, _EXPECTED, _FUSED, _GRADED, _LAST, _OLD, _WS, _rate, _signs, _strip, _wilson
+from quillmark.plans.oracles import _COUNTED, _CURRENT, _EXPECTED, _FUSED, _GRADED, _LAST, _NWS, _OLD, _WS, _rate, _signs, _strip, _wilson
 from quillmark.plans.views import view
 from quillmark.session import scratch_path
 from quillmark.sources import readers, writers
@@ -386,3 +386,36 @@ def uniqueness_snippets(spark, d):
     chunks = c._embedded_chunks(spark, d)
     hits = r.hybrid_topk(chunks, c._embedded_questions(spark, d), 20).select("question_id", "chunk_id", "rank").join(chunks.select("chunk_id", "text"), "chunk_id")
     return r.snippets(hits)
+
+
+# ---- the section machine, where SQL can follow it ----
+
+_PAGES = """pg AS (SELECT doc_id, page_num, lead(page_num) OVER (PARTITION BY doc_id ORDER BY page_num) AS following,
+        array_to_string(list_transform(string_split(text, chr(10)), lambda l, i: {line}), chr(10)) AS body FROM v_pages)"""
+
+
+@query(f"""WITH {_PAGES.format(line=_strip("concat('x', CAST(page_num AS VARCHAR), '-', CAST(i - 1 AS VARCHAR), ' ', l)"))},
+    se AS (SELECT doc_id, page_num, page_num % 3 <> 0 AS last_of_page, CAST(page_num AS VARCHAR) AS section_no, 'Section Heading' AS trail, body AS text, following, 1 AS part FROM pg
+        UNION ALL SELECT doc_id, page_num, true, concat(CAST(page_num AS VARCHAR), '.1'), 'Section Heading > Sub Part', concat('xsub ', CAST(page_num AS VARCHAR), ' body'), following, 0 FROM pg WHERE page_num % 3 = 0)
+    SELECT concat(doc_id, '-', lpad(CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page_num, part) AS VARCHAR), 4, '0')) AS chunk_id, section_no, trail,
+        page_num AS page_start, CASE WHEN last_of_page THEN coalesce(following, page_num) ELSE page_num END AS page_end, md5(text) AS digest,
+        CAST(len(regexp_extract_all(text, '{_NWS}+')) AS INTEGER) AS token_count FROM se""")
+def section_chunks(spark, d):
+    """Pages that open a numbered section each; every third has a part within it, which comes first."""
+    pages, page = view(spark, d, "v_pages"), F.col("page_num").cast("string")
+    body = F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.concat(F.lit("x"), page, F.lit("-"), i.cast("string"), F.lit(" "), x)), "\n")
+    part = F.when(F.col("page_num") % 3 == 0, F.concat(F.lit("\n"), page, F.lit(".1 Sub Part\nxsub "), page, F.lit(" body"))).otherwise("")
+    chunks = s.chunk_documents(pages.withColumn("text", F.concat(page, F.lit(" Section Heading\n"), body, part)))
+    return chunks.select("chunk_id", "section_no", F.array_join("heading_trail", " > ").alias("trail"), "page_start", "page_end",
+                         F.md5(F.col("text").cast("binary")).alias("digest"), "token_count")
+
+
+@query("SELECT CAST(item_id % 7 AS VARCHAR) AS cache_key, CASE WHEN item_id % 7 < 3 THEN 'cached' ELSE concat('called ', CAST(item_id % 7 AS VARCHAR)) END AS reply, count(*) AS n FROM benchmark GROUP BY ALL")
+def cached_calls(spark, d):
+    """Three replies are in the cache; the others are called once a key, and then the cache has them."""
+    path = scratch_path(spark, "replies")
+    spark.createDataFrame([(str(k), "cached") for k in range(3)], "cache_key string, reply string").write.parquet(path)
+    requests = spark.read.parquet(f"{d}/benchmark.parquet").select((F.col("item_id") % 7).cast("string").alias("cache_key"))
+    writers.replies_through(requests, path, F.concat(F.lit("called "), "cache_key"))
+    again = writers.replies_through(requests, path, F.lit("called twice"))
+    return again.groupBy("cache_key", "reply").agg(F.count(F.lit(1)).alias("n"))

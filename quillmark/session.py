@@ -35,6 +35,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/quillmark/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release_scratch(spark: SparkSession) -> None:
+    """Delete what this application has written to the shared folder, once its results are stored elsewhere."""
+    delete_folder(spark, f"{shared_folder(spark)}/quillmark/{spark.sparkContext.applicationId}")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Checkpoint to the shared folder."""
     sc = df.sparkSession.sparkContext

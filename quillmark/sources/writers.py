@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from quillmark.session import cut
 
@@ -82,3 +83,18 @@ def cached_replies(requests: DataFrame, cache: DataFrame, call: Column) -> tuple
     new = cut(missing.select("cache_key", call.alias("reply")))
     known = cache.select("cache_key", "reply").unionByName(new)
     return requests.join(known, "cache_key"), new
+
+
+def replies_through(requests: DataFrame, path: str, call: Column) -> DataFrame:
+    """``cached_replies`` with the cache in a folder: what it lacks is called and added to it."""
+    spark = requests.sparkSession
+    try:
+        cache = spark.read.schema("cache_key string, reply string").parquet(path)
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        cache = spark.createDataFrame([], "cache_key string, reply string")
+    out, new = cached_replies(requests, cache, call)
+    out = cut(out)  # before the cache it reads grows
+    new.write.mode("append").parquet(path)
+    return out

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.operators.gridlog import last_wins
+from quillmark.session import delete_folder
 
 KEYS = ("config_id", "question_id")
 
@@ -23,8 +24,7 @@ def upsert(spark: SparkSession, batch: DataFrame, state_path: str, version: int)
         rows = spark.read.schema(batch.schema).parquet(old).unionByName(batch)
     last_wins(rows, KEYS).drop("first_seq").select(*batch.columns).write.mode("overwrite").parquet(f"{state_path}/v={version}")
     # The version before is what a repeat of this batch reads; those before it nothing reads.
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{state_path}/v={version - 2}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    delete_folder(spark, f"{state_path}/v={version - 2}")
 
 
 def follow(spark: SparkSession, path: str, schema: str, state_path: str, checkpoint: str) -> int:
