@@ -19,6 +19,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import _parse_datatype_string
 
 from quillmark.functions.text import tokenize
+from quillmark.session import written
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -36,13 +37,14 @@ def _terms(chunks: DataFrame) -> DataFrame:
 def bm25_weights(chunks: DataFrame, queries: DataFrame, epsilon: float = EPSILON) -> DataFrame:
     """``question_id, term, weight, avgdl``: what a term adds to a question's score, before the chunk's part.
 
-    One aggregation over the chunks' distinct terms, with partial sums, counts chunks
-    per term; chunks and their lengths are counted along as the term '', which no
-    text has.  Terms that more than half of the chunks hold get ``epsilon`` times the
+    One aggregation over the chunks' distinct terms, with partial sums, writes the
+    vocabulary: chunks per term; chunks and their lengths are counted along as the term
+    '', which no text has.  Terms that more than half of the chunks hold get ``epsilon`` times the
     mean idf of all terms.  Repeated query terms count each time.
     """
     per_chunk = _terms(chunks).select(F.size("terms").cast("long").alias("dl"), F.explode(F.concat(F.array_distinct("terms"), F.array(F.lit("")))).alias("term"))
-    vocabulary = per_chunk.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum(F.when(F.col("term") == "", F.col("dl"))).alias("length"))
+    vocabulary = written(per_chunk.groupBy("term").agg(
+        F.count(F.lit(1)).alias("df"), F.sum(F.when(F.col("term") == "", F.col("dl"))).alias("length")), "vocabulary")
     stats = vocabulary.where("term = ''").select(F.col("df").alias("n"), (F.col("length") / F.col("df")).alias("avgdl"))
     idf = vocabulary.where("term <> ''").join(F.broadcast(stats)).withColumn(
         "raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))

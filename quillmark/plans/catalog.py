@@ -16,6 +16,7 @@ from quillmark.operators import retrieval as r
 from quillmark.operators import sections as s
 from quillmark.plans.oracles import SQL
 from quillmark.plans.views import view, with_views
+from quillmark.session import read_table
 from quillmark.sources.readers import union_corpora
 
 FLAGSHIP = "context_filtered"
@@ -285,7 +286,7 @@ def jaccard_agreement(spark, d):
 
 @query
 def tokenize(spark, d):
-    docs = spark.read.parquet(f"{d}/documents.parquet")
+    docs = read_table(spark, f"{d}/documents.parquet")
     tokens = t.tokenize(F.col("text"))
     return docs.select("doc_id", F.size(tokens).alias("n"), F.md5(F.array_join(tokens, " ").cast("binary")).alias("digest"),
                        t.count_tokens(F.col("text")).alias("words"))
@@ -366,7 +367,7 @@ def section_level(spark, d):
 
 @query
 def token_histogram(spark, d):
-    docs = spark.read.parquet(f"{d}/documents.parquet")
+    docs = read_table(spark, f"{d}/documents.parquet")
     return m.token_histogram(docs.select(t.count_tokens(F.col("text")).alias("token_count")))
 
 
@@ -461,7 +462,7 @@ def evidence_recall(spark, d):
 
 @query
 def register_tamper(spark, d):
-    docs = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("binary").alias("content"))
+    docs = read_table(spark, f"{d}/documents.parquet").select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("binary").alias("content"))
     files = docs.where("cast(doc_id as int) % 9 <> 4").select(F.col("doc_id").alias("file"), "content")
     register = docs.select("doc_id", F.col("doc_id").alias("file"), F.when(F.expr("cast(doc_id as int) % 11 = 3"), "00").otherwise(F.sha2("content", 256)).alias("sha256"))
     return m.find_tampering(register, files)
@@ -472,7 +473,7 @@ def pdf_links(spark, d):
     from quillmark.sources.readers import clean_filename
     from quillmark.sources.readers import pdf_links as links
 
-    pages = spark.read.parquet(f"{d}/pages.parquet")
+    pages = read_table(spark, f"{d}/pages.parquet")
     html = F.concat(F.lit("<h2>Policies</h2><a href='/a%d:x.pdf'>"), F.col("page_id").cast("string"), F.lit("</a><a href='b.PDF?x=1'></a><h2>Other</h2><a href='c.pdf'></a>"))
     found = links(html, "Policies", "https://x.example/docs/index.html")
     return pages.select("page_id", F.array_join(found, "|").alias("links"), clean_filename(F.get(found, F.lit(0))).alias("file"))

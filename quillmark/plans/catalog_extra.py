@@ -23,7 +23,7 @@ from quillmark.plans import catalog as c
 from quillmark.plans.config import ladder, rung_name
 from quillmark.plans.oracles import _COUNTED, _CURRENT, _EXPECTED, _FUSED, _GRADED, _LAST, _NWS, _OLD, _WS, _rate, _signs, _strip, _wilson
 from quillmark.plans.views import view
-from quillmark.session import scratch_path
+from quillmark.session import read_table, scratch_path
 from quillmark.sources import readers, writers
 
 SQL: dict[str, str] = {}
@@ -70,7 +70,7 @@ def json_all_grades(spark, d):
 @query("SELECT source AS doc_id, 'own' AS source, concat(source, '.txt') AS file, sha256(max(text)) AS sha256 FROM documents WHERE source IS NOT NULL GROUP BY source")
 def json_register(spark, d):
     path = scratch_path(spark, "register")
-    files = spark.read.parquet(f"{d}/documents.parquet").where("source is not null").groupBy(F.col("source").alias("doc_id")).agg(F.max("text").cast("binary").alias("content"))
+    files = read_table(spark, f"{d}/documents.parquet").where("source is not null").groupBy(F.col("source").alias("doc_id")).agg(F.max("text").cast("binary").alias("content"))
     files = files.select("doc_id", F.lit("own").alias("source"), F.concat("doc_id", F.lit(".txt")).alias("file"), "content")
     writers.save_register(writers.build_register(files), path)
     return readers.load_register(spark, path)
@@ -97,7 +97,7 @@ def json_evidence(spark, d):
 
 @query("""SELECT doc_id AS row_id, CASE WHEN doc_id % 3 = 0 THEN concat('file ', CAST(doc_id AS VARCHAR), '.v1') ELSE concat('REF-', CAST(doc_id AS VARCHAR)) END AS doc_id FROM documents""")
 def document_ids(spark, d):
-    docs = spark.read.parquet(f"{d}/documents.parquet")
+    docs = read_table(spark, f"{d}/documents.parquet")
     number = F.col("doc_id").cast("string")
     reference = F.when(F.col("doc_id") % 6 == 0, "").when(F.col("doc_id") % 3 != 0, F.concat(F.lit("REF-"), number))
     return docs.select(F.col("doc_id").alias("row_id"), cover.document_id(reference, F.concat(F.lit("/corpus/a.b/file "), number, F.lit(".v1.pdf"))).alias("doc_id"))
@@ -117,7 +117,7 @@ def _covers(spark, d) -> DataFrame:
         row("Supersedes:", F.concat(F.lit("AB - "), F.col("p_brand"), F.lit("\nolder text")), F.when(k % 5 == 0, "Expired"), F.when(k % 4 == 0, "CD – second\nmarch 2018\nMore")),
         row("Author", F.when(k % 11 != 0, "Some Body"), F.when(k % 11 != 0, "some")))
     text = F.concat(F.lit("Head\nDocument Reference Number"), F.when(k % 2 == 0, F.concat(F.lit(": PT-"), key)).otherwise(":\nVersion Number"), F.lit("\nx"))
-    return spark.read.parquet(f"{d}/part.parquet").select(key.alias("doc_id"), table.alias("table"), text.alias("page_text"))
+    return read_table(spark, f"{d}/part.parquet").select(key.alias("doc_id"), table.alias("table"), text.alias("page_text"))
 
 
 _REF = """CASE WHEN p_partkey % 3 <> 0 THEN concat('REF-', CAST(p_partkey AS VARCHAR)) WHEN p_partkey % 2 = 0 THEN concat('PT-', CAST(p_partkey AS VARCHAR)) END"""

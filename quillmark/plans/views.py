@@ -11,6 +11,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillmark.session import read_table
+
 
 @dataclass(frozen=True)
 class Dialect:
@@ -100,7 +102,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     sql = defs[name]
     for t in TABLES:
         if f" {t}" in sql:
-            sources[t] = spark.read.parquet(f"{sf_dir}/{t}.parquet")
+            sources[t] = read_table(spark, f"{sf_dir}/{t}.parquet")
     used = {n: df for n, df in sources.items() if f"FROM {n}" in sql}
     for n in used:
         sql = sql.replace(f"FROM {n}", f"FROM {{{n}}}")

@@ -45,6 +45,20 @@ def release_scratch(spark: SparkSession) -> None:
     delete_folder(spark, f"{shared_folder(spark)}/quillmark/{spark.sparkContext.applicationId}")
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder, for what is read more than once."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table.  One of fewer files than there are cores, so a small one, is dealt out to all of them."""
+    table = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    return table if len(table.inputFiles()) >= cores else table.repartition(cores)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Checkpoint to the shared folder."""
     sc = df.sparkSession.sparkContext

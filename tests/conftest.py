@@ -13,6 +13,8 @@ sys.path.insert(0, str(ROOT))
 def spark():
     from pyspark.sql import SparkSession
 
+    from quillmark.session import release_scratch
+
     s = (
         SparkSession.builder.master("local[4]").appName("tests")
         .config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false")
@@ -22,4 +24,5 @@ def spark():
     s.sparkContext.environment["PYTHONPATH"] = str(ROOT)
     s.sparkContext.setLogLevel("ERROR")
     yield s
+    release_scratch(s)
     s.stop()
