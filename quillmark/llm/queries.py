@@ -19,7 +19,8 @@ from quillmark.llm import (
     toxicity,
     warc,
 )
-from quillmark.llm.shared import materialize, scratch_path
+from quillmark.llm.shared import materialize
+from quillmark.session import read_table, scratch_path
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -29,7 +30,7 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, f"{sf_dir}/{name}.parquet")
 
 
 def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,35 +3,13 @@
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN_DIRS: dict[str, str] = {}
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors share.
-
-    It is the one that ``spark.checkpoint.dir`` names.  Only where that setting
-    is absent and everything runs on one machine (tests) a folder of our own is made.
-    """
-    app = spark.sparkContext.applicationId
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = _OWN_DIRS.setdefault(app, "") or tempfile.mkdtemp(prefix="quillmark-")
-        _OWN_DIRS[app] = base
-    return f"{base.rstrip('/')}/quillmark/{app}"
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+from quillmark.session import delete_folder, scratch_path
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -48,19 +26,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return table
 
 
-def _delete(spark: SparkSession, folder: str) -> None:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def discard(table: DataFrame) -> None:
     """Delete a table of ``materialize`` that nothing reads any more."""
-    _delete(table.sparkSession, table.scratch_table)
-
-
-def release_scratch(spark: SparkSession) -> None:
-    """Delete what this application has written to the shared folder, once its results are stored elsewhere."""
-    _delete(spark, scratch_dir(spark))
+    delete_folder(table.sparkSession, table.scratch_table)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quillmark.llm import embedding_dedup, ngram_join, topk, warc
 from quillmark.llm.components import components
-from quillmark.llm.shared import scratch_dir
+from quillmark.session import scratch_path
 
 CLASH = ("node", "root", "hub", "links", "class_id", "block", "copies", "u", "v", "score", "payload", "code")
 
@@ -264,7 +264,7 @@ def test_archives_round_trip(spark, monkeypatch, sent, compressed):
     rows = [(3, "http://a/", long), (1, "http://b/\r\nWARC-Type: forged", long), (2, None, long), (1, "http://b2/", long), (4, "u", "short"), (5, "u", "short"), (6, "u", None), (7, "u", ""),
             (8, "u", "WARC/1.1\r\n\r\nContent-Length: 3\r\n\r\n" * 20), (None, "u", long), (None, "u", "z" * 200), (9, "u", "y" * 300_000)]
     pages = clash(spark.createDataFrame(rows, "page_id long, url string, html string"))
-    path = f"{scratch_dir(spark)}/warc-{random.random()}"
+    path = scratch_path(spark, "warc")
     warc.write_archives(warc.archive_records(pages, sent=sent), path, compressed=compressed, records_per_file=2)
     out = warc.resolve_revisits(warc.read_archives(spark, path)).collect()
     headers = warc.resolve_revisits(warc.read_archives(spark, path, with_payload=False), sent).drop("payload").collect()
@@ -287,7 +287,7 @@ def test_archives_round_trip(spark, monkeypatch, sent, compressed):
 def test_archives_of_nothing(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.archive_records(pages).count() == 0
-    path = f"{scratch_dir(spark)}/warc-{random.random()}"
+    path = scratch_path(spark, "warc")
     warc.write_archives(warc.archive_records(pages), path, records_per_file=warc.records_for(pages))
     assert warc.resolve_revisits(warc.read_archives(spark, path)).count() == 0
 
