@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quillmark.llm import line_dedup, mixing, ngram_join, packing, toxicity
 from quillmark.llm.queries import tokenizer_path
 from quillmark.llm.shared import materialize
+from quillmark.session import read_table
 
 TOXIC_AT = 0.7
 LINE_DOCS = 10
@@ -87,7 +88,7 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole documents table."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read_table(spark, f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
