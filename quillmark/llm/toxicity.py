@@ -187,20 +187,37 @@ def features_of(x: np.ndarray, chars: int) -> list[float]:
 
 
 class Keyed:
-    """Values by string of at most ``width`` characters, in sorted arrays; missing strings have none."""
+    """Values by string of at most ``ORDER`` characters, in sorted arrays; missing strings have none.
 
-    def __init__(self, keys: list[str] | np.ndarray, values: np.ndarray, width: int) -> None:
-        keys = np.array(keys, f"U{width}")
+    A string is looked up by its code points: the last three, 63 bits, give the place among
+    the different endings, and that place with the first two, 62 bits, the place among all.
+    """
+
+    _PLACES = 1 << 20
+
+    def __init__(self, keys: list[str] | np.ndarray, values: np.ndarray) -> None:
+        if len(keys) >= self._PLACES:
+            raise ValueError("too many strings for sorted arrays")
+        first, last = self._points(keys)
+        self.endings, at = np.unique(last, return_inverse=True)
+        keys = first * self._PLACES + at
         order = np.argsort(keys)
         self.keys, self.values = keys[order], values[order]
 
-    def get(self, strings: np.ndarray, column: int) -> np.ndarray:
+    @staticmethod
+    def _points(strings) -> tuple[np.ndarray, np.ndarray]:
+        p = np.array(strings, f"U{ORDER}").view(np.uint32).reshape(-1, ORDER).astype(np.int64)
+        return p[:, 0] << 21 | p[:, 1], p[:, 2] << 42 | p[:, 3] << 21 | p[:, 4]
+
+    def get(self, strings: list[str], column: int) -> np.ndarray:
         """Values of one column, NaN for strings that have none."""
-        if not len(self.keys):
+        if not len(self.keys) or not len(strings):
             return np.full(len(strings), np.nan)
-        strings = strings.astype(self.keys.dtype)
-        at = np.minimum(np.searchsorted(self.keys, strings), len(self.keys) - 1)
-        return np.where(self.keys[at] == strings, self.values[at, column], np.nan)
+        first, last = self._points(strings)
+        ending = np.minimum(np.searchsorted(self.endings, last), len(self.endings) - 1)
+        key = first * self._PLACES + ending
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where((self.keys[at] == key) & (self.endings[ending] == last), self.values[at, column], np.nan)
 
 
 class Ratios:
@@ -216,36 +233,41 @@ class Ratios:
         grams = [grams_of(w) for w in words]
         starts = np.cumsum([0, *map(len, grams[:-1])])
         flat = [g for of in grams for g in of]
-        r = self.gram.get(np.array(flat, f"U{ORDER}"), self.column)
+        r = self.gram.get(flat, self.column)
         # an n-gram never seen: only the backoff weights of its history differ
         unseen = np.flatnonzero(np.isnan(r))
         if unseen.size:
-            r[unseen] = np.nan_to_num(self.history.get(np.array([flat[i][:-1] for i in unseen], f"U{ORDER - 1}"), self.column))
+            r[unseen] = np.nan_to_num(self.history.get([flat[i][:-1] for i in unseen], self.column))
         return np.add.reduceat(r, starts)
 
     def of(self, words: list[str]) -> np.ndarray:
         cache = self.cache
-        if len(cache) > _CACHE:
-            cache.clear()
         if new := list(set(words).difference(cache)):
             cache.update(zip(new, self._words(new).tolist(), strict=True))
         return np.fromiter(map(cache.__getitem__, words), np.float64, len(words))
 
-    def features(self, text: str) -> list[float]:
-        words = words_of(text)
-        return features_of(self.of(words), sum(map(len, words)))
+    def features(self, texts: list[str | None]) -> list[list[float]]:
+        """``features_of`` of each text; words that are new are looked up for many texts at once."""
+        out = []
+        for at in range(0, len(texts), 128):
+            if len(self.cache) > _CACHE:
+                self.cache.clear()
+            lists = [words_of(t or "") for t in texts[at : at + 128]]
+            self.of(list(set().union(*lists)))
+            out += [features_of(self.of(words), sum(map(len, words))) for words in lists]
+        return out
 
 
 def _histories(table: DataFrame) -> DataFrame:
     return table.groupBy("history").agg(*[F.first(f"h_{f}").alias(f"h_{f}") for f in _FITS])
 
 
-def _fetched(rows: DataFrame, width: int) -> Keyed:
+def _fetched(rows: DataFrame) -> Keyed:
     """A table whose first column is the key, on the driver."""
     found = rows.toArrow()
-    keys = [np.array(c.to_pylist(), f"U{width}") for c in found.column(0).chunks]
+    keys = [np.array(c.to_pylist(), f"U{ORDER}") for c in found.column(0).chunks]
     values = np.stack([c.to_numpy() for c in found.columns[1:]], axis=1)
-    return Keyed(np.concatenate(keys) if keys else [], values, width)
+    return Keyed(np.concatenate(keys) if keys else np.empty(0, f"U{ORDER}"), values)
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,8 +346,8 @@ class ToxicityModel:
     def __getstate__(self):
         return self.__dict__ | {"table": None}
 
-    def score(self, text: str | None) -> float:
-        return self.prior if self.ratios is None else self.score_of(self.ratios.features(text or ""))
+    def scores(self, texts: list[str | None]) -> list[float]:
+        return [self.prior] * len(texts) if self.ratios is None else [self.score_of(f) for f in self.ratios.features(texts)]
 
     def score_of(self, features) -> float:
         z = np.asarray(features) / self.scale
@@ -362,13 +384,18 @@ def train(
     ratios = None
     # a fold is scored by the model of the other
     if table.count() <= max_grams:
-        gram, history = _fetched(table.select("gram", *[f"r_{f}" for f in _FITS]), ORDER), _fetched(_histories(table), ORDER - 1)
+        gram, history = _fetched(table.select("gram", *[f"r_{f}" for f in _FITS])), _fetched(_histories(table))
         ratios = Ratios(gram, history, "all")
         folds = docs.sparkSession.sparkContext.broadcast((Ratios(gram, history, "f1"), Ratios(gram, history, "f0")))
 
         @F.pandas_udf("array<double>")
         def features(texts: pd.Series, fold: pd.Series) -> pd.Series:
-            return pd.Series([list(folds.value[f].features(t or "")) for t, f in zip(texts, fold, strict=True)])
+            found: list = [None] * len(texts)
+            for f in (0, 1):
+                own = np.flatnonzero(fold.to_numpy() == f).tolist()
+                for i, x in zip(own, folds.value[f].features([texts.iloc[i] for i in own]), strict=True):
+                    found[i] = x
+            return pd.Series(found)
 
         sample = sample.select(features("text", "fold").alias("x"), "toxic").toArrow()
     else:
@@ -400,8 +427,7 @@ def add_score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        model = shared.value
-        return pd.Series([model.score(t) for t in texts], dtype="float64")
+        return pd.Series(shared.value.scores(texts.tolist()), dtype="float64")
 
     return rows.select("row", score("text").alias("score"))
 
