@@ -21,11 +21,13 @@ from quillmark.operators import retrieval as r
 from quillmark.operators import sections as s
 from quillmark.plans import catalog as c
 from quillmark.plans.config import ladder, rung_name
-from quillmark.plans.oracles import _COUNTED, _CURRENT, _EXPECTED, _FUSED, _GRADED, _LAST, _NWS, _OLD, _WS, _rate, _signs, _strip, _wilson
+from quillmark.plans.oracles import _COUNTED, _CURRENT, _EXPECTED, _FUSED, _GRADED, _LAST, _NWS, _OLD, _WS, _rate, _signs, _strip, _SWEEP, _wilson
 from quillmark.plans.views import view
 from quillmark.session import read_table, scratch_path
 from quillmark.sources import readers, writers
 
+#: One decimal, halves away from zero as Java has it.
+_TENTH = "format('{{:.1f}}', floor(({0}) * 1000 + 0.5) / 10)"
 SQL: dict[str, str] = {}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -169,6 +171,12 @@ def random_subset(spark, d):
     return g.random_subset(view(spark, d, "v_questions"), 25, seed=7).select("id")
 
 
+@query(f"""WITH {_SWEEP} SELECT step, 't=' || format('{{:.2f}}', floor(threshold * 100 + 0.5) / 100) || '  coverage=' || lpad({_TENTH.format('CAST(answered AS DOUBLE) / total')}, 6, ' ')
+    || '%  error=' || lpad({_TENTH.format('coalesce(CAST(bad AS DOUBLE) / nullif(answered, 0), 0)')}, 6, ' ') || '%  (' || CAST(answered AS VARCHAR) || '/' || CAST(total AS VARCHAR) || ')' AS summary FROM sw""")
+def threshold_lines(spark, d):
+    return m.point_summary(m.threshold_sweep(m.scored(c._graded(spark, d)), 0.25)).select("step", "summary")
+
+
 _RULE = "CASE WHEN category = 'false_premise' THEN 'false premise: right if it rejects the premise' ELSE 'right if the facts are stated, complete or not' END"
 
 
@@ -295,10 +303,6 @@ def rung_names(spark, d):
 
 # ---- cells of tables ----
 
-#: One decimal, halves away from zero as Java has it.
-_TENTH = "format('{{:.1f}}', floor(({0}) * 1000 + 0.5) / 10)"
-
-
 @query(f"""WITH {_EXPECTED}, ra AS (SELECT config_id, CAST(count(*) FILTER (answered AND len(citations) > 0) AS DOUBLE) / count(*) FILTER (answered) AS cites,
         CAST(count(*) FILTER (cites_planted) AS DOUBLE) / count(*) AS planted FROM x WHERE ok GROUP BY config_id)
     SELECT config_id, CASE WHEN config_id <> 'V-view' AND cites > 0 THEN {_TENTH.format('planted')} || '%' ELSE 'n/a' END AS cell FROM ra""")
@@ -419,3 +423,19 @@ def cached_calls(spark, d):
     writers.replies_through(requests, path, F.concat(F.lit("called "), "cache_key"))
     again = writers.replies_through(requests, path, F.lit("called twice"))
     return again.groupBy("cache_key", "reply").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _stub_fetch(url: str) -> bytes | None:
+    number = int("".join(x for x in url.rsplit("/", 1)[1] if x.isdigit()) or 0)
+    return None if number % 5 == 0 else (b"%PDF-" if number % 5 < 4 else b"<html>") + url.encode()
+
+
+@query("""SELECT concat('p_', CAST(page_id AS VARCHAR), '.pdf') AS file, CAST(octet_length(encode(concat('%PDF-', 'https://x.example/a/p:', CAST(page_id AS VARCHAR), '.pdf?v=', CAST(page_id % 5 AS VARCHAR)))) AS INTEGER) AS bytes
+    FROM pages WHERE page_id % 3 <> 0 AND CAST(concat(CAST(page_id AS VARCHAR), CAST(page_id % 5 AS VARCHAR)) AS BIGINT) % 5 IN (1, 2, 3)""")
+def fetched_pdfs(spark, d):
+    """Links that are not there yet, through a stand-in for the network."""
+    pages, number = read_table(spark, f"{d}/pages.parquet"), F.col("page_id").cast("string")
+    links = pages.select(F.concat(F.lit("https://x.example/a/p:"), number, F.lit(".pdf?v="), (F.col("page_id") % 5).cast("string")).alias("url"))
+    there = pages.where("page_id % 3 = 0").select(F.concat(F.lit("p_"), number, F.lit(".pdf")).alias("file"))
+    found = readers.fetched_files(links.unionByName(links), there, _stub_fetch)
+    return found.select("file", F.octet_length("content").alias("bytes"))

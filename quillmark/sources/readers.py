@@ -162,3 +162,21 @@ def pdf_links(html: Column, heading: str, base: str) -> Column:
 
 def clean_filename(name: Column) -> Column:
     return F.regexp_replace(name, r'[<>:"/\\|?*]', "_")
+
+
+def fetched_files(links: DataFrame, existing: DataFrame, fetch: Callable[[str], bytes | None]) -> DataFrame:
+    """``file, url, content`` of linked documents that are not there yet.
+
+    ``links`` has ``url``, ``existing`` the names ``file`` of the files there are.  ``fetch``
+    is any function from a url to its bytes, null where it failed; bodies that do not begin
+    like a PDF are left out.  Each url is fetched once.
+    """
+    name = clean_filename(F.regexp_extract(F.regexp_replace("url", r"[?#].*$", ""), r"([^/]*)$", 1))
+    todo = links.select("url").distinct().select(name.alias("file"), "url").join(existing.select("file").distinct(), "file", "left_anti")
+
+    @F.pandas_udf("binary")
+    def body(urls: pd.Series) -> pd.Series:
+        return urls.map(fetch)
+
+    found = todo.withColumn("content", body("url"))
+    return found.where(F.col("content").isNotNull() & (F.substring("content", 1, 4) == F.lit(b"%PDF")))
