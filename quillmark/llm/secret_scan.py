@@ -15,6 +15,7 @@ numbers, dates and rules to the ordinary ones.
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import string
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.shared import lean
+from quillmark.llm.shared import lean, materialize
 
 #: The base patterns, in order of kind.
 ASSIGN = re.compile(
@@ -55,8 +56,9 @@ ROOTS = (
     "option order output owner page parent path payload policy port process product profile project query queue "
     "record region release request resource response result route sample schema script search section server service"
 ).split()
-#: Different words of the corpus that the ordinary model is fitted on at most, and in how many batches of rows one must be seen.
-CORPUS_WORDS, SEEN = 20_000, 2
+#: The ordinary model is fitted on at most so many words of the corpus, from about so many of its documents (all, if
+#: there are fewer); a word must be seen in so many batches of rows.
+CORPUS_WORDS, SAMPLE_DOCS, SEEN = 20_000, 50_000, 2
 
 
 def labelled_samples(n: int = 6_000, seed: int = 11, words: list[str] | None = None) -> list[tuple[str, int]]:
@@ -141,12 +143,17 @@ class MarkovPair:
         return float(self.ratio[self._grams(text)].mean()) if text else 0.0
 
 
-def corpus_words(docs: DataFrame, text_col: str = "text", limit: int = CORPUS_WORDS) -> list[str]:
+def corpus_words(docs: DataFrame, text_col: str = "text", limit: int = CORPUS_WORDS, sample_docs: int = SAMPLE_DOCS) -> list[str]:
     """Ordinary words of 4 ASCII letters or more from ``docs``, to fit the ordinary class on.
 
-    A bounded sample: of the words seen in ``SEEN`` batches of rows or more, which random
-    strings are not, the ``limit`` ones of smallest hash, whatever the size of the corpus.
+    A bounded sample, whatever the size of the corpus: of the documents of smallest hash,
+    about ``sample_docs``, the words seen in ``SEEN`` batches of rows or more, which random
+    strings are not; of these the ``limit`` ones of smallest hash.
     """
+    def low(column, wanted: int, n: int):
+        share = min(1.0, wanted / max(1, n))
+        return F.lit(True) if share >= 1 else F.xxhash64(F.lit(text_col), column) <= F.lit(int(-(2**63) + share * (2**64 - 1)))
+
     def words(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
@@ -155,8 +162,12 @@ def corpus_words(docs: DataFrame, text_col: str = "text", limit: int = CORPUS_WO
                     found.update(_WORD.findall(text.as_py() or ""))
                 yield pa.RecordBatch.from_pydict({"word": list(found)}, schema=pa.schema([("word", pa.string())]))
 
-    rows = docs.select(text_col).mapInArrow(lean(words), "word string").groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SEEN)
-    return [r["word"] for r in rows.select("word", F.xxhash64("word").alias("rank")).orderBy("rank", "word").limit(limit).collect()]
+    sample = docs.select(F.col(text_col).alias("text")).where(low(F.col("text"), sample_docs, docs.count()))
+    seen = sample.mapInArrow(lean(words), "word string").groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SEEN)
+    seen = materialize(seen.select("word"), "corpus-words")
+    # a little more than is wanted, so that the smallest hashes are among them
+    rows = seen.where(low(F.col("word"), limit + 4 * math.isqrt(limit), seen.count())).select("word", F.xxhash64(F.lit(text_col), "word").alias("rank")).collect()
+    return [r["word"] for r in sorted(rows, key=lambda r: (r["rank"], r["word"]))[:limit]]
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -277,7 +288,7 @@ def scan_secrets(docs: DataFrame, model: MarkovPair | None = None, threshold: fl
     empty text neither.  Repeated rows give repeated results.  Extra columns are
     ignored.  An empty table gives an empty table.  Memory is bounded by the longest
     text.  Without a ``model`` the ordinary one is fitted on the words of ``docs`` too,
-    ``CORPUS_WORDS`` of them at most.
+    ``CORPUS_WORDS`` of them at most, from about ``SAMPLE_DOCS`` documents.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model or default_model(corpus_words(docs, text_col)))
 
