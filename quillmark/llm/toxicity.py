@@ -60,6 +60,20 @@ def grams_of(word: str, order: int = ORDER) -> list[str]:
     return [marked[max(0, i - order + 1) : i + 1] for i in range(1, len(marked))]
 
 
+def points_of(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``grams_of`` all words, one after the other, as rows of ``ORDER`` code points with zeros
+    behind; each gram's length; and where each word's grams start."""
+    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    marked = START + (END + START).join(words) + END
+    codes = np.frombuffer(marked.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    place = np.arange(len(codes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    at = np.flatnonzero(place)
+    size = np.minimum(place[at] + 1, ORDER)
+    span = np.arange(ORDER)
+    points = np.where(span < size[:, None], codes[np.minimum((at - size + 1)[:, None] + span, len(codes) - 1)], 0)
+    return points, size, np.cumsum(lengths - 1) - (lengths - 1)
+
+
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     found: dict[str, list[int]] = {}
 
@@ -198,22 +212,21 @@ class Keyed:
     def __init__(self, keys: list[str] | np.ndarray, values: np.ndarray) -> None:
         if len(keys) >= self._PLACES:
             raise ValueError("too many strings for sorted arrays")
-        first, last = self._points(keys)
+        first, last = self._halves(np.array(keys, f"U{ORDER}").view(np.uint32).reshape(-1, ORDER).astype(np.int64))
         self.endings, at = np.unique(last, return_inverse=True)
         keys = first * self._PLACES + at
         order = np.argsort(keys)
         self.keys, self.values = keys[order], values[order]
 
     @staticmethod
-    def _points(strings) -> tuple[np.ndarray, np.ndarray]:
-        p = np.array(strings, f"U{ORDER}").view(np.uint32).reshape(-1, ORDER).astype(np.int64)
-        return p[:, 0] << 21 | p[:, 1], p[:, 2] << 42 | p[:, 3] << 21 | p[:, 4]
-
-    def get(self, strings: list[str], column: int) -> np.ndarray:
-        """Values of one column, NaN for strings that have none."""
-        if not len(self.keys) or not len(strings):
-            return np.full(len(strings), np.nan)
-        first, last = self._points(strings)
+    def _halves(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return points[:, 0] << 21 | points[:, 1], points[:, 2] << 42 | points[:, 3] << 21 | points[:, 4]
+
+    def get(self, points: np.ndarray, column: int) -> np.ndarray:
+        """Values of one column, NaN for strings that have none; ``points`` has a row of code points for each."""
+        if not len(self.keys) or not len(points):
+            return np.full(len(points), np.nan)
+        first, last = self._halves(points)
         ending = np.minimum(np.searchsorted(self.endings, last), len(self.endings) - 1)
         key = first * self._PLACES + ending
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
@@ -230,21 +243,26 @@ class Ratios:
         return self.__dict__ | {"cache": {}}
 
     def _words(self, words: list[str]) -> np.ndarray:
-        grams = [grams_of(w) for w in words]
-        starts = np.cumsum([0, *map(len, grams[:-1])])
-        flat = [g for of in grams for g in of]
-        r = self.gram.get(flat, self.column)
+        points, size, starts = points_of(words)
+        r = self.gram.get(points, self.column)
         # an n-gram never seen: only the backoff weights of its history differ
         unseen = np.flatnonzero(np.isnan(r))
         if unseen.size:
-            r[unseen] = np.nan_to_num(self.history.get([flat[i][:-1] for i in unseen], self.column))
+            histories = points[unseen]
+            histories[np.arange(len(unseen)), size[unseen] - 1] = 0
+            r[unseen] = np.nan_to_num(self.history.get(histories, self.column))
         return np.add.reduceat(r, starts)
 
+    def _learn(self, words: set[str]) -> None:
+        if new := list(words.difference(self.cache)):
+            self.cache.update(zip(new, self._words(new).tolist(), strict=True))
+
+    def _known(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.cache.__getitem__, words), np.float64, len(words))
+
     def of(self, words: list[str]) -> np.ndarray:
-        cache = self.cache
-        if new := list(set(words).difference(cache)):
-            cache.update(zip(new, self._words(new).tolist(), strict=True))
-        return np.fromiter(map(cache.__getitem__, words), np.float64, len(words))
+        self._learn(set(words))
+        return self._known(words)
 
     def features(self, texts: list[str | None]) -> list[list[float]]:
         """``features_of`` of each text; words that are new are looked up for many texts at once."""
@@ -253,8 +271,8 @@ class Ratios:
             if len(self.cache) > _CACHE:
                 self.cache.clear()
             lists = [words_of(t or "") for t in texts[at : at + 128]]
-            self.of(list(set().union(*lists)))
-            out += [features_of(self.of(words), sum(map(len, words))) for words in lists]
+            self._learn(set().union(*lists))
+            out += [features_of(self._known(words), sum(map(len, words))) for words in lists]
         return out
 
 

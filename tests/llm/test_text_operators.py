@@ -512,6 +512,14 @@ def brute_ratios(labelled, words):
     return [sum(gram(g) for g in toxicity.grams_of(w)) for w in words]
 
 
+def test_grams_as_code_points():
+    words = ["a", "ab", "straße", "x" * 30, "日本", "é𝔘z", "\u0301"]
+    points, size, starts = toxicity.points_of(words)
+    got = ["".join(map(chr, p[:n])) for p, n in zip(points.tolist(), size.tolist(), strict=True)]
+    assert got == [g for w in words for g in toxicity.grams_of(w)] and not any(p[n:].any() for p, n in zip(points, size, strict=True))
+    assert starts.tolist() == [sum(len(toxicity.grams_of(x)) for x in words[:i]) for i in range(len(words))]
+
+
 def test_every_gram_keeps_its_ratio(spark):
     """Over 50,000 n-grams, so that any two that share a cell of 2^20 would show."""
     rng = random.Random(5)
