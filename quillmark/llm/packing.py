@@ -9,13 +9,13 @@ a short list of (pattern, repetitions).  Every piece has a rank among the pieces
 of its length; the plan turns length and rank into a sequence and an offset.
 Ranks come from prefix counts over (length, bucket), never from one task per length.
 
-Texts are tokenised once.  Ids of a word do not depend on its neighbours across a
-single space or line break, so each worker tokenises a distinct word once and
-joins ready-made id bytes; texts with other white space are tokenised whole.
+Texts are tokenised once, whole.
 """
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -30,16 +30,17 @@ from quillmark.llm.shared import lean, materialize, parts_for
 
 CAPACITY = 1024
 END_ID = 2
-_CACHE = 400_000
 #: Buckets from here on hold pieces without a position.
 _LAST = 1 << 48
 #: Rows that four buckets hold on average; pieces of a length are ranked bucket by bucket.
 _BUCKET_ROWS = 1_000_000
 
 
-#: Punctuation that always starts a token of its own after a letter or digit.
-_TAIL = ",.;:!?|$%&#*)"
-_LINE_BREAK = 198
+#: Fixed value: how byte-level tokenizers of this family split a text before merging.
+_SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: White space as long as this goes the slower way; shorter texts are not searched for it.
+_LONG_SPACE = 100_000
+_SPACES = re.compile(rf"\s{{{_LONG_SPACE}}}")
 
 
 def _byte_letters() -> dict[str, int]:
@@ -50,93 +51,54 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
-class WordTokenizer:
-    """Ids of whole texts as little-endian 32-bit bytes, through a cache of words."""
+class TextTokenizer:
+    """Ids of whole texts as little-endian 32-bit bytes.
+
+    A byte-level tokenizer whose merged tokens are numbered in the order of the merges is
+    one list of ranks, with which tiktoken gives the same ids in less time; others, and
+    texts with enormous runs of white space, go through the tokenizer itself.
+    """
 
     def __init__(self, path: str) -> None:
-        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        if self._ids("\n") != [_LINE_BREAK]:
-            raise ValueError("the tokenizer has another id for a line break")
-        # Words of letters are one piece each, so merges alone decide their ids; tiktoken
-        # applies the same merges faster.  Merged tokens must be numbered in merge order.
-        letters = _byte_letters()
-        vocab = {t: i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items()}
-        ranks = {bytes(letters[c] for c in t): i for t, i in vocab.items() if all(c in letters for c in t) and i < 50256}
-        self.merges = tiktoken.Encoding("words", pat_str=r"\n|[^\n]+", mergeable_ranks=ranks, special_tokens={})
-        self.cache: dict[str, bytes] = {}
-        self.bodies: dict[str, bytes] = {}
-
-    def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+        self.fast = self._ranked(path)
+
+    @staticmethod
+    def _ranked(path: str):
+        import tiktoken
+
+        with open(path, encoding="utf-8") as file:
+            made = json.load(file)
+        before, model = made.get("pre_tokenizer") or {}, made["model"]
+        plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+        if not plain or made.get("normalizer") or model["type"] != "BPE":
+            return None
+        vocab, letters = model["vocab"], _byte_letters()
+        merged = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+        if merged != list(range(256, 256 + len(merged))) or any(c not in letters for token in vocab for c in token):
+            return None
+        ranks = {bytes(letters[c] for c in token): i for token, i in vocab.items()}
+        return tiktoken.Encoding("ranks", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={})
 
     def whole(self, text: str) -> bytes:
-        return np.array(self._ids(text), "<u4").tobytes()
-
-    def _lines(self, lines: list[str], ids: list[int]) -> None:
-        """Take the ids of lines joined by line breaks apart."""
-        found = np.array(ids, "<u4")
-        raw, at = found.tobytes(), 0
-        ends = [*(4 * np.flatnonzero(found == _LINE_BREAK)).tolist(), len(raw)]
-        for line, end in zip(lines, ends, strict=True):
-            self.bodies[line] = raw[at:end]
-            at = end + 4
-
-    def _learn(self, words: set[str]) -> None:
-        """Add words, none with a line break inside, to the cache.
-
-        A line break between other characters is always a token of its own, so new
-        words are tokenised as lines of one text.
-        """
-        parts, bodies = [], self.bodies
-        letters, others = set(), set()
-        for word in words:
-            body = word.rstrip(_TAIL)
-            tail = word[len(body):]
-            if not body[-1:].isalnum():
-                body, tail = word, ""
-            parts.append((word, body, tail))
-            for x in (body, tail):
-                if x and x not in bodies:
-                    (letters if x[x[0] == " " :].isalpha() else others).add(x)
-        if letters:
-            ordered = list(letters)
-            self._lines(ordered, self.merges.encode_ordinary("\n".join(ordered)))
-        if others:
-            ordered = list(others)
-            self._lines(ordered, self._ids("\n".join(ordered)))
-        for word, body, tail in parts:
-            self.cache[word] = bodies[body] + bodies[tail] if tail else bodies[body]
+        """Through the tokenizer itself."""
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids, as the tokenizer gives them for the whole text."""
-        if len(self.cache) > _CACHE:
-            self.cache.clear()
-            self.bodies.clear()
-        if not self.cache:
-            self.cache["\n"] = np.array([_LINE_BREAK], "<u4").tobytes()
-        cut: list[list[str] | None] = []
-        missing: set[str] = set()
-        for text in texts:
-            words = None
-            # Single spaces and line breaks between words, nothing else that is white space,
-            # so that no word is empty.
-            if "\x00" not in text and text.replace("\n", " ").split(" ") == text.split():
-                words = text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00")
-                missing.update(set(words).difference(self.cache))
-            cut.append(words)
-        self._learn(missing)
-        get = self.cache.__getitem__
-        return [self.whole(t) if w is None else b"".join(map(get, w)) for t, w in zip(texts, cut, strict=True)]
+        """Each text's ids, as ``whole`` gives them."""
+        if self.fast is None:
+            return [self.whole(t) for t in texts]
+        slow = lambda t: len(t) >= _LONG_SPACE and _SPACES.search(t) is not None
+        return [self.whole(t) if slow(t) else self.fast.encode_to_numpy(t, disallowed_special=()).astype("<u4").tobytes() for t in texts]
 
 
 @lru_cache(maxsize=2)
-def word_tokenizer(path: str) -> WordTokenizer:
-    """One for each worker process, so that its cache outlives a task."""
-    return WordTokenizer(path)
+def text_tokenizer(path: str) -> TextTokenizer:
+    """One for each worker process."""
+    return TextTokenizer(path)
 
 
 def pieces_of(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -153,7 +115,7 @@ def tokenized_pieces(
     """``doc_id, position, piece, start, length, ids_crc32`` and, with ``keep_ids``, ``ids``."""
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = word_tokenizer(tokenizer_path)
+        tokenizer = text_tokenizer(tokenizer_path)
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):

@@ -390,19 +390,22 @@ def test_packing_like_whole_text_ids(spark, texts):
     assert len(bins) <= -(-sum(r["length"] for r in out) // 1024) + 2
 
 
-def test_words_like_whole_texts():
-    """Any white space anywhere: the cached words give the ids of the whole text."""
+def test_ranks_like_the_tokenizer():
+    """Any character and any white space anywhere: the ids are those of the tokenizer itself."""
     rng = random.Random(5)
     spaces = [chr(c) for c in range(0x3001) if chr(c).isspace()] + ["\x00", "\u200b", "\ufeff"]
-    words = ["foo", "bar's", "Ähre", "x1y2", "!!", "'s", "a.b", "一二", "½", "http://a/b", "1,000", "ﬀ", "--", "ça,", "\u0301", "🙂", "٣"]
-    texts = ["foo\tbar\n", "x\u2003y\nz\n", "", " ", "\n", "a\n", "\na", "a  b"]
+    words = ["foo", "bar's", "Ähre", "x1y2", "!!", "'s", "a.b", "一二", "½", "http://a/b", "1,000", "ﬀ", "--", "ça,", "\u0301", "🙂", "٣", "<|endoftext|>", "'LL"]
+    texts = ["foo\tbar\n", "x\u2003y\nz\n", "", " ", "\n", "a\n", "\na", "a  b", "ab" * 60_000, "x" + " " * 150_000 + "y" + "\n" * 120_000]
     for _ in range(10_000):
         text = "".join(rng.choice(words) + rng.choice(["", " ", "\n", " ", rng.choice(spaces)]) for _ in range(rng.randint(1, 6)))
         texts.append(rng.choice(["", "", rng.choice(spaces)]) + text + rng.choice(["", "", rng.choice(spaces)]))
-    tokenizer = packing.word_tokenizer(tokenizer_path())
-    for at in range(0, len(texts), 256):
-        part = texts[at : at + 256]
-        assert tokenizer.encode(part) == [tokenizer.whole(t) for t in part]
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts += ["".join(f"a{c}1 {c}b {c}{c}" for c in points[at : at + 40]) for at in range(0, len(points), 40)]
+    tokenizer = packing.text_tokenizer(tokenizer_path())
+    assert tokenizer.fast is not None
+    want = tokenizer.tokenizer.encode_batch(texts, add_special_tokens=False)
+    for text, got, ids in zip(texts, tokenizer.encode(texts), want, strict=True):
+        assert got == np.array(ids.ids, "<u4").tobytes(), text[:100]
 
 
 def test_packing_tabs_before_a_last_line_break(spark):
